@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfweave.functions.calendar import as_date, as_id, with_calendar
 from shelfweave.operators.joins import lookup_join
 from shelfweave.schemas import require_columns
-from shelfweave.session import fresh_path, store_table
+from shelfweave.session import fresh_path
 
 # Learned mean -> its key columns.
 MEAN_KEYS = {
@@ -59,50 +60,75 @@ def mean_table(cells: DataFrame, name: str) -> DataFrame:
     return cells.dropna(subset=keys).groupBy(*keys).agg(_mean().alias(name))
 
 
-def global_mean(cells: DataFrame) -> DataFrame:
-    return cells.agg(_mean().alias("global_mean"))
-
-
-def _by_position(column: str, positions) -> Column:
-    return F.array(*[_mean(F.col(column) == p) for p in positions])
+def profiles(cells: DataFrame) -> DataFrame:
+    """All learned means as one table, one row per series, item and store plus a global row.
 
+    A series carries its mean and its seven weekday means, an item or store its twelve
+    month means, so scoring needs three joins. All branches read the same shuffled cells.
+    Rows with a NULL key are harmless: a join never matches them.
+    """
+    def part(name: str, keys: list[str], position: str | None, domain) -> DataFrame:
+        means = F.array(*[_mean(F.col(position) == p) for p in domain]) if position else F.lit(None)
+        out = cells.groupBy(*keys).agg(_mean().alias("mean"), means.alias("means"))
+        return out.select(
+            *[F.col(k) if k in keys else F.lit(None).cast("int").alias(k) for k in ("store", "item")],
+            "mean", F.col("means").cast("array<double>").alias("means"), F.lit(name).alias("profile"),
+        )
 
-def series_profile(cells: DataFrame) -> DataFrame:
-    """Per series its mean and its seven weekday means, so both come from one join."""
-    return cells.dropna(subset=["store", "item"]).groupBy("store", "item").agg(
-        _mean().alias("_series_mean"), _by_position("dayofweek", range(7)).alias("_dow_means")
-    )
+    parts = [
+        part("series", ["store", "item"], "dayofweek", range(7)),
+        part("items", ["item"], "month", range(1, 13)),
+        part("stores", ["store"], "month", range(1, 13)),
+        part("global", [], None, ()),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def month_profile(cells: DataFrame, key: str) -> DataFrame:
-    """Per store or item its twelve month means."""
-    return cells.dropna(subset=[key]).groupBy(key).agg(
-        _by_position("month", range(1, 13)).alias(f"_{key}_months")
-    )
+# Learned mean -> (profile holding it, number of the first array position).
+_HOLDERS = {
+    "store_item_mean": ("series", None), "store_item_dow_mean": ("series", 0),
+    "item_month_mean": ("items", 1), "store_month_mean": ("stores", 1),
+}
 
 
 @dataclass(frozen=True)
 class LearnedDemand:
-    """The learned state: written lookup tables, their counted sizes and the global mean."""
+    """The learned state: the written profiles, their counted rows and the global mean."""
 
     path: str
     global_mean: float | None
     rows: dict[str, int]
 
-    TABLES = ("cells", "series", "items", "stores")
-
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+    def profile(self, spark: SparkSession, name: str) -> DataFrame:
+        return _read_profiles(spark, self.path).filter(F.col("profile") == name)
 
     def means(self, spark: SparkSession, name: str) -> DataFrame:
-        return mean_table(self.table(spark, "cells"), name)
+        """One learned mean as a tall table of its keys and the mean."""
+        keys, (holder, first) = MEAN_KEYS[name], _HOLDERS[name]
+        rows = self.profile(spark, holder).dropna(subset=[k for k in keys if k in ("store", "item")])
+        if first is None:
+            return rows.select(*keys, F.col("mean").alias(name))
+        entity = [k for k in keys if k in ("store", "item")]
+        return rows.select(*entity, F.posexplode("means").alias("_at", name)).dropna(
+            subset=[name]
+        ).select(*entity, (F.col("_at") + first).alias(keys[-1]), name)
 
     def copy_to(self, spark: SparkSession, path: str) -> LearnedDemand:
-        for name in self.TABLES:
-            self.table(spark, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        _write_profiles(_read_profiles(spark, self.path), path)
         return LearnedDemand(path, self.global_mean, self.rows)
 
 
+PROFILE_SCHEMA = "store INT, item INT, mean DOUBLE, means ARRAY<DOUBLE>, profile STRING"
+
+
+def _read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PROFILE_SCHEMA).parquet(path)
+
+
+def _write_profiles(df: DataFrame, path: str) -> None:
+    df.hint("rebalance", "profile").write.mode("overwrite").partitionBy("profile").parquet(path)
+
+
 def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
     """Learn the lookup tables from training rows only; nothing later changes them."""
     require_columns(train, ["date", "store", "item"], "training data")
@@ -110,18 +136,14 @@ def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
         raise ValueError(f"learning demand means requires the target column '{target}'")
     spark = train.sparkSession
     path = fresh_path(spark, "learned")
-    cells = store_table(demand_cells(train, target), f"{path}/cells")
-    profiles = {
-        "series": series_profile(cells),
-        "items": month_profile(cells, "item"),
-        "stores": month_profile(cells, "store"),
-    }
-    rows = {name: store_table(df, f"{path}/{name}").count() for name, df in profiles.items()}
-    return LearnedDemand(path, global_mean(cells).first()[0], rows)
-
-
-def _entry(array: str, position: Column) -> Column:
-    return F.get(F.col(array), position)
+    _write_profiles(profiles(demand_cells(train, target)), path)
+    summary = _read_profiles(spark, path).groupBy("profile").agg(
+        F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean")
+    ).collect()  # four rows
+    return LearnedDemand(
+        path, next(r["mean"] for r in summary if r["profile"] == "global"),
+        {r["profile"]: r["n"] for r in summary},
+    )
 
 
 def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
@@ -131,16 +153,23 @@ def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
     weekday mean falls back to the already filled series mean.
     """
     spark, fallback = df.sparkSession, F.lit(learned.global_mean).cast("double")
-    joined = lookup_join(df, learned.table(spark, "series"), ["store", "item"], learned.rows["series"])
-    joined = lookup_join(joined, learned.table(spark, "items"), ["item"], learned.rows["items"])
-    joined = lookup_join(joined, learned.table(spark, "stores"), ["store"], learned.rows["stores"])
+    joined = df
+    for name, keys in (("series", ["store", "item"]), ("items", ["item"]), ("stores", ["store"])):
+        lookup = learned.profile(spark, name).select(
+            *keys, F.col("mean").alias(f"_{name}_mean"), F.col("means").alias(f"_{name}_means")
+        )
+        joined = lookup_join(joined, lookup, keys, learned.rows.get(name, 0))
+
+    def entry(name: str, position: Column) -> Column:
+        return F.get(F.col(f"_{name}_means"), position)
+
     series = F.coalesce(F.col("_series_mean"), fallback)
     return joined.select(
         *df.columns,
         series.alias("store_item_mean"),
-        F.coalesce(_entry("_dow_means", F.col("dayofweek")), series).alias("store_item_dow_mean"),
-        F.coalesce(_entry("_item_months", F.col("month") - 1), fallback).alias("item_month_mean"),
-        F.coalesce(_entry("_store_months", F.col("month") - 1), fallback).alias("store_month_mean"),
+        F.coalesce(entry("series", F.col("dayofweek")), series).alias("store_item_dow_mean"),
+        F.coalesce(entry("items", F.col("month") - 1), fallback).alias("item_month_mean"),
+        F.coalesce(entry("stores", F.col("month") - 1), fallback).alias("store_month_mean"),
     )
 
 

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _mean(total: Column, n: Column) -> Column:
+    return F.try_divide(total.cast("double"), n)
+
+
 def windowed_metrics(log: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Requests and mean latency per time window and path; ``log`` has ts, path, latency_ms."""
+    """Requests and mean latency per time window and path; ``log`` has ts, path, latency_ms.
+
+    Latency is summed as a decimal, so the result does not depend on the order of the rows.
+    """
     return (
         log.groupBy(F.window("ts", width), "path")
-        .agg(F.count(F.lit(1)).alias("requests"), F.avg("latency_ms").alias("mean_latency_ms"),
-             F.sum("latency_ms").alias("total_latency_ms"))
+        .agg(
+            F.count(F.lit(1)).alias("requests"),
+            F.sum(F.col("latency_ms").cast("decimal(18,6)")).alias("total_latency_ms"),
+        )
         .select(
-            F.col("window.start").alias("window_start"), "path", "requests", "mean_latency_ms",
-            "total_latency_ms",
+            F.col("window.start").alias("window_start"), "path", "requests", "total_latency_ms",
+            _mean(F.col("total_latency_ms"), F.col("requests")).alias("mean_latency_ms"),
         )
     )
 
@@ -31,7 +40,7 @@ def running_metrics(log: DataFrame, width: str = "1 hour") -> DataFrame:
     return windowed_metrics(log, width).select(
         "window_start", "path", "requests", "mean_latency_ms",
         F.sum("requests").over(so_far).alias("requests_so_far"),
-        F.try_divide(F.sum("total_latency_ms").over(so_far), F.sum("requests").over(so_far))
+        _mean(F.sum("total_latency_ms").over(so_far), F.sum("requests").over(so_far))
         .alias("mean_latency_so_far"),
     )
 

@@ -1,42 +1,24 @@
-"""Left joins of facts to lookup tables, safe for large lookups and hot keys."""
+"""Left joins of facts to lookup tables."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A lookup is sent to every executor only when its counted rows stay below this.
 BROADCAST_ROWS = 200_000
-# A key is hot when it holds at least this share of the facts, so there are at most 1/share of them.
-HOT_SHARE = 0.001
-
-
-def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], lookup_rows: int) -> DataFrame:
-    """Left join on unique lookup keys; ``lookup_rows`` is the counted size of the lookup."""
-    if lookup_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(lookup), keys, "left")
-    return hot_cold_join(facts, lookup, keys)
 
 
-def hot_cold_join(facts: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join when the lookup is too large to broadcast.
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, keys: list[str], lookup_rows: int, how: str = "left"
+) -> DataFrame:
+    """Join facts to a lookup with unique keys; ``lookup_rows`` is its counted size.
 
-    Rows of hot keys meet a broadcast of just those lookup rows (at most 1/HOT_SHARE of
-    them), so no shuffle partition ever receives a hot key. All other rows shuffle. Rows
-    with a NULL key cannot match and keep their place in the hot branch's left join.
+    A larger lookup meets the facts in a sort-merge join. There the adaptive skew join
+    splits a crowded key (also the NULL keys of a left join, also copies of one row) by
+    map output over many tasks and repeats only the few lookup rows, which is why no salt
+    column is added here.
     """
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.agg(F.count(F.lit(1))).scalar()
-    hot = counts.filter(F.col("_n") >= HOT_SHARE * total).select(*keys).dropna()
-    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-
-    marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    local = marked.filter(F.col("_hot") | has_null).drop("_hot")
-    spread = marked.filter(F.col("_hot").isNull() & ~has_null).drop("_hot")
-
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
-    return local.join(F.broadcast(hot_lookup), keys, "left").unionByName(
-        spread.join(lookup, keys, "left")
-    )
+    if lookup_rows <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(lookup), keys, how)
+    return facts.join(lookup.hint("merge"), keys, how)

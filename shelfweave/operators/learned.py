@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +46,8 @@ def demand_cells(train: DataFrame, target: str = "sales") -> DataFrame:
     )
 
 
-def _mean(condition: Column | None = None) -> Column:
-    total, n = F.col("total"), F.col("n")
-    if condition is not None:
-        total, n = F.when(condition, total), F.when(condition, n)
-    return F.try_divide(F.sum(total).cast("double"), F.sum(n))
+def _mean() -> Column:
+    return F.try_divide(F.sum("total").cast("double"), F.sum("n"))
 
 
 def mean_table(cells: DataFrame, name: str) -> DataFrame:
@@ -61,33 +57,47 @@ def mean_table(cells: DataFrame, name: str) -> DataFrame:
 
 
 def profiles(cells: DataFrame) -> DataFrame:
-    """All learned means as one table, one row per series, item and store plus a global row.
+    """All learned means as one table: a row per series, item and store plus a global row.
 
-    A series carries its mean and its seven weekday means, an item or store its twelve
-    month means, so scoring needs three joins. All branches read the same shuffled cells.
-    Rows with a NULL key are harmless: a join never matches them.
+    A series row carries its mean and a map of its weekday means, item and store rows a map
+    of month means (at most 12 entries), so scoring needs three joins instead of four. The
+    grouping sets run over the cells, not over the training rows. Rows with a NULL key are
+    harmless: a join never matches them.
     """
-    def part(name: str, keys: list[str], position: str | None, domain) -> DataFrame:
-        means = F.array(*[_mean(F.col(position) == p) for p in domain]) if position else F.lit(None)
-        out = cells.groupBy(*keys).agg(_mean().alias("mean"), means.alias("means"))
-        return out.select(
-            *[F.col(k) if k in keys else F.lit(None).cast("int").alias(k) for k in ("store", "item")],
-            "mean", F.col("means").cast("array<double>").alias("means"), F.lit(name).alias("profile"),
+    sets = [[*keys] for keys in MEAN_KEYS.values()] + [[]]
+    tall = cells.groupingSets(sets, "store", "item", "month", "dayofweek").agg(
+        F.grouping_id().alias("_set"), _mean().alias("_mean")
+    )
+    # grouping_id has one bit per absent column, in the order store, item, month, dayofweek
+    of = {
+        tuple(keys): F.col("_set") == sum(
+            bit for column, bit in zip(("store", "item", "month", "dayofweek"), (8, 4, 2, 1))
+            if column not in keys
         )
-
-    parts = [
-        part("series", ["store", "item"], "dayofweek", range(7)),
-        part("items", ["item"], "month", range(1, 13)),
-        part("stores", ["store"], "month", range(1, 13)),
-        part("global", [], None, ()),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        for keys in sets
+    }
+    series, weekday, item_month, store_month, whole = of.values()
+    position = F.coalesce("month", "dayofweek")
+    return (
+        tall.withColumn(
+            "profile",
+            F.when(series | weekday, "series").when(item_month, "items")
+            .when(store_month, "stores").otherwise("global"),
+        )
+        .groupBy("profile", "store", "item").agg(
+            F.max(F.when(series | whole, F.col("_mean"))).alias("mean"),
+            F.map_from_entries(F.collect_list(
+                F.when(~series & ~whole & position.isNotNull(), F.struct(position, "_mean"))
+            )).alias("means"),
+        )
+        .select("store", "item", "mean", "means", "profile")
+    )
 
 
-# Learned mean -> (profile holding it, number of the first array position).
+# Learned mean -> the profile that holds it.
 _HOLDERS = {
-    "store_item_mean": ("series", None), "store_item_dow_mean": ("series", 0),
-    "item_month_mean": ("items", 1), "store_month_mean": ("stores", 1),
+    "store_item_mean": "series", "store_item_dow_mean": "series",
+    "item_month_mean": "items", "store_month_mean": "stores",
 }
 
 
@@ -104,21 +114,19 @@ class LearnedDemand:
 
     def means(self, spark: SparkSession, name: str) -> DataFrame:
         """One learned mean as a tall table of its keys and the mean."""
-        keys, (holder, first) = MEAN_KEYS[name], _HOLDERS[name]
-        rows = self.profile(spark, holder).dropna(subset=[k for k in keys if k in ("store", "item")])
-        if first is None:
-            return rows.select(*keys, F.col("mean").alias(name))
+        keys = MEAN_KEYS[name]
         entity = [k for k in keys if k in ("store", "item")]
-        return rows.select(*entity, F.posexplode("means").alias("_at", name)).dropna(
-            subset=[name]
-        ).select(*entity, (F.col("_at") + first).alias(keys[-1]), name)
+        rows = self.profile(spark, _HOLDERS[name]).dropna(subset=entity)
+        if entity == keys:
+            return rows.select(*keys, F.col("mean").alias(name))
+        return rows.select(*entity, F.explode("means").alias(keys[-1], name))
 
     def copy_to(self, spark: SparkSession, path: str) -> LearnedDemand:
         _write_profiles(_read_profiles(spark, self.path), path)
         return LearnedDemand(path, self.global_mean, self.rows)
 
 
-PROFILE_SCHEMA = "store INT, item INT, mean DOUBLE, means ARRAY<DOUBLE>, profile STRING"
+PROFILE_SCHEMA = "store INT, item INT, mean DOUBLE, means MAP<INT, DOUBLE>, profile STRING"
 
 
 def _read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -160,16 +168,16 @@ def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
         )
         joined = lookup_join(joined, lookup, keys, learned.rows.get(name, 0))
 
-    def entry(name: str, position: Column) -> Column:
-        return F.get(F.col(f"_{name}_means"), position)
+    def entry(name: str, position: str) -> Column:
+        return F.try_element_at(F.col(f"_{name}_means"), F.col(position))
 
     series = F.coalesce(F.col("_series_mean"), fallback)
     return joined.select(
         *df.columns,
         series.alias("store_item_mean"),
-        F.coalesce(entry("series", F.col("dayofweek")), series).alias("store_item_dow_mean"),
-        F.coalesce(entry("items", F.col("month") - 1), fallback).alias("item_month_mean"),
-        F.coalesce(entry("stores", F.col("month") - 1), fallback).alias("store_month_mean"),
+        F.coalesce(entry("series", "dayofweek"), series).alias("store_item_dow_mean"),
+        F.coalesce(entry("items", "month"), fallback).alias("item_month_mean"),
+        F.coalesce(entry("stores", "month"), fallback).alias("store_month_mean"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfweave.session import fresh_path, store_table
+
 BUCKETS = 64
 
 
@@ -27,7 +29,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     totals (at most BUCKETS per column) say which range holds a wanted rank, and only
     those ranges are sorted. The sketch affects balance, never the result.
     """
-    counts = value_counts(df, columns)
+    spark = df.sparkSession
+    # read three times below; written so that the input is scanned once
+    counts = store_table(value_counts(df, columns), fresh_path(spark, "value-counts"))
     steps = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = counts.groupBy("name").agg(
         F.percentile_approx("value", F.array(*[F.lit(s) for s in steps]), 10_000).alias("_cuts")

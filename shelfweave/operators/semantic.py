@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfweave.operators.explore import in_year
-from shelfweave.operators.joins import BROADCAST_ROWS, hot_cold_join
+from shelfweave.operators.joins import lookup_join
 
 DIM_KEYS = {"Stores": "Store", "Items": "Item"}
 
@@ -141,18 +141,9 @@ def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def star_join(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Join a fact to its dimensions, many to one; rows without a dimension row drop out.
-
-    A dimension is broadcast after its rows were counted; a larger one goes through the
-    hot/cold join, so one big store does not make one big task.
-    """
+    """Join a fact to its counted dimensions, many to one; rows without a dimension row drop out."""
     for name, dim in dims.items():
-        key = DIM_KEYS[name]
-        if dim.count() <= BROADCAST_ROWS:
-            fact = fact.join(F.broadcast(dim), key, "inner")
-        else:
-            tagged = dim.withColumn("_known", F.lit(True))
-            fact = hot_cold_join(fact, tagged, [key]).filter("_known").drop("_known")
+        fact = lookup_join(fact, dim, [DIM_KEYS[name]], dim.count(), "inner")
     return fact
 
 

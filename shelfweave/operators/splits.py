@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,73 +74,75 @@ def key_before(key: tuple) -> Column:
     return (F.col("date") <= date) & ((F.col("date") < date) | same_day)
 
 
-def _locate(counts: DataFrame, within: list[str], key: str, targets: DataFrame) -> DataFrame:
-    """Find, per target, the ``key`` group that covers its position inside ``within``.
+def _spans(rows: DataFrame, within: list[str], key: str) -> DataFrame:
+    """Positions [_begin, _end) of each ``key`` group inside ``within``, from grouped counts.
 
-    ``counts`` holds one row per (within, key), so the running sum sees only as many rows
-    per window as the calendar has days, a day has stores, or a store has items.
+    A window sees one row per group: the days of the calendar, the stores on one day, or
+    the items of one store on one day.
     """
     order = Window.partitionBy(*within).orderBy(key)
-    spans = counts.withColumn("_end", F.sum("_n").over(order)).withColumn(
+    counts = rows.groupBy(*within, key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.withColumn("_end", F.sum("_n").over(order)).withColumn(
         "_begin", F.col("_end") - F.col("_n")
     )
-    found = spans.join(F.broadcast(targets), within) if within else spans.join(
-        F.broadcast(targets),
-        (F.col("_position") >= F.col("_begin")) & (F.col("_position") < F.col("_end")),
+
+
+def _covering(spans: DataFrame, targets: Column) -> DataFrame:
+    """Keep the groups that cover a target; ``targets`` is an array of (target, position)."""
+    covered = F.filter(
+        targets, lambda t: (t["position"] >= F.col("_begin")) & (t["position"] < F.col("_end"))
     )
-    return (
-        found.filter((F.col("_position") >= F.col("_begin")) & (F.col("_position") < F.col("_end")))
-        .select(
-            "_target", *within, key, (F.col("_position") - F.col("_begin")).alias("_position")
-        )
+    return spans.withColumn("_t", F.explode(covered)).select(
+        *spans.columns, F.col("_t.target").alias("target"),
+        (F.col("_t.position") - F.col("_begin")).alias("position"),
     )
 
 
-def _group_counts(panel: DataFrame, keys: list[str]) -> DataFrame:
-    return panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _target(index: int, position) -> Column:
+    return F.struct(F.lit(index).alias("target"), F.lit(position).cast("bigint").alias("position"))
 
 
-def position_keys(panel: DataFrame, positions: list[int]) -> list[tuple]:
-    """The (date, store, item) keys at 0-based positions of the panel in key order.
+def fold_starts(panel: DataFrame, n_splits: int) -> list[tuple]:
+    """The (date, store, item) keys at which the test blocks of expanding folds begin.
 
-    The panel is never sorted. Positions are found level by level from grouped counts:
-    first the day, then the store on that day, then the item of that store. Only
-    ``len(positions)`` rows reach the driver at each level.
+    The panel is never sorted: the start positions are located level by level, first the
+    day, then the store on that day, then the item of that store. Each level brings
+    ``n_splits`` rows to the driver.
     """
-    spark = panel.sparkSession
-    targets = spark.createDataFrame(
-        [(i, p) for i, p in enumerate(positions)], "_target INT, _position BIGINT"
-    )
-    rows: DataFrame = panel
-    for level, key in enumerate(PANEL_KEYS):
-        within = PANEL_KEYS[:level]
-        located = _locate(_group_counts(rows, within + [key]), within, key, targets)
-        hits = located.collect()
-        schema = located.schema
-        targets = spark.createDataFrame(hits, schema)
-        days = sorted({h["date"] for h in hits})
-        rows = panel.filter(F.col("date").isin(days))
-        if level >= 1:
+    days = _spans(panel, [], "date").withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    size = F.floor(F.col("_total") / (n_splits + 1))
+    starts = F.array(*[
+        _target(j, F.col("_total") - (n_splits - j) * size) for j in range(n_splits)
+    ])
+    hits = _covering(days, starts).collect()
+    if len(hits) < n_splits:
+        raise ValueError(f"too few rows for {n_splits} folds")
+    for level in (1, 2):
+        within, key = PANEL_KEYS[:level], PANEL_KEYS[level]
+        # each target looks only into the group found for it one level up
+        here = F.array(*[
+            F.when(
+                reduce(and_, [F.col(k) == F.lit(h[k]) for k in within]),
+                _target(h["target"], h["position"]),
+            )
+            for h in hits
+        ])
+        rows = panel.filter(F.col("date").isin(sorted({h["date"] for h in hits})))
+        if level == 2:
             rows = rows.filter(F.col("store").isin(sorted({h["store"] for h in hits})))
-    return [tuple(h[k] for k in PANEL_KEYS) for h in sorted(hits, key=lambda h: h["_target"])]
+        hits = _covering(_spans(rows, within, key), F.array_compact(here)).collect()
+    return [tuple(h[k] for k in PANEL_KEYS) for h in sorted(hits, key=lambda h: h["target"])]
 
 
 def expanding_folds(panel: DataFrame, n_splits: int) -> list[Fold]:
     """Cut the panel in (date, store, item) order into ``n_splits`` expanding folds.
 
-    Each test block has n // (n_splits + 1) rows, the last block ends with the panel, and
-    a fold trains on everything before its block. Keys are unique in a panel; rows that
-    nevertheless share a key stay on the same side of a cut.
+    With n rows each test block has n // (n_splits + 1) of them, the last block ends with
+    the panel, and a fold trains on everything before its block. Keys are unique in a
+    panel; rows that nevertheless share a key stay on the same side of a cut.
     """
-    n = panel.count()
-    size = n // (n_splits + 1)
-    if size == 0:
-        raise ValueError(f"cannot cut {n} rows into {n_splits} folds")
-    starts = [n - (n_splits - j) * size for j in range(n_splits)]
-    keys = position_keys(panel, starts)
-    return [
-        Fold(j, keys[j], keys[j + 1] if j + 1 < n_splits else None) for j in range(n_splits)
-    ]
+    keys = fold_starts(panel, n_splits)
+    return [Fold(j, key, end) for j, (key, end) in enumerate(zip(keys, [*keys[1:], None]))]
 
 
 def fold_rows(panel: DataFrame, folds: list[Fold]) -> DataFrame:

@@ -23,6 +23,12 @@ SPLIT_SQL = f"""CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train'
 
 @query("sales_panel", f"WITH {PANEL_SQL} SELECT date, store, item, sales FROM panel")
 def sales_panel(spark, sf_dir):
+    return source.derive_panel(spark, sf_dir)
+
+
+@query("panel_table", f"WITH {PANEL_SQL} SELECT date, store, item, sales FROM panel")
+def panel_table(spark, sf_dir):
+    """The stored panel the other queries read; the first caller writes it."""
     return load_panel(spark, sf_dir)
 
 

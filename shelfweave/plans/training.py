@@ -49,6 +49,9 @@ GRIDS = {
 }
 MAX_BINS = 255
 
+# Vectors of this many rows fit a task's memory with room to spare.
+ROWS_PER_PARTITION = 500_000
+
 
 def regressor(name: str, **params):
     """A candidate regressor by name."""
@@ -100,8 +103,13 @@ def _held(df: DataFrame):
         held.unpersist()
 
 
-def _vectors(prepared: PipelineModel, df: DataFrame) -> DataFrame:
-    return prepared.transform(df).select("features", F.col("sales").cast("double").alias("sales"))
+def _vectors(prepared: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
+    """Assembled rows in even partitions: one per core at least, more when rows are many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partitions = max(cores, -(-df.count() // ROWS_PER_PARTITION))
+    return prepared.transform(df.repartition(partitions)).select(
+        "features", *keep, F.col("sales").cast("double").alias("sales")
+    )
 
 
 def _in_threads(task, work: list, parallelism: int) -> list:
@@ -182,11 +190,8 @@ def train_candidates(
     shared_root(spark)
     prepared = Pipeline(stages=feature_stages()).fit(train_rows(panel, train_end))
     splits = with_split(panel, train_end, val_end).dropna(subset=["split"])
-    rows = prepared.transform(splits).select(
-        "features", "split", F.col("sales").cast("double").alias("sales")
-    )
     fits, seconds = {}, {}
-    with _held(rows) as held:
+    with _held(_vectors(prepared, splits, "split")) as held:
         held.count()
         scored = held
         for name, point in params.items():

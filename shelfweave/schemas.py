@@ -6,46 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {
+    "date": T.DateType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "string": T.StringType(),
+}
+
+
+def _struct(**columns: str) -> T.StructType:
+    """A schema from name=type pairs; needs no running session, unlike a DDL string."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
 
 
-PANEL = _struct("date DATE, store INT, item INT, sales BIGINT")
+PANEL = _struct(date="date", store="int", item="int", sales="bigint")
 PANEL_KEYS = ["date", "store", "item"]
 
 # Requests arrive as text so that a bad value can be reported instead of failing a cast.
-REQUEST_TEXT = _struct("request_id BIGINT, date STRING, store STRING, item STRING")
+REQUEST_TEXT = _struct(request_id="bigint", date="string", store="string", item="string")
 REQUEST_JSON = _struct(
-    "start_date STRING, date STRING, periods STRING, store STRING, item STRING, corrupt STRING"
+    start_date="string", date="string", periods="string", store="string", item="string",
+    corrupt="string",
 )
 
-_FACT_LABELS = (
-    "Year BIGINT, MonthNum BIGINT, Month STRING, DayNum BIGINT, Day STRING, IsWeekend STRING"
-)
+_LABELS = {
+    "Year": "bigint", "MonthNum": "bigint", "Month": "string", "DayNum": "bigint",
+    "Day": "string", "IsWeekend": "string",
+}
 
 # Report imports, columns in file order.
 REPORT_TABLES = {
-    "Sales": _struct(f"date DATE, Store BIGINT, Item BIGINT, Sales BIGINT, {_FACT_LABELS}"),
-    "Forecast": _struct(f"date DATE, Store BIGINT, Item BIGINT, Forecast DOUBLE, {_FACT_LABELS}"),
+    "Sales": _struct(date="date", Store="bigint", Item="bigint", Sales="bigint", **_LABELS),
+    "Forecast": _struct(date="date", Store="bigint", Item="bigint", Forecast="double", **_LABELS),
     "TestForecast": _struct(
-        "date DATE, Store BIGINT, Item BIGINT, Actual BIGINT, Forecast DOUBLE, "
-        f"AbsError DOUBLE, SmapePct DOUBLE, {_FACT_LABELS}"
-    ),
-    "Stores": _struct("Store BIGINT"),
-    "Items": _struct("Item BIGINT"),
-    "ModelMetrics": _struct("Metric STRING, Value STRING"),
-    "DemandDrivers": _struct("Feature STRING, MeanAbsShap DOUBLE"),
-    "ModelComparison": _struct(
-        "Model STRING, `Test SMAPE` DOUBLE, `Test RMSE` DOUBLE, `Test MAE` DOUBLE, "
-        "`Test R2` DOUBLE, `Val SMAPE` DOUBLE, `Train SMAPE` DOUBLE, `Overfit Gap` DOUBLE, "
-        "`Training Time (s)` DOUBLE"
+        date="date", Store="bigint", Item="bigint", Actual="bigint", Forecast="double",
+        AbsError="double", SmapePct="double", **_LABELS,
     ),
+    "Stores": _struct(Store="bigint"),
+    "Items": _struct(Item="bigint"),
+    "ModelMetrics": _struct(Metric="string", Value="string"),
+    "DemandDrivers": _struct(Feature="string", MeanAbsShap="double"),
+    "ModelComparison": _struct(Model="string", **{
+        name: "double" for name in (
+            "Test SMAPE", "Test RMSE", "Test MAE", "Test R2", "Val SMAPE", "Train SMAPE",
+            "Overfit Gap", "Training Time (s)",
+        )
+    }),
 }
 
 MODEL_METADATA = _struct(
-    "best_model STRING, val_smape DOUBLE, test_smape DOUBLE, test_rmse DOUBLE, test_mae DOUBLE, "
-    "test_r2 DOUBLE, test_bias_pct DOUBLE, train_end_date STRING, val_end_date STRING, "
-    "trained_at_utc STRING, n_training_rows BIGINT"
+    best_model="string", val_smape="double", test_smape="double", test_rmse="double",
+    test_mae="double", test_r2="double", test_bias_pct="double", train_end_date="string",
+    val_end_date="string", trained_at_utc="string", n_training_rows="bigint",
 )
 
 

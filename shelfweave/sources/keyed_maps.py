@@ -10,8 +10,9 @@ from shelfweave.functions.scoring import map_key
 from shelfweave.operators.joins import lookup_join
 from shelfweave.operators.learned import MEAN_KEYS, LearnedDemand
 
-# A map row stays near this many entries; larger tables are spread over more rows.
-ENTRIES_PER_MAP = 20_000
+# Spark searches a map entry by entry, so a map row stays near this many entries and a larger
+# table is spread over more rows by key hash.
+ENTRIES_PER_MAP = 64
 
 
 def mean_entries(learned: LearnedDemand, spark: SparkSession) -> DataFrame:
@@ -39,7 +40,7 @@ def _shard(key: Column, shards: int) -> Column:
 
 
 def keyed_maps(entries: DataFrame, shards: dict[str, int]) -> DataFrame:
-    """(name, shard, entries MAP): one row per map at small sizes, hash shards beyond."""
+    """(name, shard, entries MAP): each mean table as maps of bounded size, sharded by key hash."""
     shard = F.coalesce(
         *[F.when(F.col("name") == n, _shard(F.col("map_key"), s)) for n, s in shards.items()],
         F.lit(0),

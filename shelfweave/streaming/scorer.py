@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfweave.plans.scoring import score
@@ -14,7 +13,7 @@ from shelfweave.sources.requests import (
     EntityRange, check_requests, rejected_requests, valid_requests,
 )
 
-MARKER = T.StructType.fromDDL("version BIGINT, path STRING")
+MARKER = "version BIGINT, path STRING"
 
 
 def publish_model(model: PipelineModel, store: str, version: int) -> None:

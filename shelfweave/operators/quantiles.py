@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfweave.session import fresh_path, store_table
 
-BUCKETS = 64
-
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value, n) for all columns in one pass; repeated values collapse map-side."""
@@ -25,46 +23,44 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """One row per (name, prob) with the exact quantile.
 
-    Distinct values are cut into BUCKETS ranges per column at sketched quantiles. Bucket
-    totals (at most BUCKETS per column) say which range holds a wanted rank, and only
-    those ranges are sorted. The sketch affects balance, never the result.
+    The value counts are written once in (name, value) ranges that Spark balances. Range
+    totals say which range holds a wanted rank, and only those ranges are ordered.
     """
-    spark = df.sparkSession
-    # read three times below; written so that the input is scanned once
-    counts = store_table(value_counts(df, columns), fresh_path(spark, "value-counts"))
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = counts.groupBy("name").agg(
-        F.percentile_approx("value", F.array(*[F.lit(s) for s in steps]), 10_000).alias("_cuts")
-    )
-    placed = counts.join(F.broadcast(cuts), "name").select(
-        "name", "value", "n",
-        F.size(F.filter("_cuts", lambda cut: cut <= F.col("value"))).alias("_bucket"),
+    counts = store_table(
+        value_counts(df, columns).repartitionByRange("name", "value")
+        .withColumn("_range", F.spark_partition_id()),
+        fresh_path(df.sparkSession, "value-counts"),
     )
     by_name = Window.partitionBy("name")
     spans = (
-        placed.groupBy("name", "_bucket").agg(F.sum("n").alias("_n"))
-        .withColumn("_end", F.sum("_n").over(by_name.orderBy("_bucket")))
+        counts.groupBy("name", "_range").agg(F.sum("n").alias("_n"))
+        .withColumn("_end", F.sum("_n").over(by_name.orderBy("_range")))
         .withColumn("_total", F.sum("_n").over(by_name))
     )
     ranks = spans.select(
-        "name", "_bucket", (F.col("_end") - F.col("_n")).alias("_begin"), "_end",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-        "_total",
-    ).withColumn("_rank", F.col("prob") * (F.col("_total") - 1))
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    wanted = ranks.filter((F.col("_end") > low) & (F.col("_begin") <= high))
-    inside = Window.partitionBy("name", "prob", "_bucket").orderBy("value")
-    ends = placed.join(F.broadcast(wanted.drop("_end")), ["name", "_bucket"]).withColumn(
-        "_upto", F.col("_begin") + F.sum("n").over(inside)
+        "name", "_range", (F.col("_end") - F.col("_n")).alias("_begin"), "_end",
+        F.explode(F.array(*[
+            F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
+            for p in probs
+        ])).alias("_w"),
+    ).select("name", "_range", "_begin", "_end", "_w.prob", "_w.rank")
+    low, high = F.floor("rank"), F.ceil("rank")
+    wanted = ranks.filter((F.col("_end") > low) & (F.col("_begin") <= high)).groupBy(
+        "name", "_range", "_begin"
+    ).agg(F.collect_list(F.struct("prob", "rank")).alias("_wanted"))
+    inside = Window.partitionBy("name", "_range").orderBy("value")
+    ends = (
+        counts.join(F.broadcast(wanted), ["name", "_range"])  # one row per range and column
+        .withColumn("_upto", F.col("_begin") + F.sum("n").over(inside))
+        .select("name", "value", "_upto", F.inline("_wanted"))
     )
-    picked = ends.groupBy("name", "prob", "_rank").agg(
+    picked = ends.groupBy("name", "prob", "rank").agg(
         F.min(F.when(F.col("_upto") > low, F.col("value"))).alias("_low"),
         F.min(F.when(F.col("_upto") > high, F.col("value"))).alias("_high"),
     )
-    weight = F.col("_rank") - F.floor("_rank")
     return picked.select(
         "name", "prob",
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * weight).alias("quantile"),
+        (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - low)).alias("quantile"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweave.functions import metrics
@@ -103,19 +103,22 @@ def _held(df: DataFrame):
         held.unpersist()
 
 
-def _vectors(prepared: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
-    """Assembled rows in even partitions: one per core at least, more when rows are many."""
+def _spread(df: DataFrame, copies: int = 1) -> DataFrame:
+    """Even partitions: one per core at least, more when ``copies`` of the rows are many."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    partitions = max(cores, -(-df.count() // ROWS_PER_PARTITION))
-    return prepared.transform(df.repartition(partitions)).select(
+    return df.repartition(max(cores, -(-df.count() * copies // ROWS_PER_PARTITION)))
+
+
+def _vectors(prepared: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
+    return prepared.transform(_spread(df)).select(
         "features", *keep, F.col("sales").cast("double").alias("sales")
     )
 
 
-def _in_threads(task, work: list, parallelism: int) -> list:
+def _in_threads(spark: SparkSession, task, work: list, parallelism: int) -> list:
     """Submit Spark jobs from a few driver threads; each job itself runs on the cluster."""
     with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
-        return pool.map(inheritable_thread_target(task), work)
+        return pool.map(inheritable_thread_target(spark)(task), work)
 
 
 def search(train: DataFrame, budget: Budget = Budget()) -> DataFrame:
@@ -143,7 +146,7 @@ def search(train: DataFrame, budget: Budget = Budget()) -> DataFrame:
                 model = regressor(name, **dict(point)).fit(rows)
                 return name, _text(point), index, evaluator.evaluate(model.transform(check))
 
-            scores += _in_threads(score, work, budget.parallelism)
+            scores += _in_threads(train.sparkSession, score, work, budget.parallelism)
     return train.sparkSession.createDataFrame(scores, "model STRING, params STRING, fold INT, smape DOUBLE")
 
 
@@ -266,9 +269,9 @@ def ablation_drivers(model: PipelineModel, train: DataFrame, rows: DataFrame) ->
     Shapley value.
     """
     head, tail = PipelineModel(model.stages[:-1]), model.stages[-1]
-    prepared = head.transform(rows).select("features")
-    names = slot_names(prepared)
     used = [i for i, v in enumerate(tail.featureImportances.toArray()) if v > 0]
+    prepared = head.transform(_spread(rows, len(used))).select("features")
+    names = slot_names(prepared)
     means = head.transform(train).agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
     neutral = F.array(*[F.lit(float(v)) for v in means])
 

@@ -81,9 +81,10 @@ def model_roundtrip(spark, sf_dir):
     model.write().overwrite().save(path)
     keys = ["date", "store", "item"]
     before = training.predict(model, rows).select(*keys, F.col("forecast").alias("before"))
-    after = training.predict(PipelineModel.load(path), rows).select(*keys, F.col("forecast").alias("after"))
-    return before.join(after, keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_abs_diff")
+    after = training.predict(PipelineModel.load(path), before)
+    return after.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.abs(F.col("before") - F.col("forecast"))).alias("max_abs_diff"),
     )
 
 
@@ -109,8 +110,10 @@ def random_search(spark, sf_dir):
 
 @query("score_batch")
 def score_batch(spark, sf_dir):
-    """Score the panel's keys as a text batch; unknown ids go through the fallback."""
-    checked = requests.check_requests(_request_texts(spark, sf_dir), ranges=None)
+    """Score the panel's keys as a CSV batch; unknown ids go through the fallback."""
+    path = fresh_path(spark, "batch")
+    tables.write_csv(_request_texts(spark, sf_dir), path)
+    checked = requests.check_requests(requests.read_requests_csv(spark, path), ranges=None)
     scored = scoring.score(trained(spark, sf_dir).best, requests.valid_requests(checked))
     return rounded(scored)
 

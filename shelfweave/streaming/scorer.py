@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def score_stream(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         model = models.current(batch.sparkSession)
-        checked = check_requests(batch, ranges)
+        checked = check_requests(batch, ranges).persist(StorageLevel.MEMORY_AND_DISK)
         scored = score(model, valid_requests(checked)).withColumn(
             "model_version", F.lit(models.version)
         )
@@ -70,6 +71,7 @@ def score_stream(
         rejected_requests(checked).write.mode("overwrite").parquet(
             f"{out_dir}/rejected/batch={batch_id}"
         )
+        checked.unpersist()
 
     return (
         arriving.writeStream.foreachBatch(write_batch)

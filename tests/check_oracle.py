@@ -37,7 +37,10 @@ def table(names, rows):
 
 def compare(spark, con, sf_dir, name, build, sql):
     """None when equal, otherwise a short description of the first difference."""
-    df = build(spark, sf_dir)
+    return compare_df(build(spark, sf_dir), con, sql)
+
+
+def compare_df(df, con, sql):
     got_names, got = table(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return None if got else "no rows"

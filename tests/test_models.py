@@ -149,6 +149,16 @@ def test_random_draws_are_distinct_and_repeatable():
     assert sorted(map(str, training.draw_params(small, 8))) == sorted(map(str, [{"a": 1, "b": 3}, {"a": 2, "b": 3}]))
 
 
+@pytest.mark.parametrize("name", sorted(training.GRIDS))
+def test_full_grid_points_are_accepted(trained, seasonal, name):
+    point = training.draw_params(training.GRIDS[name], 1)[0]
+    size = "numTrees" if name == "random_forest" else "maxIter"
+    vectors = PipelineModel(trained.best.stages[:-1]).transform(seasonal.filter("date < '2016-10-01'"))
+    small = {**point, size: 2, "maxDepth": 3}
+    fitted = training.regressor(name, **small).fit(vectors)
+    assert fitted.getNumTrees == 2
+
+
 def test_search_scores_every_draw_on_every_fold(seasonal):
     budget = training.Budget(
         grids={"random_forest": {"numTrees": [3, 5], "maxDepth": [3], "maxBins": [64]}}, draws=8, folds=2)

@@ -111,22 +111,20 @@ def series_mean(panel: DataFrame) -> DataFrame:
 
 
 def peak_trough_ratios(panel: DataFrame) -> DataFrame:
-    """Highest over lowest mean by month, weekday and series, from one scan.
-
-    (store, item, month, weekday) sums are exact, so each view rolls up from them.
-    """
-    cells = panel.groupBy(
-        "store", "item", F.month("date").alias("month"), F.weekday("date").alias("dayofweek")
-    ).agg(F.sum("sales").alias("total"), F.count("sales").alias("n"))
-    views = {"month": ["month"], "weekday": ["dayofweek"], "series": ["store", "item"]}
-    parts = []
-    for view, keys in views.items():
-        means = cells.groupBy(*keys).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m"))
-        parts.append(means.agg(
-            F.lit(view).alias("view"), F.min("m").alias("trough"), F.max("m").alias("peak"),
-            F.try_divide(F.max("m"), F.min("m")).alias("ratio"),
-        ))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Highest over lowest mean by month, weekday and series, from one scan."""
+    means = panel.select(
+        "store", "item", "sales", F.month("date").alias("month"), F.weekday("date").alias("weekday")
+    ).groupingSets(
+        [["month"], ["weekday"], ["store", "item"]], "store", "item", "month", "weekday"
+    ).agg(
+        F.when(F.grouping("month") == 0, "month").when(F.grouping("weekday") == 0, "weekday")
+        .otherwise("series").alias("view"),
+        F.avg("sales").alias("m"),
+    )
+    return means.groupBy("view").agg(
+        F.min("m").alias("trough"), F.max("m").alias("peak"),
+        F.try_divide(F.max("m"), F.min("m")).alias("ratio"),
+    )
 
 
 def store_month_pivot(panel: DataFrame, stores: list[int], totals: bool = False) -> DataFrame:

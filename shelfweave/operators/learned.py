@@ -28,69 +28,59 @@ def _target(df: DataFrame, name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None)) if kind in ("double", "float") else F.col(name)
 
 
-def demand_cells(train: DataFrame, target: str = "sales") -> DataFrame:
-    """Totals and counts per (store, item, month, weekday).
+def _mean(total: Column | None = None, n: Column | None = None) -> Column:
+    total, n = F.col("total") if total is None else total, F.col("n") if n is None else n
+    return F.try_divide(total, n)
 
-    Every learned mean is a quotient of sums over these cells, so the training rows are
-    read and shuffled once, after a map-side combine that flattens hot series.
-    """
+
+def training_view(train: DataFrame, target: str = "sales") -> DataFrame:
+    """The key parts and the target of the training rows, typed; nothing else is read."""
     date = as_date(train)
-    return (
-        train.select(
-            as_id(train, "store").alias("store"), as_id(train, "item").alias("item"),
-            F.month(date).alias("month"), F.weekday(date).alias("dayofweek"),
-            _target(train, target).alias("_y"),
-        )
-        .groupBy("store", "item", "month", "dayofweek")
-        .agg(F.sum("_y").alias("total"), F.count("_y").alias("n"))
+    return train.select(
+        as_id(train, "store").alias("store"), as_id(train, "item").alias("item"),
+        F.month(date).alias("month"), F.weekday(date).alias("dayofweek"),
+        _target(train, target).alias("_y"),
     )
 
 
-def _mean() -> Column:
-    return F.try_divide(F.sum("total").cast("double"), F.sum("n"))
-
-
-def mean_table(cells: DataFrame, name: str) -> DataFrame:
+def mean_table(train: DataFrame, name: str, target: str = "sales") -> DataFrame:
     """One learned mean as a tall table: key columns and the mean."""
     keys = MEAN_KEYS[name]
-    return cells.dropna(subset=keys).groupBy(*keys).agg(_mean().alias(name))
+    return training_view(train, target).dropna(subset=keys).groupBy(*keys).agg(
+        F.avg("_y").alias(name)
+    )
 
 
-def profiles(cells: DataFrame) -> DataFrame:
-    """All learned means as one table: a row per series, item and store plus a global row.
+def profiles(train: DataFrame, target: str = "sales") -> DataFrame:
+    """All learned means as one table with a row per series, item and store.
 
-    A series row carries its mean and a map of its weekday means, item and store rows a map
-    of month means (at most 12 entries), so scoring needs three joins instead of four. The
-    grouping sets run over the cells, not over the training rows. Rows with a NULL key are
-    harmless: a join never matches them.
+    One scan feeds three grouping sets that are combined map-side, so a crowded series
+    costs no more than any other. A row then folds the (at most 12) positions of its
+    entity into a map, which lets scoring do with three joins instead of four. A series
+    mean is the quotient of its weekday sums. Rows with a NULL key are harmless: a join
+    never matches them, and their sums still count towards the global mean.
     """
-    sets = [[*keys] for keys in MEAN_KEYS.values()] + [[]]
-    tall = cells.groupingSets(sets, "store", "item", "month", "dayofweek").agg(
-        F.grouping_id().alias("_set"), _mean().alias("_mean")
+    sets = [["store", "item", "dayofweek"], ["item", "month"], ["store", "month"]]
+    tall = training_view(train, target).groupingSets(
+        sets, "store", "item", "month", "dayofweek"
+    ).agg(
+        F.grouping("item").alias("_no_item"), F.grouping("store").alias("_no_store"),
+        F.sum("_y").alias("total"), F.count("_y").alias("n"),
     )
-    # grouping_id has one bit per absent column, in the order store, item, month, dayofweek
-    of = {
-        tuple(keys): F.col("_set") == sum(
-            bit for column, bit in zip(("store", "item", "month", "dayofweek"), (8, 4, 2, 1))
-            if column not in keys
-        )
-        for keys in sets
-    }
-    series, weekday, item_month, store_month, whole = of.values()
     position = F.coalesce("month", "dayofweek")
     return (
         tall.withColumn(
             "profile",
-            F.when(series | weekday, "series").when(item_month, "items")
-            .when(store_month, "stores").otherwise("global"),
+            F.when(F.col("_no_store") == 1, "items").when(F.col("_no_item") == 1, "stores")
+            .otherwise("series"),
         )
         .groupBy("profile", "store", "item").agg(
-            F.max(F.when(series | whole, F.col("_mean"))).alias("mean"),
+            F.sum("total").cast("double").alias("total"), F.sum("n").alias("n"),
             F.map_from_entries(F.collect_list(
-                F.when(~series & ~whole & position.isNotNull(), F.struct(position, "_mean"))
+                F.when(position.isNotNull(), F.struct(position, _mean(F.col("total").cast("double"))))
             )).alias("means"),
         )
-        .select("store", "item", "mean", "means", "profile")
+        .select("store", "item", "total", "n", "means", "profile")
     )
 
 
@@ -101,6 +91,9 @@ _HOLDERS = {
 }
 
 
+PROFILE_SCHEMA = "store INT, item INT, total DOUBLE, n BIGINT, means MAP<INT, DOUBLE>"
+
+
 @dataclass(frozen=True)
 class LearnedDemand:
     """The learned state: the written profiles, their counted rows and the global mean."""
@@ -110,7 +103,7 @@ class LearnedDemand:
     rows: dict[str, int]
 
     def profile(self, spark: SparkSession, name: str) -> DataFrame:
-        return _read_profiles(spark, self.path).filter(F.col("profile") == name)
+        return spark.read.schema(PROFILE_SCHEMA).parquet(f"{self.path}/profile={name}")
 
     def means(self, spark: SparkSession, name: str) -> DataFrame:
         """One learned mean as a tall table of its keys and the mean."""
@@ -118,21 +111,15 @@ class LearnedDemand:
         entity = [k for k in keys if k in ("store", "item")]
         rows = self.profile(spark, _HOLDERS[name]).dropna(subset=entity)
         if entity == keys:
-            return rows.select(*keys, F.col("mean").alias(name))
+            return rows.select(*keys, _mean().alias(name))
         return rows.select(*entity, F.explode("means").alias(keys[-1], name))
 
     def copy_to(self, spark: SparkSession, path: str) -> LearnedDemand:
-        _write_profiles(_read_profiles(spark, self.path), path)
+        stored = spark.read.schema(f"{PROFILE_SCHEMA}, profile STRING").parquet(self.path)
+        _write_profiles(stored, path)
         return LearnedDemand(path, self.global_mean, self.rows)
 
 
-PROFILE_SCHEMA = "store INT, item INT, mean DOUBLE, means MAP<INT, DOUBLE>, profile STRING"
-
-
-def _read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE_SCHEMA).parquet(path)
-
-
 def _write_profiles(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "profile").write.mode("overwrite").partitionBy("profile").parquet(path)
 
@@ -144,13 +131,15 @@ def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
         raise ValueError(f"learning demand means requires the target column '{target}'")
     spark = train.sparkSession
     path = fresh_path(spark, "learned")
-    _write_profiles(profiles(demand_cells(train, target)), path)
-    summary = _read_profiles(spark, path).groupBy("profile").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean")
-    ).collect()  # four rows
+    _write_profiles(profiles(train, target), path)
+    stored = spark.read.schema(f"{PROFILE_SCHEMA}, profile STRING").parquet(path)
+    sizes = stored.groupBy("profile").agg(
+        F.count(F.lit(1)).alias("rows"), _mean(F.sum("total"), F.sum("n")).alias("mean")
+    )
+    summary = {r["profile"]: r for r in sizes.collect()}  # three rows
     return LearnedDemand(
-        path, next(r["mean"] for r in summary if r["profile"] == "global"),
-        {r["profile"]: r["n"] for r in summary},
+        path, summary["stores"]["mean"] if summary else None,  # store rows cover every training row
+        {name: r["rows"] for name, r in summary.items()},
     )
 
 
@@ -164,7 +153,7 @@ def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
     joined = df
     for name, keys in (("series", ["store", "item"]), ("items", ["item"]), ("stores", ["store"])):
         lookup = learned.profile(spark, name).select(
-            *keys, F.col("mean").alias(f"_{name}_mean"), F.col("means").alias(f"_{name}_means")
+            *keys, _mean().alias(f"_{name}_mean"), F.col("means").alias(f"_{name}_means")
         )
         joined = lookup_join(joined, lookup, keys, learned.rows.get(name, 0))
 

@@ -48,7 +48,7 @@ def _register_mean(name: str, table: str, keys: list[str]) -> None:
     @query(name, sql)
     def build(spark, sf_dir):
         train = train_rows(load_panel(spark, sf_dir), TRAIN_END)
-        return rounded(learned.mean_table(learned.demand_cells(train), name))
+        return rounded(learned.mean_table(train, name))
 
 
 for _name, _table in zip(MEANS, ("si", "sid", "im", "sm")):

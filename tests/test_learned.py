@@ -3,8 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfweave.operators import joins
 from shelfweave.operators.learned import (
-    AGGREGATE_COLUMNS, MEAN_KEYS, baseline_forecast, demand_cells, demand_features, learn_demand,
-    mean_table,
+    AGGREGATE_COLUMNS, MEAN_KEYS, baseline_forecast, demand_features, learn_demand, mean_table,
 )
 from shelfweave.operators.ml_stages import DemandFeatures
 from tests.conftest import closed_form, requests_of
@@ -28,7 +27,7 @@ def test_profiles_hold_the_direct_means(spark, panel, name):
     direct = panel.withColumn("month", F.month("date")).withColumn("dayofweek", F.weekday("date"))
     want = rows_of(direct.groupBy(*keys).agg(F.avg("sales").alias(name)), *keys, name)
     assert rows_of(learn_demand(panel).means(spark, name), *keys, name) == want  # sums of integers are exact
-    assert rows_of(mean_table(demand_cells(panel), name), *keys, name) == want
+    assert rows_of(mean_table(panel, name), *keys, name) == want
 
 
 def test_fit_needs_target_and_keys(panel):

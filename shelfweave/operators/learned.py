@@ -143,8 +143,10 @@ def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
     )
 
 
-def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
-    """Add the four learned means to rows that carry the calendar columns.
+def with_learned(
+    df: DataFrame, learned: LearnedDemand, columns: list[str] = AGGREGATE_COLUMNS
+) -> DataFrame:
+    """Add learned means to rows that carry the calendar columns; only needed profiles are joined.
 
     Series mean, item-month mean and store-month mean fall back to the global mean; the
     weekday mean falls back to the already filled series mean.
@@ -152,6 +154,8 @@ def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
     spark, fallback = df.sparkSession, F.lit(learned.global_mean).cast("double")
     joined = df
     for name, keys in (("series", ["store", "item"]), ("items", ["item"]), ("stores", ["store"])):
+        if not any(_HOLDERS[c] == name for c in columns):
+            continue
         lookup = learned.profile(spark, name).select(
             *keys, _mean().alias(f"_{name}_mean"), F.col("means").alias(f"_{name}_means")
         )
@@ -161,13 +165,13 @@ def with_learned(df: DataFrame, learned: LearnedDemand) -> DataFrame:
         return F.try_element_at(F.col(f"_{name}_means"), F.col(position))
 
     series = F.coalesce(F.col("_series_mean"), fallback)
-    return joined.select(
-        *df.columns,
-        series.alias("store_item_mean"),
-        F.coalesce(entry("series", "dayofweek"), series).alias("store_item_dow_mean"),
-        F.coalesce(entry("items", "month"), fallback).alias("item_month_mean"),
-        F.coalesce(entry("stores", "month"), fallback).alias("store_month_mean"),
-    )
+    filled = {
+        "store_item_mean": series,
+        "store_item_dow_mean": F.coalesce(entry("series", "dayofweek"), series),
+        "item_month_mean": F.coalesce(entry("items", "month"), fallback),
+        "store_month_mean": F.coalesce(entry("stores", "month"), fallback),
+    }
+    return joined.select(*df.columns, *[filled[c].alias(c) for c in columns])
 
 
 def demand_features(df: DataFrame, learned: LearnedDemand) -> DataFrame:
@@ -176,5 +180,6 @@ def demand_features(df: DataFrame, learned: LearnedDemand) -> DataFrame:
 
 
 def baseline_forecast(df: DataFrame, learned: LearnedDemand) -> DataFrame:
-    """Use the weekday mean of the series as the forecast."""
-    return demand_features(df, learned).withColumn("forecast", F.col("store_item_dow_mean"))
+    """Use the weekday mean of the series as the forecast; this needs one join only."""
+    rows = with_learned(with_calendar(df), learned, ["store_item_mean", "store_item_dow_mean"])
+    return rows.withColumn("forecast", F.col("store_item_dow_mean"))

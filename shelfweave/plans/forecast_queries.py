@@ -59,7 +59,9 @@ for _name, _table in zip(MEANS, ("si", "sid", "im", "sm")):
 test AS (SELECT * FROM panel WHERE date > DATE '{VAL_END}'), {features_sql('test')}
 SELECT date, store, item, sales, {MEANS_SQL} FROM feat""")
 def demand_aggregates(spark, sf_dir):
-    return rounded(scored_test(spark, sf_dir).select("date", "store", "item", "sales", *MEANS))
+    panel, state = fitted(spark, sf_dir)
+    featured = learned.demand_features(test_rows(panel, VAL_END), state)
+    return rounded(featured.select("date", "store", "item", "sales", *MEANS))
 
 
 @query("fallback_cascade", f"""WITH {learned_sql(SHORT_TRAIN_END)},

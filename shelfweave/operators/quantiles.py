@@ -9,57 +9,60 @@ from shelfweave.session import fresh_path, store_table
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, value, n) for all columns in one pass; repeated values collapse map-side."""
+    """(column number, value, n) for all columns in one pass; repeated values collapse map-side."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value"))
-        for c in columns
+        F.struct(
+            F.lit(i).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")
+        )
+        for i, c in enumerate(columns)
     ])
     return (
         df.select(F.inline(pairs)).dropna(subset=["value"])
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """One row per (name, prob) with the exact quantile.
 
-    The value counts are written once in (name, value) ranges that Spark balances. Range
+    The value counts are written once in (column, value) ranges that Spark balances. Range
     totals say which range holds a wanted rank, and only those ranges are ordered.
     """
     counts = store_table(
-        value_counts(df, columns).repartitionByRange("name", "value")
+        value_counts(df, columns).repartitionByRange("column", "value")
         .withColumn("_range", F.spark_partition_id()),
         fresh_path(df.sparkSession, "value-counts"),
     )
-    by_name = Window.partitionBy("name")
+    by_column = Window.partitionBy("column")
     spans = (
-        counts.groupBy("name", "_range").agg(F.sum("n").alias("_n"))
-        .withColumn("_end", F.sum("_n").over(by_name.orderBy("_range")))
-        .withColumn("_total", F.sum("_n").over(by_name))
+        counts.groupBy("column", "_range").agg(F.sum("n").alias("_n"))
+        .withColumn("_end", F.sum("_n").over(by_column.orderBy("_range")))
+        .withColumn("_total", F.sum("_n").over(by_column))
     )
     ranks = spans.select(
-        "name", "_range", (F.col("_end") - F.col("_n")).alias("_begin"), "_end",
+        "column", "_range", (F.col("_end") - F.col("_n")).alias("_begin"), "_end",
         F.explode(F.array(*[
             F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
             for p in probs
         ])).alias("_w"),
-    ).select("name", "_range", "_begin", "_end", "_w.prob", "_w.rank")
+    ).select("column", "_range", "_begin", "_end", "_w.prob", "_w.rank")
     low, high = F.floor("rank"), F.ceil("rank")
     wanted = ranks.filter((F.col("_end") > low) & (F.col("_begin") <= high)).groupBy(
-        "name", "_range", "_begin"
+        "column", "_range", "_begin"
     ).agg(F.collect_list(F.struct("prob", "rank")).alias("_wanted"))
-    inside = Window.partitionBy("name", "_range").orderBy("value")
+    inside = Window.partitionBy("column", "_range").orderBy("value")
     ends = (
-        counts.join(F.broadcast(wanted), ["name", "_range"])  # one row per range and column
+        counts.join(F.broadcast(wanted), ["column", "_range"])  # one row per range and column
         .withColumn("_upto", F.col("_begin") + F.sum("n").over(inside))
-        .select("name", "value", "_upto", F.inline("_wanted"))
+        .select("column", "value", "_upto", F.inline("_wanted"))
     )
-    picked = ends.groupBy("name", "prob", "rank").agg(
+    picked = ends.groupBy("column", "prob", "rank").agg(
         F.min(F.when(F.col("_upto") > low, F.col("value"))).alias("_low"),
         F.min(F.when(F.col("_upto") > high, F.col("value"))).alias("_high"),
     )
+    names = F.array(*[F.lit(c) for c in columns])
     return picked.select(
-        "name", "prob",
+        F.get(names, F.col("column")).alias("name"), "prob",
         (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - low)).alias("quantile"),
     )
 

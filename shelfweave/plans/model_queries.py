@@ -6,11 +6,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from shelfweave.functions.metrics import rounded
-from shelfweave.operators import accuracy
+from shelfweave.operators import accuracy, reports, semantic
 from shelfweave.operators.grid import day_range
 from shelfweave.operators.splits import test_rows, train_rows
 from shelfweave.plans import scoring, training
-from shelfweave.plans.catalog import TRAIN_END, VAL_END, query
+from shelfweave.plans.catalog import REPORT_YEAR, TRAIN_END, VAL_END, query
 from shelfweave.plans.forecast_queries import _request_texts
 from shelfweave.session import fresh_path
 from shelfweave.sources import requests, tables
@@ -102,6 +102,27 @@ def demand_drivers(spark, sf_dir):
     ))
 
 
+@query("report_drivers")
+def report_drivers(spark, sf_dir):
+    """The impact measure per driver, as the report ranks it."""
+    table = reports.demand_drivers(demand_drivers(spark, sf_dir))
+    impact = semantic.evaluate({"DemandDrivers": table}, ["impact"], REPORT_YEAR, by=("Feature",))
+    return impact.orderBy(F.desc("impact"), "Feature")
+
+
+@query("report_comparison")
+def report_comparison(spark, sf_dir):
+    """The comparison as its typed import, summed by model."""
+    path = fresh_path(spark, "report-comparison")
+    tables.write_csv(reports.model_comparison(trained(spark, sf_dir).comparison), path)
+    return reports.comparison_by_model(tables.read_report_table(spark, "ModelComparison", path))
+
+
+@query("report_metrics")
+def report_metrics(spark, sf_dir):
+    return reports.model_metrics(model_metadata(spark, sf_dir))
+
+
 @query("random_search")
 def random_search(spark, sf_dir):
     train = train_rows(load_panel(spark, sf_dir), TRAIN_END)

@@ -18,7 +18,7 @@ from shelfweave.sources.panel import load_panel
 from shelfweave.session import fresh_path
 
 SPLIT_SQL = f"""CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train'
-     WHEN date <= DATE '{VAL_END}' THEN 'validation' ELSE 'test' END"""
+     WHEN date <= DATE '{VAL_END}' THEN 'validation' WHEN date > DATE '{VAL_END}' THEN 'test' END"""
 
 
 @query("sales_panel", f"WITH {PANEL_SQL} SELECT date, store, item, sales FROM panel")

@@ -5,9 +5,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from shelfweave.operators import reports
 from shelfweave.operators.ml_stages import FLAGS, NUMERIC, MedianImputer, slot_names
 from shelfweave.operators.splits import expanding_folds, test_rows as rows_after, train_rows
 from shelfweave.plans import scoring, training
+from shelfweave.schemas import REPORT_TABLES
 from shelfweave.sources import tables
 from shelfweave.streaming.request_log import stream_metrics, windowed_metrics
 from shelfweave.streaming.scorer import ModelSource, publish_model, score_stream
@@ -188,6 +190,20 @@ def test_metadata_record_is_rounded(trained, seasonal, spark, tmp_path):
     assert row.n_training_rows == train_rows(seasonal, TRAIN_END).count()
 
 
+def test_report_side_tables(trained, seasonal, spark, tmp_path):
+    record = training.metadata_record(trained, seasonal, TRAIN_END, VAL_END)
+    tables.write_metadata(spark, record, str(tmp_path / "m"))
+    facts = dict(reports.model_metrics(tables.read_metadata(spark, str(tmp_path / "m"))).collect())
+    assert len(facts) == 7 and facts["Best Model"] == trained.champion
+    table = reports.model_comparison(trained.comparison)
+    assert table.schema.simpleString() == REPORT_TABLES["ModelComparison"].simpleString()
+    twice = reports.comparison_by_model(table.unionByName(table)).collect()
+    assert twice[0].Model == trained.champion
+    assert twice[0]["Test MAE"] == pytest.approx(2 * table.filter(F.col("Model") == trained.champion).first()["Test MAE"])
+    names = spark.createDataFrame([("month_onehot_7", 1.0), ("store_item_mean", 2.0)], "feature STRING, mean_abs_attribution DOUBLE")
+    assert {r.Feature for r in reports.demand_drivers(names).collect()} == {"month 7", "store item mean"}
+
+
 def text_requests(spark, *rows):
     return spark.createDataFrame(list(rows), "request_id BIGINT, date STRING, store STRING, item STRING").coalesce(1)
 

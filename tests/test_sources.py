@@ -4,10 +4,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfweave.operators.accuracy import fact_sales
+from shelfweave.operators.accuracy import align, fact_sales
 from shelfweave.operators.learned import AGGREGATE_COLUMNS, demand_features, learn_demand
 from shelfweave.operators.ml_stages import CATEGORIES, FLAGS, NUMERIC
 from shelfweave.schemas import REPORT_TABLES
+from shelfweave.session import shared_root
 from shelfweave.sources import keyed_maps, panel as source, requests, tables
 
 
@@ -148,3 +149,32 @@ def test_artifact_export_checks_the_slot_count(spark, panel, tmp_path):
 
 def test_fact_columns_follow_the_import_schema(panel):
     assert fact_sales(panel).columns == REPORT_TABLES["Sales"].names
+
+
+def test_work_folder_must_be_shared_on_a_cluster(tmp_path):
+    class Context:
+        applicationId, master = "app", "spark://head:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return "set"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/work/"}
+    assert shared_root(Session()) == "hdfs://shared/work"
+    Session.conf, Context.master = {}, "local[2]"
+    assert shared_root(Session()) == shared_root(Session())
+
+
+def test_align_pairs_separate_frames(spark):
+    day = dt.date(2018, 1, 1)
+    actual = spark.createDataFrame([(day, 1, 1, 5), (day, 1, 2, 6)], "date DATE, store INT, item INT, sales BIGINT")
+    forecast = spark.createDataFrame([(day, 1, 2, 6.5), (day, 2, 2, 1.0)], "date DATE, store INT, item INT, forecast DOUBLE")
+    assert [tuple(r) for r in align(actual, forecast).collect()] == [(day, 1, 2, 6, 6.5)]

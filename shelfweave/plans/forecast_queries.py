@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfweave.functions.metrics import evaluate, rounded
 from shelfweave.functions.scoring import clip_at_zero, demand_level, iso_text, round_units
 from shelfweave.operators import accuracy, grid, learned, semantic
-from shelfweave.operators.ml_stages import CATEGORIES, NUMERIC, MedianImputer
+from shelfweave.operators.ml_stages import CATEGORIES, NUMERIC
 from shelfweave.operators.quantiles import exact_quantiles
 from shelfweave.operators.semantic import FilterContext
 from shelfweave.operators.splits import test_rows, train_rows, validation_rows
@@ -15,7 +15,7 @@ from shelfweave.plans.catalog import (
     LABELS_SQL, PANEL_SQL, PLAN_SQL, REPORT_YEAR, SCORED_SQL, SHORT_TRAIN_END, SMAPE_SQL,
     TRAIN_END, VAL_END, features_sql, learned_sql, query,
 )
-from shelfweave.plans.panel_queries import STORES, histogram_sql
+from shelfweave.plans.panel_queries import histogram_sql
 from shelfweave.sources import keyed_maps, requests
 from shelfweave.sources.panel import dimension, load_panel
 from shelfweave.streaming.request_log import running_metrics

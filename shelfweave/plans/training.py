@@ -166,6 +166,22 @@ def best_params(scores: DataFrame) -> DataFrame:
     ).select("model", "b.params", "b.cv_smape")
 
 
+def tune(
+    panel: DataFrame, train_end: str, val_end: str, budget: Budget = Budget()
+) -> Trained:
+    """Search on the training rows, refit each candidate's best point, pick the champion."""
+    scores = search(train_rows(panel, train_end), budget)
+    best = {r["model"]: r for r in best_params(scores).collect()}  # one row per candidate
+    drawn = {
+        name: {_text(point.items()): point for point in draw_params(grid, budget.draws)}
+        for name, grid in budget.grids.items()
+    }
+    return train_candidates(
+        panel, train_end, val_end, {name: drawn[name][r["params"]] for name, r in best.items()},
+        {name: r["cv_smape"] for name, r in best.items()},
+    )
+
+
 @dataclass
 class Trained:
     """Fitted candidates sharing one set of learned features, with their comparison table."""

@@ -15,6 +15,8 @@ def build_session(app: str = "shelfweave", master: str | None = None, **conf) ->
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a crowded key even when the result must be shuffled once more afterwards
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         **{key.replace("__", "."): value for key, value in conf.items()},

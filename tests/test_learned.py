@@ -108,6 +108,34 @@ def test_large_lookups_give_the_same_result_without_broadcast(spark, panel, monk
     assert rows_of(merged, "date", "store", "item", *AGGREGATE_COLUMNS) == want
 
 
+def test_a_crowded_series_is_split_over_tasks(spark, panel, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    series = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.pmod(F.hash("id"), F.lit(500)))
+    # copies of one row make up a third of the facts
+    facts = spark.range(0, 120_000, 1, 16).select(
+        F.lit("2017-01-02").cast("date").alias("date"), (series / 50).cast("int").alias("store"),
+        (series % 50).cast("int").alias("item"),
+    )
+    state = learn_demand(facts.distinct().withColumn("sales", F.col("store") * 100 + F.col("item")))
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        out = baseline_forecast(facts, state).filter("forecast = store * 100 + item")
+        out = out.groupBy("store", "item").count()
+        assert sum(r["count"] for r in out.collect()) == 120_000
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def test_feature_names_follow_the_columns(panel):
     model = DemandFeatures(labelCol="sales").fit(panel)
     request = panel.select("date", "store", "item")

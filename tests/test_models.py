@@ -171,6 +171,17 @@ def test_search_scores_every_draw_on_every_fold(seasonal):
     assert best.cv_smape == pytest.approx(min(means.values()))
 
 
+def test_tuning_refits_the_best_point_of_each_candidate(seasonal):
+    budget = training.Budget(
+        grids={"random_forest": {"numTrees": [3], "maxDepth": [2, 5], "maxBins": [64]},
+               "gbt_squared": {"maxIter": [2], "maxDepth": [3], "maxBins": [64]}}, draws=2, folds=2)
+    tuned = training.tune(seasonal, TRAIN_END, VAL_END, budget)
+    rows = {r.model: r for r in tuned.comparison.collect()}
+    assert set(rows) == {"random_forest", "gbt_squared"} and all(r.cv_smape > 0 for r in rows.values())
+    assert tuned.models["random_forest"].stages[-1].getOrDefault("maxDepth") == 5
+    assert tuned.champion == min(rows.values(), key=lambda r: r.val_smape).model
+
+
 def test_each_fold_learns_its_own_means(seasonal):
     rows = train_rows(seasonal, TRAIN_END)
     means = []
@@ -200,7 +211,8 @@ def test_report_side_tables(trained, seasonal, spark, tmp_path):
     twice = reports.comparison_by_model(table.unionByName(table)).collect()
     assert twice[0].Model == trained.champion
     assert twice[0]["Test MAE"] == pytest.approx(2 * table.filter(F.col("Model") == trained.champion).first()["Test MAE"])
-    names = spark.createDataFrame([("month_onehot_7", 1.0), ("store_item_mean", 2.0)], "feature STRING, mean_abs_attribution DOUBLE")
+    names = spark.createDataFrame(
+        [("month_onehot_7", 1.0), ("store_item_mean", 2.0)], "feature STRING, mean_abs_attribution DOUBLE")
     assert {r.Feature for r in reports.demand_drivers(names).collect()} == {"month 7", "store item mean"}
 
 

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfweave.operators.quantiles import exact_quantiles
 from shelfweave.schemas import PANEL_KEYS
 
 
-def panel_profile(panel: DataFrame) -> DataFrame:
+def _distinct(approximate: bool, *columns: str) -> Column:
+    if not approximate:
+        return F.count_distinct(*columns)
+    whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    return F.approx_count_distinct(F.when(whole, F.struct(*columns)))
+
+
+def panel_profile(panel: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: size, date range, distinct entities, missing cells, duplicates, completeness.
 
     Rows are first reduced to their keys, which finds the duplicates; the distinct counts
     then run over keys, with a map-side combine that leaves few values per task.
+    ``approximate`` replaces the distinct counts by sketches and so saves that last shuffle.
     """
     missing = reduce(add, [F.col(c).isNull().cast("bigint") for c in panel.columns])
     keys = panel.groupBy(*PANEL_KEYS).agg(
@@ -26,10 +34,10 @@ def panel_profile(panel: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.lit(len(panel.columns)).cast("bigint").alias("n_columns"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.count_distinct("store").alias("n_stores"),
-        F.count_distinct("item").alias("n_items"),
-        F.count_distinct("date").alias("n_dates"),
-        F.count_distinct("store", "item").alias("n_series"),
+        _distinct(approximate, "store").alias("n_stores"),
+        _distinct(approximate, "item").alias("n_items"),
+        _distinct(approximate, "date").alias("n_dates"),
+        _distinct(approximate, "store", "item").alias("n_series"),
         F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_keys"),
     )

@@ -13,7 +13,7 @@ from shelfweave.plans import scoring, training
 from shelfweave.plans.catalog import REPORT_YEAR, TRAIN_END, VAL_END, query
 from shelfweave.plans.forecast_queries import _request_texts
 from shelfweave.session import fresh_path
-from shelfweave.sources import requests, tables
+from shelfweave.sources import keyed_maps, requests, tables
 from shelfweave.sources.panel import load_panel
 from shelfweave.streaming.scorer import publish_model, score_stream
 
@@ -88,6 +88,17 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
+@query("portable_artifacts")
+def portable_artifacts(spark, sf_dir):
+    """Export what the champion learned, read it back, and size each map."""
+    path = fresh_path(spark, "portable")
+    rows = test_rows(load_panel(spark, sf_dir), VAL_END)
+    training.export_portable(trained(spark, sf_dir).best, rows, path)
+    maps, record = keyed_maps.read_artifacts(spark, path)
+    sizes = maps.groupBy("name").agg(F.sum(F.size("entries")).alias("entries"))
+    return sizes.withColumn("slots", record.select(F.size("feature_order")).scalar())
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     rows = test_rows(load_panel(spark, sf_dir), VAL_END)

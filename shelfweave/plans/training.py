@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from shelfweave.functions import metrics
 from shelfweave.operators.ml_stages import (
-    DemandFeatures, SmapeEvaluator, preprocessing_stages, slot_names,
+    CATEGORIES, FLAGS, DemandFeatures, SmapeEvaluator, preprocessing_stages, slot_names,
 )
 from shelfweave.operators.splits import expanding_folds, test_rows, train_rows, with_split
 from shelfweave.session import shared_root
+from shelfweave.sources.keyed_maps import export_artifacts
 
 SEED = 42
 N_DRAWS = 8
@@ -278,6 +279,15 @@ def metadata_record(trained: Trained, panel: DataFrame, train_end: str, val_end:
     }
 
 
+def export_portable(model: PipelineModel, sample: DataFrame, path: str) -> None:
+    """Write what a fitted pipeline learned as keyed maps and one record; see keyed_maps."""
+    features, fill = model.stages[:2]
+    names = slot_names(PipelineModel(model.stages[:-1]).transform(sample))
+    export_artifacts(
+        features.learned, sample.sparkSession, path, fill.values, CATEGORIES, FLAGS, names
+    )
+
+
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int | None = None) -> DataFrame:
     """Gain importance per slot with its name; 38 numbers come from the fitted model."""
     names = slot_names(PipelineModel(model.stages[:-1]).transform(sample))

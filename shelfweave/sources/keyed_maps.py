@@ -14,6 +14,11 @@ from shelfweave.operators.learned import MEAN_KEYS, LearnedDemand
 # table is spread over more rows by key hash.
 ENTRIES_PER_MAP = 64
 
+RECORD_SCHEMA = (
+    "global_mean DOUBLE, medians MAP<STRING, DOUBLE>, categories MAP<STRING, ARRAY<INT>>, "
+    "flags ARRAY<STRING>, feature_order ARRAY<STRING>"
+)
+
 
 def mean_entries(learned: LearnedDemand, spark: SparkSession) -> DataFrame:
     """All learned means as (name, map_key, mean), keys like ``store|item|weekday``."""
@@ -63,11 +68,16 @@ def export_artifacts(
     keyed_maps(entries, shard_counts(entries)).write.mode("overwrite").json(f"{path}/maps")
     spark.createDataFrame(
         [(learned.global_mean, medians, categories, flags, feature_order)],
-        "global_mean DOUBLE, medians MAP<STRING, DOUBLE>, categories MAP<STRING, ARRAY<INT>>, "
-        "flags ARRAY<STRING>, feature_order ARRAY<STRING>",
+        RECORD_SCHEMA,
     ).coalesce(1).write.mode("overwrite").json(f"{path}/record")
 
 
+def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The exported maps and the record."""
+    maps = spark.read.schema("name STRING, shard INT, entries MAP<STRING, DOUBLE>").json(f"{path}/maps")
+    return maps, spark.read.schema(RECORD_SCHEMA).json(f"{path}/record")
+
+
 def with_mapped_means(
     df: DataFrame, maps: DataFrame, shards: dict[str, int], global_mean: float
 ) -> DataFrame:

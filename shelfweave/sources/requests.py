@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweave.operators.grid import day_range
-from shelfweave.schemas import REQUEST_JSON, REQUEST_TEXT, require_columns
+from shelfweave.schemas import REQUEST_JSON, require_columns
 
 # Request defaults.
 DEFAULT_DATE = "2018-01-01"
@@ -117,8 +117,3 @@ def request_rows(parsed: DataFrame) -> DataFrame:
         F.explode("dates").alias("date"),
     )
 
-
-__all__ = [
-    "REQUEST_TEXT", "EntityRange", "check_requests", "iso_date", "parse_json_requests",
-    "read_requests_csv", "rejected_requests", "request_rows", "valid_requests",
-]

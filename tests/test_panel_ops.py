@@ -39,6 +39,8 @@ def test_profile_counts_gaps_duplicates_and_missing(spark):
 def test_complete_panel_has_no_gap(panel):
     got = quality.panel_profile(panel).first()
     assert (got.n_rows, got.absent_rows, got.duplicate_keys) == (240, 0, 0)
+    sketched = quality.panel_profile(panel, approximate=True).first()
+    assert (sketched.n_stores, sketched.n_series) == (2, 4) and abs(sketched.n_dates - 60) <= 6
 
 
 def test_describe_matches_numpy(spark):

@@ -138,9 +138,9 @@ def test_artifact_export_checks_the_slot_count(spark, panel, tmp_path):
     state = learn_demand(panel)
     fill, order = {c: 0.0 for c in NUMERIC}, [f"slot{i}" for i in range(38)]
     keyed_maps.export_artifacts(state, spark, str(tmp_path / "a"), fill, CATEGORIES, FLAGS, order)
-    record = spark.read.json(str(tmp_path / "a/record")).first()
+    maps, stored = keyed_maps.read_artifacts(spark, str(tmp_path / "a"))
+    record = stored.first()
     assert record.global_mean == pytest.approx(state.global_mean) and len(record.feature_order) == 38
-    maps = spark.read.schema("name STRING, shard INT, entries MAP<STRING, DOUBLE>").json(str(tmp_path / "a/maps"))
     merged = {k: v for r in maps.filter("name = 'store_item_mean'").collect() for k, v in r.entries.items()}
     assert set(merged) == {"1|1", "1|2", "2|1", "2|2"}
     with pytest.raises(ValueError, match="feature count mismatch: 38 vs 37"):

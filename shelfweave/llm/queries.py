@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import decontamination
+from shelfweave.llm import decontamination, simhash
 from shelfweave.plans.catalog import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -50,3 +50,11 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@_query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark, sf_dir):
+    """Every document: 3-word shingles, links up to 3 bits, components."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import decontamination, simhash
+from shelfweave.llm import decontamination, quality, simhash, toxicity
+from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -58,3 +59,23 @@ def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    """Every document, scored by the model learned from the rows that are not held out."""
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
+    score = toxicity.toxicity(F.col("text"), model)
+    return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@_query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    """Every document, scored by the ranking learned from the rows that are not held out."""
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.train(documents, _table(spark, sf_dir, "labels"))
+    score = quality.quality(F.col("text"), model)
+    return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))

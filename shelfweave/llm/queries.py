@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import decontamination, quality, simhash, toxicity
+from shelfweave.llm import decontamination, html_extraction, quality, simhash, toxicity
 from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
@@ -79,3 +79,10 @@ def op10_quality_classifier(spark, sf_dir):
     score = quality.quality(F.col("text"), model)
     return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@_query("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    pages = html_extraction.extract_pages(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import decontamination, html_extraction, quality, simhash, toxicity
+from shelfweave.llm import chat_format, decontamination, html_extraction, quality, simhash, toxicity
 from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
@@ -86,3 +86,27 @@ def op2_html_extraction(spark, sf_dir):
     """The main text of every page."""
     pages = html_extraction.extract_pages(_table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# escaping adds one character per < and [; a turn adds the 23 of its control strings
+CHAT_SQL = """
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, coalesce(role, '') || chr(10) || text || chr(10) AS said,
+    23 + length(coalesce(role, '<|none|>')) + length(text) + len(regexp_extract_all(coalesce(role, '') || text, '[<[]'))
+    AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@_query("op3_chat_formatting", CHAT_SQL)
+def op3_chat_formatting(spark, sf_dir):
+    """Every conversation and one that quotes control strings, formatted and read back."""
+    quoted = spark.createDataFrame(
+        [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))],
+        "conv_id LONG, turn LONG, role STRING, text STRING")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoted)
+    return chat_format.read_back(chat_format.format_chats(turns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import chat_format, decontamination, html_extraction, quality, simhash, toxicity
+from shelfweave.llm import chat_format, decontamination, html_extraction, line_dedup, quality, simhash, toxicity
 from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
@@ -110,3 +110,23 @@ def op3_chat_formatting(spark, sf_dir):
         "conv_id LONG, turn LONG, role STRING, text STRING")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoted)
     return chat_format.read_back(chat_format.format_chats(turns))
+
+
+LINE_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, p, l[p + 1:p + 3] AS win FROM d, unnest(range(0, len(l) - 2)) AS u(p)),
+later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS n FROM w
+  WHERE len(list_filter(win, lambda x: trim(x, ' ') <> '')) > 0) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, q FROM later, unnest(range(p, p + 3)) AS u(q)),
+kept AS (SELECT d.doc_id, string_agg(l[i + 1], chr(10) ORDER BY i) AS text
+  FROM d, unnest(range(0, len(l))) AS u(i) ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.q = i GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@_query("op5_line_dedup", LINE_DEDUP_SQL)
+def op5_line_dedup(spark, sf_dir):
+    """Every document without the lines that an earlier window of three lines repeats."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")

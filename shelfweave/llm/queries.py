@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import chat_format, decontamination, html_extraction, line_dedup, quality, simhash, toxicity
+from shelfweave.llm import chat_format, decontamination, html_extraction, line_dedup, quality, simhash, topk, toxicity
 from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
@@ -130,3 +130,22 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 def op5_line_dedup(spark, sf_dir):
     """Every document without the lines that an earlier window of three lines repeats."""
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+  CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@_query("op6_exact_top_k", TOP_K_SQL)
+def op6_exact_top_k(spark, sf_dir):
+    """The five best of all other vectors for every vec_id that 50 divides."""
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", topk.scaled(F.col("embedding"), 256.0).alias("vector"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+# folders handed out per application, and the area that new ones go to
+_HANDED_OUT: dict[str, list[str]] = {}
+_AREA: ContextVar[str | None] = ContextVar("work_area", default=None)
 
 
 def build_session(app: str = "shelfweave", master: str | None = None, **conf) -> SparkSession:
@@ -49,8 +54,35 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared root that no other call gets."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path below the shared root, or the current work area, that no other call gets."""
+    path = f"{_AREA.get() or shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    if not _AREA.get():
+        _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; it need not exist."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def work_area(spark: SparkSession):
+    """Intermediate tables written inside this block are removed at its end; results must be stored elsewhere before."""
+    area = fresh_path(spark, "area")
+    token = _AREA.set(area)
+    try:
+        yield area
+    finally:
+        _AREA.reset(token)
+        remove_path(spark, area)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; tables read from them are gone after that."""
+    for path in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
+        remove_path(spark, path)
 
 
 def store_table(df: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfweave.llm import chat_format, decontamination, html_extraction, line_dedup, quality, simhash, topk, toxicity
+from shelfweave.llm import chat_format, decontamination, html_extraction, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from shelfweave.llm.text import held_out
 from shelfweave.plans.catalog import Entry
 
@@ -149,3 +149,20 @@ def op6_exact_top_k(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select(
         "vec_id", topk.scaled(F.col("embedding"), 256.0).alias("vector"))
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@_query("op8_sharding")
+def op8_sharding(spark, sf_dir):
+    """Every document's place in 40 shards that differ by one row at most."""
+    documents = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return sharding.shard(documents.withColumn("text_crc32", crc), shards=40).select(
+        "row.doc_id", "size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query("op4_source_mixing")
+def op4_source_mixing(spark, sf_dir):
+    """Every document's rate in a mixture whose languages weigh their share to the power of 0.7."""
+    rated, _ = mixing.mix(_table(spark, sf_dir, "documents"), "lang", temper=0.7)
+    return rated.select("doc_id", "n_tokens", "domain", "rate", "copies")

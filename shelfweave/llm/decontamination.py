@@ -6,8 +6,8 @@ document that holds a window also holds that window's fingerprint: no shared spa
 ``window`` words can be missed. Fingerprint hits are then extended to every window around
 them and compared word by word, so nothing is reported that does not occur.
 
-Only fingerprints of documents meet the benchmark (about two of nine words, 24 bytes
-each); words are compared for the documents that were hit. All steps are DataFrame
+Only fingerprints of documents meet the benchmark (two of nine k-grams); words are
+compared for the documents that were hit. All steps are DataFrame
 functions.
 """
 
@@ -21,11 +21,12 @@ from shelfweave.session import fresh_path, store_table
 
 WINDOW = 13
 #: After lower-casing: digits, a-z and everything beyond ASCII make words.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    # splitting is several times faster than extracting every match
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
 
 
 def gram_size(length: int) -> int:
@@ -33,36 +34,42 @@ def gram_size(length: int) -> int:
     return min(6, (length + 1) // 2)
 
 
-def fingerprints(df: DataFrame, length: int, *keep: str) -> DataFrame:
-    """One row per winnowed fingerprint of ``w`` (array of words): keep..., length, pos, hash.
+#: A text has less than 2^31 bytes, so a word's position fits these low bits; the hash keeps the others.
+POSITION = (1 << 30) - 1
 
-    The hash of a k-gram loses its lowest bits to the position modulo the next power of two,
-    which lets one running minimum carry both.
+
+def fingerprints(w: str, length: int):
+    """The fingerprint of every window of the words in column ``w``: a function that adds column ``prints_{length}``.
+
+    A fingerprint is one long: hash and position of a k-gram, so that a running minimum picks the smallest hash of a
+    window together with its place (the leftmost of equal ones); windows that share it repeat it. Texts of fewer than ``length`` words have none (NULL).
     """
     k = gram_size(length)
     span = length - k + 1  # k-grams in a window
-    slots = 1 << (span - 1).bit_length()
-    df = df.filter(F.size("w") >= length).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-    wh = F.col("wh")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(wh) - k),
-        lambda i: F.xxhash64(*[wh[i + j] for j in range(k)]).bitwiseAND(F.lit(-slots))
-        .bitwiseOR(i.bitwiseAND(F.lit(slots - 1)).cast("long")),
-    )
-    df = df.select(*keep, grams.alias("m"))
-    m, reach = F.col("m"), 1
-    while reach < span:  # the minimum over 1, 2, 4, ... consecutive k-grams, then over all of a window
-        step = min(reach, span - reach)
-        df = df.select(*keep, F.transform(
-            F.sequence(F.lit(0), F.size(m) - 1 - step), lambda i: F.least(m[i], m[i + step])).alias("m"))
-        reach += step
-    chosen = F.transform(m, lambda v, s: F.struct(
-        (s + F.pmod(v.bitwiseAND(F.lit(slots - 1)).cast("int") - s, F.lit(slots))).alias("pos"),
-        v.bitwiseAND(F.lit(-slots)).alias("hash")))
-    return (
-        df.select(*keep, F.explode(F.array_distinct(chosen)).alias("f"))
-        .select(*keep, F.lit(length).alias("length"), "f.pos", "f.hash")
-    )
+    name = f"prints_{length}"
+
+    def add(df: DataFrame) -> DataFrame:
+        gram = lambda i: F.xxhash64(*[F.col(w)[i + j] for j in range(k)])
+        df = df.withColumn(name, F.when(F.size(w) >= length, F.transform(
+            F.sequence(F.lit(0), F.size(w) - k),
+            lambda i: gram(i).bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long")))))
+        m, reach = F.col(name), 1
+        while reach < span:  # the minimum over 1, 2, 4, ... consecutive k-grams, then over all of a window
+            step = min(reach, span - reach)
+            df = df.withColumn(name, F.when(m.isNotNull(), F.transform(
+                F.sequence(F.lit(0), F.size(m) - 1 - step), _least_of_two(m, step))))
+            reach += step
+        return df
+
+    return add
+
+
+def _least_of_two(values: Column, step: int):
+    return lambda i: F.least(values[i], values[i + step])
+
+
+def _hash(fingerprint: Column) -> Column:
+    return fingerprint.bitwiseAND(F.lit(~POSITION))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -98,18 +105,28 @@ def find_contamination(
     # The benchmark's tables are stored: Spark then knows their true size and broadcasts them only below its threshold.
     items = store_table(benchmark_windows(benchmark, item_id, item_text, window), fresh_path(spark, "windows"))
     distinct = items.select("length", "window", "window_id").distinct()
-    lengths = [r.length for r in distinct.select("length").distinct().collect()]  # 1 to ``window`` at most
-
-    tokenized = docs.select("key", words(F.col("text")).alias("w"))
+    lengths = sorted(r.length for r in distinct.select("length").distinct().collect())  # 1 to ``window`` at most
+
+    tokenized = docs.select("key", "doc_id", words(F.col("text")).alias("w"))
+    for length in lengths:
+        tokenized = tokenized.transform(fingerprints("w", length))
+    # read and tokenized once; the fingerprints take about a third of the texts' bytes
+    printed = store_table(
+        tokenized.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), *[F.array_distinct(f"prints_{n}").alias(f"prints_{n}") for n in lengths]),
+        fresh_path(spark, "fingerprints"))
     candidates = spark.createDataFrame([], "key STRING, length INT, pos INT")
-    for length in sorted(lengths):
-        wanted = store_table(
-            fingerprints(distinct.filter(F.col("length") == length).select(F.split("window", " ").alias("w")), length)
-            .select("hash").distinct(),
-            fresh_path(spark, "fingerprints"),
-        )
-        hits = fingerprints(tokenized, length, "key").join(wanted, "hash", "left_semi")
-        candidates = candidates.unionByName(hits.select("key", "length", "pos"))
+    for length in lengths:
+        name = f"prints_{length}"
+        wanted = distinct.filter(F.col("length") == length).select(F.split("window", " ").alias("w"))
+        # exploding an expression, not a column: Spark would filter on a column's size first and compute it twice
+        wanted = wanted.transform(fingerprints("w", length)).select(F.explode(F.array_distinct(name)).alias("f"))
+        wanted = store_table(wanted.select(_hash(F.col("f")).alias("hash")).distinct(), fresh_path(spark, "wanted"))
+        hits = (
+            printed.select("key", F.explode(name).alias("f"))
+            .select("key", F.lit(length).alias("length"), F.col("f").bitwiseAND(F.lit(POSITION)).cast("int").alias("pos"),
+                    _hash(F.col("f")).alias("hash"))
+            .join(wanted, "hash", "left_semi"))
+        candidates = candidates.unionByName(hits.drop("hash"))
     # at most one position per word of one document comes together here
     candidates = store_table(
         candidates.groupBy("key").agg(F.collect_set(F.struct("length", "pos")).alias("at")),
@@ -122,10 +139,9 @@ def find_contamination(
         .groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
     found = hits.select("key", "spans").join(listed, "key", "left")
-    n_words = F.size(words(F.col("text"))).cast("long")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s.end - s.start), F.lit(0)).cast("long")
     return (
-        docs.select("key", "doc_id", n_words.alias("n_words"))
+        printed.select("key", "doc_id", "n_words")
         .join(found, "key", "left")
         .select(
             "key", "doc_id", "n_words", n_hit.alias("n_hit"),

@@ -124,13 +124,17 @@ def _largest_eigenvalue(matrix: list[list[float]]) -> float:
     return value
 
 
-def _stepped(rate: Column, steps: list[list[float]], min_rate: float) -> Column:
-    """The rate after projected steps along the given pulls on the domains."""
-    if not steps:
-        return rate
-    rows = F.array(*[_numbers(pull, 17) for pull in steps])
-    dot = lambda pull: F.aggregate(F.zip_with("p", pull, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(rows, rate, lambda r, pull: F.greatest(F.lit(min_rate), r - dot(pull)))
+def _stepped(rate: Column, last: Column, steps: list[tuple[float, list[float]]], min_rate: float) -> Column:
+    """The rate and the one before it (as a struct) after projected steps (momentum, pull on each domain)."""
+    rows = F.array(*[_numbers([momentum, *pull], 17) for momentum, pull in steps])
+
+    def step(state, row):
+        ahead = state.rate + row[0] * (state.rate - state.last)
+        along = F.aggregate(
+            F.zip_with("p", F.slice(row, 2, F.size("p")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(F.greatest(F.lit(min_rate), ahead - along).alias("rate"), state.rate.alias("last"))
+
+    return F.aggregate(rows, F.struct(rate.alias("rate"), last.alias("last")), step)
 
 
 def fit_rates(
@@ -146,7 +150,8 @@ def fit_rates(
     """
     n, min_rate = len(domains), float(min_rate)
     p, tokens = F.col("p"), F.col("n_tokens")
-    members = members.withColumn("rate", F.lit(max(1.0, min_rate)))
+    start = max(1.0, min_rate)
+    members = members.withColumn("rate", F.lit(start))
     pairs = [(a, b) for a in range(n) for b in range(a, n)]
     first = members.agg(
         *[F.coalesce(F.sum(tokens * p[j]), F.lit(0.0)).alias(f"s{j}") for j in range(n)],
@@ -170,21 +175,31 @@ def fit_rates(
         gram[a][b] = gram[b][a] = first[f"g{a}_{b}"] / math.sqrt(scale[a] * scale[b])
     eta = 1.0 / (_largest_eigenvalue(gram) * (1 + 1e-6))
 
-    reached, pending, steps = [x * max(1.0, min_rate) for x in now], [], 0
+    state = members.select("key", "doc_id", "n_tokens", "p", F.col("rate"), F.col("rate").alias("last"))
+    reached = before = [x * start for x in now]
+    pending, steps, pace = [], 0, 1.0
     for steps in range(1, MAX_STEPS + 1):
         if len(pending) == REPLAY:
-            members = store_table(
-                members.withColumn("rate", _stepped(F.col("rate"), pending, min_rate)),
-                fresh_path(members.sparkSession, "rates"))
+            state = store_table(_replayed(state, pending, min_rate), fresh_path(state.sparkSession, "rates"))
             pending = []
-        pending.append([eta * (r - t) / s for r, t, s in zip(reached, wanted, scale)])
-        rated = members.withColumn("rate", _stepped(F.col("rate"), pending, min_rate))
-        sums = rated.agg(*[F.sum(tokens * F.col("rate") * p[j]).alias(f"s{j}") for j in range(n)]).first()
-        last, reached = reached, [sums[f"s{j}"] for j in range(n)]
-        if max(abs(a - b) for a, b in zip(last, reached)) <= TOLERANCE * total:
+        # accelerated steps (Beck, Teboulle 2009); totals are linear in the rates, also in those ahead
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = (pace - 1) / faster, faster
+        ahead = [r + momentum * (r - b) for r, b in zip(reached, before)]
+        pending.append((momentum, [eta * (a - t) / s for a, t, s in zip(ahead, wanted, scale)]))
+        sums = _replayed(state, pending, min_rate).agg(
+            *[F.sum(tokens * F.col("rate") * p[j]).alias(f"s{j}") for j in range(n)]).first()
+        before, reached = reached, [sums[f"s{j}"] for j in range(n)]
+        if max(abs(a - b) for a, b in zip(before, reached)) <= TOLERANCE * total:
             break
-    rated = members.withColumn("rate", _stepped(F.col("rate"), pending, min_rate))
-    return rated, {"domains": domains, "now": now, "targets": wanted, "reached": reached, "steps": steps}
+    report = {"domains": domains, "now": now, "targets": wanted, "reached": reached, "steps": steps}
+    return _replayed(state, pending, min_rate).drop("last"), report
+
+
+def _replayed(state: DataFrame, pending: list[tuple[float, list[float]]], min_rate: float) -> DataFrame:
+    moved = _stepped(F.col("rate"), F.col("last"), pending, min_rate)
+    return state.select("key", "doc_id", "n_tokens", "p", moved.alias("x")).select(
+        "key", "doc_id", "n_tokens", "p", "x.rate", "x.last")
 
 
 def mix(

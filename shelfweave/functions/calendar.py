@@ -19,8 +19,14 @@ def as_date(df: DataFrame, name: str = "date") -> Column:
     return F.col(name) if dict(df.dtypes)[name] == "date" else F.col(name).try_cast("date")
 
 
+def whole_number(value: Column) -> Column:
+    """The value as an int where it is a whole number in any notation ("2", "2.0", 2.0), else NULL."""
+    exact = F.trim(value.cast("string")).try_cast("decimal(38,9)")
+    return F.when(exact == F.floor(exact), exact.try_cast("int"))
+
+
 def as_id(df: DataFrame, name: str) -> Column:
-    return F.col(name) if dict(df.dtypes)[name] == "int" else F.col(name).try_cast("int")
+    return F.col(name) if dict(df.dtypes)[name] == "int" else whole_number(F.col(name))
 
 
 def _flag(condition: Column) -> Column:

@@ -7,13 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PERIODS = 365
-
 
 def day_range(start: Column, periods: Column) -> Column:
-    """The days start .. start + periods - 1, none when periods is below 1, at most 365."""
-    n = F.least(periods, F.lit(MAX_PERIODS))
-    return F.when(n >= 1, F.sequence(start, F.date_add(start, n - 1)))
+    """The days start .. start + periods - 1, however many; NULL when periods is below 1."""
+    return F.when(periods >= 1, F.sequence(start, F.date_add(start, periods - 1)))
 
 
 def future_grid(series: DataFrame, start: dt.date | Column, periods: int) -> DataFrame:

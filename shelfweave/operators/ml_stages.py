@@ -12,7 +12,7 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
     MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweave.functions.calendar import CALENDAR_COLUMNS
@@ -21,6 +21,7 @@ from shelfweave.operators.learned import (
     AGGREGATE_COLUMNS, LearnedDemand, demand_features, learn_demand,
 )
 from shelfweave.operators.quantiles import medians
+from shelfweave.session import fresh_path
 
 # The column groups of the feature vector, in slot order.
 NUMERIC = [
@@ -97,7 +98,10 @@ class DemandFeaturesModel(Model, MLReadable, MLWritable):
 
     @classmethod
     def _restore(cls, state: dict, path: str) -> DemandFeaturesModel:
-        return cls(LearnedDemand(f"{path}/tables", state["global_mean"], state["rows"]))
+        # the tables are copied, so that the model outlives its folder and may be saved to it again
+        spark = SparkSession.active()
+        stored = LearnedDemand(f"{path}/tables", state["global_mean"], state["rows"])
+        return cls(stored.copy_to(spark, fresh_path(spark, "loaded")))
 
 
 class MedianImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):

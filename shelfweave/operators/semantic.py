@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfweave.operators.explore import in_year
-from shelfweave.operators.joins import lookup_join
 
 DIM_KEYS = {"Stores": "Store", "Items": "Item"}
 
@@ -129,7 +128,9 @@ def evaluate(
             _alias(p): F.sum(_alias(p)).over(rest) for p in parts if p[2] is not None
         })
     if by and kept:
-        grouped = grouped.filter("_kept")  # groups outside the slicer are not shown
+        # groups outside the slicer are hidden, unless a measure with its own year has a value there
+        own = [F.col(_alias(p)).isNotNull() for p in parts if p[2] is not None and "Year" not in by]
+        grouped = grouped.filter(reduce(or_, own, F.col("_kept")))
     return grouped.select(
         *by, *[m.combine(*[F.col(_alias(p)) for p in m.parts]).alias(n) for n, m in wanted.items()]
     )
@@ -141,9 +142,12 @@ def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def star_join(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Join a fact to its counted dimensions, many to one; rows without a dimension row drop out."""
+    """Join a fact to its dimensions, many to one; rows without a dimension row drop out, see ``orphans``.
+
+    Spark broadcasts a dimension by its size in bytes; stored dimensions have a known one.
+    """
     for name, dim in dims.items():
-        fact = lookup_join(fact, dim, [DIM_KEYS[name]], dim.count(), "inner")
+        fact = fact.join(dim, DIM_KEYS[name])
     return fact
 
 

@@ -66,12 +66,29 @@ class Fold:
 
 
 def key_before(key: tuple) -> Column:
-    """Rows whose (date, store, item) sorts before ``key``; the date bound reaches the scan."""
-    date, store, item = (F.lit(key[0]).cast("date"), F.lit(key[1]), F.lit(key[2]))
-    same_day = (F.col("date") == date) & (
-        (F.col("store") < store) | ((F.col("store") == store) & (F.col("item") < item))
-    )
-    return (F.col("date") <= date) & ((F.col("date") < date) | same_day)
+    """Rows whose (date, store, item) sorts before ``key``, never NULL; the date bound reaches the scan.
+
+    A missing value sorts first, as in the counts that the keys come from.
+    """
+    (first, day), (second, store), (third, item) = (_order(name, value) for name, value in zip(PANEL_KEYS, key))
+    reach = F.col("date").isNull() if key[0] is None else F.col("date").isNull() | (F.col("date") <= F.lit(key[0]).cast("date"))
+    return reach & (first | (day & (second | (store & third))))
+
+
+def _order(name: str, value) -> tuple[Column, Column]:
+    """Whether the column lies before the value, and whether it equals it; NULL comes first."""
+    column = F.col(name)
+    if value is None:
+        return F.lit(False), column.isNull()
+    bound = F.lit(value).cast("date") if name == "date" else F.lit(value)
+    return column.isNull() | (column < bound), column.eqNullSafe(bound)
+
+
+def _among(name: str, values) -> Column:
+    """Whether the column holds one of the values, NULL being one like any other."""
+    known = sorted(v for v in values if v is not None)
+    found = F.coalesce(F.col(name).isin(known), F.lit(False)) if known else F.lit(False)
+    return found | F.col(name).isNull() if None in values else found
 
 
 def _spans(rows: DataFrame, within: list[str], key: str) -> DataFrame:
@@ -122,14 +139,14 @@ def fold_starts(panel: DataFrame, n_splits: int) -> list[tuple]:
         # each target looks only into the group found for it one level up
         here = F.array(*[
             F.when(
-                reduce(and_, [F.col(k) == F.lit(h[k]) for k in within]),
+                reduce(and_, [F.col(k).eqNullSafe(F.lit(h[k])) for k in within]),
                 _target(h["target"], h["position"]),
             )
             for h in hits
         ])
-        rows = panel.filter(F.col("date").isin(sorted({h["date"] for h in hits})))
+        rows = panel.filter(_among("date", {h["date"] for h in hits}))
         if level == 2:
-            rows = rows.filter(F.col("store").isin(sorted({h["store"] for h in hits})))
+            rows = rows.filter(_among("store", {h["store"] for h in hits}))
         hits = _covering(_spans(rows, within, key), F.array_compact(here)).collect()
     return [tuple(h[k] for k in PANEL_KEYS) for h in sorted(hits, key=lambda h: h["target"])]
 

@@ -300,22 +300,25 @@ SLICE_SQL = "store IN (1, 2, 3) AND item IN (5, 6, 7, 8)"
 
 @query("sliced_measures", f"""WITH {PLAN_SQL},
 test AS (SELECT * FROM panel WHERE date > DATE '{VAL_END}'), {features_sql('test', 'test_feat')},
-scored AS (SELECT *, store_item_dow_mean AS forecast FROM test_feat WHERE {SLICE_SQL}), {TEST_FACT_SQL},
+scored AS (SELECT *, store_item_dow_mean AS forecast FROM test_feat WHERE {SLICE_SQL} AND store <> 3), {TEST_FACT_SQL},
 s AS (SELECT store, {sales_measures_sql('year(date) IN (1997, 1998)')}
       FROM panel WHERE {SLICE_SQL} GROUP BY 1),
 f AS (SELECT store, ROUND(SUM(forecast), 6) AS forecast_units,
              ROUND(AVG(forecast), 6) AS avg_daily_forecast
-      FROM plan WHERE {SLICE_SQL} AND month(date) IN (11, 12) GROUP BY 1),
+      FROM plan WHERE {SLICE_SQL} AND month(date) IN (11, 12) AND store <> 2 GROUP BY 1),
 a AS (SELECT "Store" AS store, {ACCURACY_SQL} FROM test_fact GROUP BY 1)
-SELECT CAST(s.store AS BIGINT) AS "Store", s.* EXCLUDE (store), f.* EXCLUDE (store), a.* EXCLUDE (store)
-FROM s JOIN f ON f.store = s.store JOIN a ON a.store = s.store""")
+SELECT CAST(coalesce(s.store, f.store, a.store) AS BIGINT) AS "Store", s.* EXCLUDE (store), f.* EXCLUDE (store), a.* EXCLUDE (store)
+FROM s FULL JOIN f ON f.store = s.store FULL JOIN a ON a.store = coalesce(s.store, f.store)""")
 def sliced_measures(spark, sf_dir):
+    """All measures per store; store 2 has no forecast here and store 3 no test rows, and both stay."""
     facts = _facts(spark, sf_dir)
+    facts["Forecast"] = facts["Forecast"].filter("Store <> 2")
+    facts["TestForecast"] = facts["TestForecast"].filter("Store <> 3")
     parts = [
         semantic.evaluate(facts, names, REPORT_YEAR, SLICERS, by=("Store",))
         for names in (SALES_MEASURES, FORECAST_MEASURES, ACCURACY_MEASURES)
     ]
-    return rounded(parts[0].join(parts[1], "Store").join(parts[2], "Store"))
+    return rounded(parts[0].join(parts[1], "Store", "full").join(parts[2], "Store", "full"))
 
 
 @query("star_join", f"""WITH {PANEL_SQL}
@@ -364,14 +367,16 @@ def validate_requests(spark, sf_dir):
 
 
 @query("parse_requests", f"""WITH {PANEL_SQL},
-r AS (SELECT *, isodow(date) - 1 AS dow FROM panel)
+r AS (SELECT *, isodow(date) - 1 AS dow, CASE WHEN isodow(date) = 6 THEN 'bad json' WHEN isodow(date) = 7 THEN 'bad date'
+        WHEN isodow(date) = 4 AND item = 1 THEN 'bad periods'
+        WHEN isodow(date) = 5 AND item > 30 THEN 'too many periods' END AS reason FROM panel)
 SELECT date AS asked, store AS asked_store, item AS asked_item,
   CAST(CASE WHEN dow IN (0, 5) THEN 1 ELSE store END AS INTEGER) AS store,
   CAST(CASE WHEN dow IN (0, 2, 5) THEN 1 ELSE item END AS INTEGER) AS item,
-  CASE WHEN dow = 0 THEN DATE '2018-01-01' WHEN dow IN (5, 6) THEN NULL ELSE date END AS first_date,
-  CAST(CASE WHEN dow = 0 THEN 1 WHEN dow = 1 THEN 1 WHEN dow = 2 THEN 7 WHEN dow = 3 THEN item
-            WHEN dow = 4 THEN 365 END AS BIGINT) AS n_days,
-  CASE dow WHEN 5 THEN 'bad json' WHEN 6 THEN 'bad date' END AS reject_reason FROM r""")
+  CASE WHEN reason IS NOT NULL THEN NULL WHEN dow = 0 THEN DATE '2018-01-01' ELSE date END AS first_date,
+  CAST(CASE WHEN reason IS NOT NULL THEN NULL WHEN dow <= 1 THEN 1 WHEN dow = 2 THEN 7 WHEN dow = 3 THEN item - 1
+            WHEN dow = 4 THEN item + 370 END AS BIGINT) AS n_days,
+  reason AS reject_reason FROM r""")
 def parse_requests(spark, sf_dir):
     panel = load_panel(spark, sf_dir)
     dow, day = F.weekday("date"), iso_text(F.col("date"))
@@ -383,15 +388,19 @@ def parse_requests(spark, sf_dir):
     text = (
         F.when(dow == 0, "{}").when(dow == 1, body(date=day, **ids))
         .when(dow == 2, body(start_date=day, store=ids["store"]))
-        .when(dow == 3, body(start_date=day, periods=F.col("item"), **ids))
-        .when(dow == 4, body(start_date=day, periods=F.col("item") + 1000, **ids))
-        .when(dow == 5, "{\"store\": ").otherwise(body(date=F.date_format("date", "yyyy/MM/dd"), **ids))
+        .when(dow == 3, body(start_date=day, periods=F.col("item") - 1, **ids))
+        # whole numbers in another notation
+        .when(dow == 4, body(start_date=day, periods=F.col("item") + 370.0,
+                             store=F.col("store").cast("double"), item=F.col("item").cast("double")))
+        # half an object, and an object with something behind it
+        .when(dow == 5, F.when(F.col("item") % 2 == 0, "{\"store\": ").otherwise(
+            F.concat(body(date=day, **ids), F.lit(" and more")))).otherwise(body(date=F.date_format("date", "yyyy/MM/dd"), **ids))
     )
     texts = panel.select(
         F.col("date").alias("asked"), F.col("store").alias("asked_store"),
         F.col("item").alias("asked_item"), text.alias("body"),
     )
-    return requests.parse_json_requests(texts).select(
+    return requests.parse_json_requests(texts, max_periods=400).select(
         "asked", "asked_store", "asked_item", "store", "item", F.array_min("dates").alias("first_date"),
         F.when(F.col("dates").isNotNull(), F.size("dates")).cast("bigint").alias("n_days"), "reject_reason",
     )

@@ -1,4 +1,4 @@
-"""Queries whose results come from a fitted model; they have no SQL twin."""
+"""Queries whose results come from a fitted model; a twin exists where it follows from the tables alone."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from shelfweave.operators import accuracy, reports, semantic
 from shelfweave.operators.grid import day_range
 from shelfweave.operators.splits import test_rows, train_rows
 from shelfweave.plans import scoring, training
-from shelfweave.plans.catalog import REPORT_YEAR, TRAIN_END, VAL_END, query
+from shelfweave.plans.catalog import PANEL_SQL, REPORT_YEAR, TRAIN_END, VAL_END, query
 from shelfweave.plans.forecast_queries import _request_texts
 from shelfweave.session import fresh_path
 from shelfweave.sources import keyed_maps, requests, tables
@@ -126,7 +126,8 @@ def report_comparison(spark, sf_dir):
     """The comparison as its typed import, summed by model."""
     path = fresh_path(spark, "report-comparison")
     tables.write_csv(reports.model_comparison(trained(spark, sf_dir).comparison), path)
-    return reports.comparison_by_model(tables.read_report_table(spark, "ModelComparison", path))
+    rows, _ = tables.read_report_table(spark, "ModelComparison", path)
+    return reports.comparison_by_model(rows)
 
 
 @query("report_metrics")
@@ -142,12 +143,34 @@ def random_search(spark, sf_dir):
 
 @query("score_batch")
 def score_batch(spark, sf_dir):
-    """Score the panel's keys as a CSV batch; unknown ids go through the fallback."""
+    """One row per request of a CSV batch: its forecast, or why it was rejected; unknown ids go through the fallback."""
     path = fresh_path(spark, "batch")
     tables.write_csv(_request_texts(spark, sf_dir), path)
     checked = requests.check_requests(requests.read_requests_csv(spark, path), ranges=None)
-    scored = scoring.score(trained(spark, sf_dir).best, requests.valid_requests(checked))
-    return rounded(scored)
+    return rounded(scoring.score_all(trained(spark, sf_dir).best, checked))
+
+
+# What any fitted model must satisfy, counted per reason; the twin derives the counts from the requests alone.
+BATCH_SQL = f"""WITH {PANEL_SQL},
+r AS (SELECT CASE isodow(date) WHEN 7 THEN 'missing date' WHEN 1 THEN 'bad date' WHEN 3 THEN 'bad store'
+        WHEN 2 THEN CASE WHEN month(date) < 10 OR day(date) < 10 THEN 'bad date' END END AS reason FROM panel)
+SELECT coalesce(reason, 'scored') AS outcome, COUNT(*) AS n_requests,
+  CAST(COUNT(*) FILTER (reason IS NULL) AS BIGINT) AS n_forecasts, CAST(0 AS BIGINT) AS n_negative,
+  CAST(0 AS BIGINT) AS n_misrounded FROM r GROUP BY 1"""
+
+
+@query("score_batch_outcomes", BATCH_SQL)
+def score_batch_outcomes(spark, sf_dir):
+    """Requests, forecasts and broken promises per outcome of the batch."""
+    path = fresh_path(spark, "batch")
+    tables.write_csv(_request_texts(spark, sf_dir), path)
+    checked = requests.check_requests(requests.read_requests_csv(spark, path), ranges=None)
+    rows = scoring.score_all(trained(spark, sf_dir).best, checked)
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("scored")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.count("forecast").alias("n_forecasts"),
+        F.count_if(F.col("forecast") < 0).alias("n_negative"),
+        F.count_if(F.col("predicted_sales") != F.bround("forecast", 2)).alias("n_misrounded"),
+    )
 
 
 @query("score_summary")
@@ -181,8 +204,7 @@ def stream_score(spark, sf_dir):
     publish_model(trained(spark, sf_dir).best, store, version=1)
     stream = score_stream(spark, arriving, store, out)
     stream.awaitTermination()
-    return rounded(
-        spark.read.parquet(f"{out}/scored").select(
-            "request_id", "date", "store", "item", "forecast", "predicted_sales", "demand_level", "model_version"
-        )
-    )
+    scored = spark.read.parquet(f"{out}/scored").select(
+        "request_id", "date", "store", "item", "forecast", "predicted_sales", "demand_level", "model_version")
+    rejected = spark.read.parquet(f"{out}/rejected").select("request_id", "reject_reason")
+    return rounded(scored.unionByName(rejected, allowMissingColumns=True))

@@ -38,7 +38,19 @@ SELECT date, CAST(store AS BIGINT) AS "Store", CAST(item AS BIGINT) AS "Item", s
 def typed_csv_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "sales-csv")
     tables.write_csv(fact_sales(load_panel(spark, sf_dir)), path)
-    return tables.read_report_table(spark, "Sales", path)
+    return tables.read_report_table(spark, "Sales", path)[0]
+
+
+@query("typed_csv_rejects", f"""WITH {PANEL_SQL}
+SELECT CASE WHEN isodow(date) = 7 THEN 'rejected' ELSE 'read' END AS outcome, COUNT(*) AS n FROM panel GROUP BY 1""")
+def typed_csv_rejects(spark, sf_dir):
+    """A file whose Sunday lines break the declared types: lines read, and lines set aside."""
+    path = fresh_path(spark, "broken-csv")
+    facts = fact_sales(load_panel(spark, sf_dir))
+    tables.write_csv(facts.withColumn("Sales", F.when(F.weekday("date") == 6, "?").otherwise(F.col("Sales").cast("string"))), path)
+    rows, rejects = tables.read_report_table(spark, "Sales", path)
+    return rows.select(F.lit("read").alias("outcome")).unionByName(
+        rejects.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("write_splits", f"""WITH {PANEL_SQL}
@@ -55,7 +67,7 @@ def write_splits(spark, sf_dir):
 @query("series_history", f"""WITH {PANEL_SQL}
 SELECT date, store, item, sales FROM panel WHERE store = 2 AND item = 15""")
 def series_history(spark, sf_dir):
-    return source.series_history(load_panel(spark, sf_dir), 2, 15)
+    return source.series_history(source.load_panel_by_store(spark, sf_dir), 2, 15)
 
 
 @query("dim_tables", f"""WITH {PANEL_SQL}
@@ -265,7 +277,12 @@ def peak_trough_ratios(spark, sf_dir):
     return rounded(explore.peak_trough_ratios(load_panel(spark, sf_dir)))
 
 
-STORES = list(range(1, 11))
+def _stores(panel) -> list[int]:
+    """The columns of a pivot: every store of the dimension."""
+    return sorted(r["Store"] for r in source.dimension(panel, "store").collect())
+
+
+STORES = list(range(1, 11))  # those of the fixture, for the twins
 PIVOT_SQL = ", ".join(
     f"ROUND(AVG(sales) FILTER (store = {s}), 6) AS store_{s}" for s in STORES
 )
@@ -274,14 +291,16 @@ PIVOT_SQL = ", ".join(
 @query("store_month_pivot", f"""WITH {PANEL_SQL}
 SELECT CAST(month(date) AS INTEGER) AS month, {PIVOT_SQL} FROM panel GROUP BY 1""")
 def store_month_pivot(spark, sf_dir):
-    return rounded(explore.store_month_pivot(load_panel(spark, sf_dir), STORES))
+    panel = load_panel(spark, sf_dir)
+    return rounded(explore.store_month_pivot(panel, _stores(panel)))
 
 
 @query("store_month_totals", f"""WITH {PANEL_SQL}
 SELECT CAST(month(date) AS INTEGER) AS month, CAST(GROUPING(month(date)) AS INTEGER) AS is_total,
        {PIVOT_SQL}, ROUND(AVG(sales), 6) AS all_stores FROM panel GROUP BY ROLLUP (month(date))""")
 def store_month_totals(spark, sf_dir):
-    return rounded(explore.store_month_pivot(load_panel(spark, sf_dir), STORES, totals=True))
+    panel = load_panel(spark, sf_dir)
+    return rounded(explore.store_month_pivot(panel, _stores(panel), totals=True))
 
 
 def histogram_sql(values: str, bins: int) -> str:

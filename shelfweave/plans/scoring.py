@@ -27,6 +27,14 @@ def score(model: PipelineModel, requests: DataFrame) -> DataFrame:
     return finish(predict(model, requests), requests.columns)
 
 
+def score_all(model: PipelineModel, checked: DataFrame) -> DataFrame:
+    """One row per checked request: scored, or with its ``reject_reason``."""
+    from shelfweave.sources.requests import rejected_requests, valid_requests
+
+    scored = score(model, valid_requests(checked))
+    return scored.unionByName(rejected_requests(checked).drop("raw"), allowMissingColumns=True)
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("forecast").alias("total_units"),

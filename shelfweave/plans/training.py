@@ -63,10 +63,6 @@ def regressor(name: str, **params):
         return GBTRegressor(lossType="absolute", checkpointInterval=10, **{**common, **params})
     if name == "random_forest":
         return RandomForestRegressor(**{**common, **params})
-    if name == "xgboost":  # only where that package is installed
-        from xgboost.spark import SparkXGBRegressor
-
-        return SparkXGBRegressor(features_col="features", label_col="sales", seed=SEED, **params)
     raise ValueError(f"unknown candidate '{name}'")
 
 

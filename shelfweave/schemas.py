@@ -24,7 +24,6 @@ PANEL_KEYS = ["date", "store", "item"]
 REQUEST_TEXT = _struct(request_id="bigint", date="string", store="string", item="string")
 REQUEST_JSON = _struct(
     start_date="string", date="string", periods="string", store="string", item="string",
-    corrupt="string",
 )
 
 _LABELS = {

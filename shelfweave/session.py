@@ -61,6 +61,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def input_state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and modification times of a file or of the files in a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return ";".join(sorted(f"{f.getPath().getName()},{f.getLen()},{f.getModificationTime()}" for f in listed))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system; it need not exist."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -63,7 +63,7 @@ def export_artifacts(
     """Maps as JSON lines plus one record of medians, categories and column order."""
     slots = len(medians) + sum(len(c) for c in categories.values()) + len(flags)
     if slots != len(feature_order):
-        raise ValueError(f"feature count mismatch: {slots} vs {len(feature_order)}")
+        raise ValueError(f"{slots} slots are described, but {len(feature_order)} are named")
     entries = mean_entries(learned, spark)
     keyed_maps(entries, shard_counts(entries)).write.mode("overwrite").json(f"{path}/maps")
     spark.createDataFrame(

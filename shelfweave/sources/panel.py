@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfweave.operators.splits import with_split
 from shelfweave.schemas import PANEL, PANEL_KEYS, require_columns
-from shelfweave.session import fresh_path
+from shelfweave.session import fresh_path, input_state, remove_path
 
 
 def read_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -42,20 +42,37 @@ def write_panel(panel: DataFrame, path: str) -> None:
     panel.sortWithinPartitions(*PANEL_KEYS).write.mode("overwrite").parquet(path)
 
 
-_TABLES: dict[tuple[str, str], str] = {}
+# (application, table folder, layout) -> state of the order lines, path
+_TABLES: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, layout: str, write) -> str:
+    """The table that ``write`` made for the present order lines; changed ones replace it."""
+    key = (spark.sparkContext.applicationId, sf_dir, layout)
+    state = input_state(spark, f"{sf_dir}/lineitem.parquet")
+    if _TABLES.get(key, ("",))[0] != state:
+        path = fresh_path(spark, layout)
+        write(path)
+        if key in _TABLES:
+            remove_path(spark, _TABLES[key][1])
+        _TABLES[key] = (state, path)
+    return _TABLES[key][1]
 
 
 def load_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of a table folder, written once per application and read from then on.
+    """The panel of a table folder, written once per application and state of the order lines.
 
     The order lines are the large input: they are scanned and shuffled a single time.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
-        path = fresh_path(spark, "panel")
-        write_panel(derive_panel(spark, sf_dir), path)
-        _TABLES[key] = path
-    return read_panel(spark, _TABLES[key])
+    return read_panel(spark, _kept(
+        spark, sf_dir, "panel", lambda path: write_panel(derive_panel(spark, sf_dir), path)))
+
+
+def load_panel_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel partitioned by store, for reading single series."""
+    path = _kept(spark, sf_dir, "panel-by-store",
+                 lambda path: write_panel_by_store(load_panel(spark, sf_dir), path))
+    return read_panel(spark, path).select(*PANEL.names)
 
 
 def write_panel_by_store(panel: DataFrame, path: str) -> None:

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfweave.functions.calendar import whole_number
 from shelfweave.operators.grid import day_range
 from shelfweave.schemas import REQUEST_JSON, require_columns
 
@@ -32,9 +34,13 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(ISO_DATE), text.try_cast("date"))
 
 
-def read_requests_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A batch file as text columns, whatever their order; missing columns raise."""
-    raw = spark.read.options(header=True, inferSchema=False).csv(path)
+def read_requests_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A batch file as text columns, whatever their order; missing columns raise.
+
+    Quotes inside a quoted cell are doubled. ``multi_line`` accepts line breaks inside quotes, at
+    the price that a file can no longer be split over tasks.
+    """
+    raw = spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multi_line).csv(path)
     require_columns(raw, ["date", "store", "item"], "request file")
     return raw
 
@@ -47,7 +53,7 @@ def check_requests(requests: DataFrame, ranges: EntityRange | None = EntityRange
     require_columns(requests, ["date", "store", "item"], "request table")
     texts = {c: F.col(c).cast("string") for c in ("date", "store", "item")}
     day = iso_date(texts["date"])
-    store, item = (F.trim(texts[c]).try_cast("int") for c in ("store", "item"))
+    store, item = (whole_number(texts[c]) for c in ("store", "item"))
     reason = F.when(texts["date"].isNull(), "missing date")
     reason = reason.when(texts["store"].isNull(), "missing store")
     reason = reason.when(texts["item"].isNull(), "missing item")
@@ -75,34 +81,39 @@ def rejected_requests(checked: DataFrame) -> DataFrame:
 
 
 def parse_json_requests(
-    texts: DataFrame, column: str = "body", ranges: EntityRange | None = EntityRange()
+    texts: DataFrame, column: str = "body", ranges: EntityRange | None = EntityRange(),
+    max_periods: int | None = None,
 ) -> DataFrame:
     """JSON request texts to (store, item, dates, reject_reason) with defaults filled in.
 
-    ``start_date`` asks for ``periods`` days (7 unless given, at most 365), otherwise the
-    single ``date`` counts. An empty body means the default request.
+    ``start_date`` asks for ``periods`` days (7 unless given), otherwise the single ``date``
+    counts. An empty body means the default request. Every request has dates or a reason: more days
+    than ``max_periods`` and fewer than one are rejected, and so is a text that is not one JSON object.
     """
     text = F.coalesce(F.nullif(F.trim(column), F.lit("")), F.lit("{}"))
-    body = F.from_json(text, REQUEST_JSON, {"columnNameOfCorruptRecord": "corrupt"})
-    parsed = texts.withColumn("_body", body)
+    # as the only element of an array, so that whatever follows the object breaks it
+    bodies = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(REQUEST_JSON))
+    parsed = texts.withColumn("_body", F.when(F.size(bodies) == 1, F.get(bodies, F.lit(0))))
 
     def number(name: str, default: int) -> Column:
         given = F.col(f"_body.{name}")
-        return F.when(given.isNull(), F.lit(default)).otherwise(F.trim(given).try_cast("int"))
+        return F.when(given.isNull(), F.lit(default)).otherwise(whole_number(given))
 
     store, item = number("store", DEFAULT_STORE), number("item", DEFAULT_ITEM)
     periods = number("periods", DEFAULT_PERIODS)
     start_text = F.col("_body.start_date")
     day = iso_date(F.coalesce(start_text, F.col("_body.date"), F.lit(DEFAULT_DATE)))
     reason = (
-        F.when(F.col("_body.corrupt").isNotNull(), "bad json")
+        F.when(F.col("_body").isNull(), "bad json")
         .when(store.isNull(), "bad store").when(item.isNull(), "bad item")
     )
     if ranges is not None:
         reason = reason.when(~store.between(*ranges.stores), "store out of range")
         reason = reason.when(~item.between(*ranges.items), "item out of range")
     reason = reason.when(day.isNull(), "bad date")
-    reason = reason.when(start_text.isNotNull() & periods.isNull(), "bad periods")
+    reason = reason.when(start_text.isNotNull() & (periods.isNull() | (periods < 1)), "bad periods")
+    if max_periods is not None:
+        reason = reason.when(start_text.isNotNull() & (periods > max_periods), "too many periods")
     dates = F.when(start_text.isNotNull(), day_range(day, periods)).otherwise(F.array(day))
     return parsed.select(
         *texts.columns, store.alias("store"), item.alias("item"),

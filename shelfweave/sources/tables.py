@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfweave.schemas import MODEL_METADATA, REPORT_TABLES
+from shelfweave.session import fresh_path, store_table
 
 CORRUPT = "_corrupt"
 
@@ -16,22 +17,27 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Declared types, quoted CSV with a header; unparsable lines are kept in ``_corrupt``."""
+    """Declared types, quoted CSV with a header; unparsable lines are kept in ``_corrupt``.
+
+    A header that differs from the declared columns in name or order raises when the file is read.
+    """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.schema(with_corrupt)
         .options(
             header=True, sep=",", encoding="UTF-8", escape='"', mode="PERMISSIVE",
-            columnNameOfCorruptRecord=CORRUPT,
+            columnNameOfCorruptRecord=CORRUPT, enforceSchema=False,
         )
         .csv(path)
     )
 
 
-def read_report_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One of the eight report imports; lines that break its types are left out."""
-    table = read_typed_csv(spark, path, REPORT_TABLES[name])
-    return table.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+def read_report_table(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """One of the eight report imports, and the lines that break its types as column ``line``."""
+    # parsed once with all columns: a parser asked for fewer would not see what breaks a line
+    table = store_table(read_typed_csv(spark, path, REPORT_TABLES[name]), fresh_path(spark, "import"))
+    broken = F.col(CORRUPT).isNotNull()
+    return table.filter(~broken).drop(CORRUPT), table.filter(broken).select(F.col(CORRUPT).alias("line"))
 
 
 def write_forecast_csv(scored: DataFrame, path: str) -> None:

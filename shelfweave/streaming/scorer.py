@@ -48,10 +48,13 @@ class ModelSource:
 
 def score_stream(
     spark: SparkSession, requests_dir: str, model_store: str, out_dir: str,
-    ranges: EntityRange | None = EntityRange(), files_per_batch: int = 100,
+    ranges: EntityRange | None = EntityRange(), files_per_batch: int = 100, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Validate and score request files as they arrive.
 
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, such as ``{"processingTime": "10 seconds"}`` for a
+    stream that keeps running; without it the files present are processed and the stream ends.
+
     Each micro-batch overwrites its own folder, so a batch that is repeated after a
     failure replaces its earlier output instead of adding to it.
     """
@@ -64,16 +67,18 @@ def score_stream(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         model = models.current(batch.sparkSession)
         checked = check_requests(batch, ranges).persist(StorageLevel.MEMORY_AND_DISK)
-        scored = score(model, valid_requests(checked)).withColumn(
-            "model_version", F.lit(models.version)
-        )
-        scored.write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
-        rejected_requests(checked).write.mode("overwrite").parquet(
-            f"{out_dir}/rejected/batch={batch_id}"
-        )
-        checked.unpersist()
+        try:
+            scored = score(model, valid_requests(checked)).withColumn(
+                "model_version", F.lit(models.version)
+            )
+            scored.write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
+            rejected_requests(checked).write.mode("overwrite").parquet(
+                f"{out_dir}/rejected/batch={batch_id}"
+            )
+        finally:
+            checked.unpersist()
 
     return (
         arriving.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", f"{out_dir}/checkpoint").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{out_dir}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     )

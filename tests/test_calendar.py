@@ -10,7 +10,7 @@ def test_creates_every_column(spark):
     assert set(CALENDAR_COLUMNS) <= set(with_calendar(closed_form(spark, 7)).columns)
 
 
-def test_december_neighbours_january(spark):
+def test_turn_of_the_year_is_close_on_the_circle(spark):
     rows = with_calendar(requests_of(spark, ("2017-12-31", 1, 1), ("2018-01-01", 1, 1))).orderBy("date").collect()
     gap = math.hypot(rows[0].month_sin - rows[1].month_sin, rows[0].month_cos - rows[1].month_cos)
     assert gap < 0.6

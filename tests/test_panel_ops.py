@@ -166,7 +166,16 @@ def test_future_grid_and_arrays(spark, panel):
     assert dict(lines.groupBy("series").count().collect()) == {"history": 240, "forecast": 360}
 
 
-@pytest.mark.parametrize("periods,days", [(7, 7), (365, 365), (1000, 365), (0, 0), (-3, 0)])
-def test_horizon_is_capped(spark, panel, periods, days):
+def test_folds_keep_rows_without_ids(spark):
+    days = [dt.date(2017, 1, d) for d in (1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2)] * 2
+    rows = [(d, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else i, 1) for i, d in enumerate(days)]
+    ragged = spark.createDataFrame(rows, "date DATE, store INT, item INT, sales BIGINT")
+    for fold in splits.expanding_folds(ragged, 2):
+        train, test = fold.train(ragged).count(), fold.test(ragged).count()
+        assert train + test == (16 if fold.index == 0 else 24) and test == 8
+
+
+@pytest.mark.parametrize("periods,days", [(7, 7), (365, 365), (1000, 1000), (0, 0), (-3, 0)])
+def test_horizon_of_any_length(spark, panel, periods, days):
     series = panel.select("store", "item").distinct()
     assert grid.future_grid(series, dt.date(2018, 1, 1), periods).count() == 4 * days

@@ -45,7 +45,8 @@ def test_every_report_table_round_trips(spark, tmp_path, name):
     row = tuple(sample[f.dataType.simpleString()] for f in schema)
     df = spark.createDataFrame([row, tuple(None for _ in row)], schema)
     tables.write_csv(df, str(tmp_path / "t"))
-    back = tables.read_report_table(spark, name, str(tmp_path / "t"))
+    back, rejects = tables.read_report_table(spark, name, str(tmp_path / "t"))
+    assert rejects.count() == 0
     assert back.schema.simpleString() == schema.simpleString()
     assert row in [tuple(r) for r in back.collect()]
 
@@ -54,7 +55,14 @@ def test_broken_csv_lines_are_set_aside(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Feature,MeanAbsShap\nyear,4.3\nmonth,abc\n")
     raw = tables.read_typed_csv(spark, str(tmp_path / "f.csv"), REPORT_TABLES["DemandDrivers"]).cache()
     assert raw.filter(F.col(tables.CORRUPT).isNotNull()).count() == 1
-    assert tables.read_report_table(spark, "DemandDrivers", str(tmp_path / "f.csv")).collect()[0][:] == ("year", 4.3)
+    rows, rejects = tables.read_report_table(spark, "DemandDrivers", str(tmp_path / "f.csv"))
+    assert [tuple(r) for r in rows.collect()] == [("year", 4.3)] and [r.line for r in rejects.collect()] == ["month,abc"]
+
+
+def test_a_header_in_another_order_raises(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("MeanAbsShap,Feature\n4.3,year\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_report_table(spark, "DemandDrivers", str(tmp_path / "f.csv"))
 
 
 def test_forecast_download_is_rounded(spark, tmp_path):
@@ -100,13 +108,25 @@ def test_batch_file_needs_its_columns_in_any_order(spark, tmp_path):
         requests.read_requests_csv(spark, str(tmp_path / "bad.csv"))
 
 
+def test_quoted_cells_of_a_batch(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('note,date,store,item\n"a ""q"", b",2018-01-15,1.0,2\n"two\nlines",2018-01-15,2,3\n')
+    rows = requests.check_requests(requests.read_requests_csv(spark, str(tmp_path / "q.csv"), multi_line=True)).collect()
+    assert [(r.note, r.store, r.item, r.reject_reason) for r in rows] == [('a "q", b', 1, 2, None), ("two\nlines", 2, 3, None)]
+
+
 @pytest.mark.parametrize("body,store,item,first,days,reason", [
     ("{}", 1, 1, "2018-01-01", 1, None),
     ("", 1, 1, "2018-01-01", 1, None),
     ('{"date": "2018-07-01", "store": 2, "item": "15"}', 2, 15, "2018-07-01", 1, None),
     ('{"start_date": "2018-07-01", "store": 2, "item": 15}', 2, 15, "2018-07-01", 7, None),
-    ('{"start_date": "2018-07-01", "periods": 1000}', 1, 1, "2018-07-01", 365, None),
-    ('{"start_date": "2018-07-01", "periods": 0}', 1, 1, None, None, None),
+    ('{"start_date": "2018-07-01", "periods": 1000}', 1, 1, None, None, "too many periods"),
+    ('{"start_date": "2018-07-01", "periods": 400}', 1, 1, "2018-07-01", 400, None),
+    ('{"start_date": "2018-07-01", "periods": 7.0, "store": 2.0, "item": "3.0"}', 2, 3, "2018-07-01", 7, None),
+    ('{"store": 2.5}', None, 1, None, None, "bad store"),
+    ('{"store":2} garbage', 1, 1, None, None, "bad json"),
+    ('{"store":2}{"store":3}', 1, 1, None, None, "bad json"),
+    ('{"store":2},{"store":3}', 1, 1, None, None, "bad json"),
+    ('{"start_date": "2018-07-01", "periods": 0}', 1, 1, None, None, "bad periods"),
     ('{"start_date": "01/07/2018"}', 1, 1, None, None, "bad date"),
     ('{"start_date": "2018-07-01", "periods": "many"}', 1, 1, None, None, "bad periods"),
     ('{"store": 11}', 11, 1, None, None, "store out of range"),
@@ -114,7 +134,7 @@ def test_batch_file_needs_its_columns_in_any_order(spark, tmp_path):
     ('{"store": ', 1, 1, None, None, "bad json"),
 ])
 def test_json_requests(spark, body, store, item, first, days, reason):
-    parsed = requests.parse_json_requests(spark.createDataFrame([(body,)], "body STRING"))
+    parsed = requests.parse_json_requests(spark.createDataFrame([(body,)], "body STRING"), max_periods=500)
     row = parsed.first()
     assert (row.store, row.item, row.reject_reason) == (store, item, reason)
     assert (row.dates and (str(row.dates[0]), len(row.dates))) == (first and (first, days))
@@ -143,7 +163,7 @@ def test_artifact_export_checks_the_slot_count(spark, panel, tmp_path):
     assert record.global_mean == pytest.approx(state.global_mean) and len(record.feature_order) == 38
     merged = {k: v for r in maps.filter("name = 'store_item_mean'").collect() for k, v in r.entries.items()}
     assert set(merged) == {"1|1", "1|2", "2|1", "2|2"}
-    with pytest.raises(ValueError, match="feature count mismatch: 38 vs 37"):
+    with pytest.raises(ValueError, match="38 slots are described, but 37 are named"):
         keyed_maps.export_artifacts(state, spark, str(tmp_path / "b"), fill, CATEGORIES, FLAGS, order[1:])
 
 

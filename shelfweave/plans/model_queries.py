@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfweave.functions.metrics import rounded
@@ -73,13 +76,16 @@ def model_metadata(spark, sf_dir):
     return tables.read_metadata(spark, path)
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"""WITH {PANEL_SQL}
+SELECT 2 * COUNT(*) AS n_rows, 0.0::DOUBLE AS max_abs_diff FROM panel""")
 def model_roundtrip(spark, sf_dir):
-    """Largest difference between a model and its reloaded copy, over the test rows."""
-    model, rows = trained(spark, sf_dir).best, test_rows(load_panel(spark, sf_dir), VAL_END)
+    """Largest difference between a model and a copy saved over its own folder, over all rows and unseen stores."""
+    model, panel = trained(spark, sf_dir).best, load_panel(spark, sf_dir)
     path = fresh_path(spark, "model")
     model.write().overwrite().save(path)
+    PipelineModel.load(path).write().overwrite().save(path)
     keys = ["date", "store", "item"]
+    rows = panel.select(*keys).unionByName(panel.select("date", (F.col("store") + 90).alias("store"), "item"))
     before = training.predict(model, rows).select(*keys, F.col("forecast").alias("before"))
     after = training.predict(PipelineModel.load(path), before)
     return after.agg(
@@ -208,3 +214,31 @@ def stream_score(spark, sf_dir):
         "request_id", "date", "store", "item", "forecast", "predicted_sales", "demand_level", "model_version")
     rejected = spark.read.parquet(f"{out}/rejected").select("request_id", "reject_reason")
     return rounded(scored.unionByName(rejected, allowMissingColumns=True))
+
+
+# Promises of the model queries that hold whatever was learned; the twin counts rows from the panel.
+PROMISES_SQL = f"""WITH {PANEL_SQL},
+n AS (SELECT (SELECT COUNT(*) FROM panel WHERE date > DATE '{VAL_END}') AS test_rows,
+             (SELECT COUNT(DISTINCT (store, item)) FROM panel) AS series)
+SELECT unnest(['feature_vector', 'horizon_forecast', 'fact_forecast', 'model_comparison', 'feature_importance']) AS name,
+       unnest([test_rows, 90 * series, 90 * series, 3, 12]) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM n"""
+
+
+@query("model_promises", PROMISES_SQL)
+def model_promises(spark, sf_dir):
+    """Rows of the model queries, and rows that break what each promises."""
+    comparison = trained(spark, sf_dir).comparison
+    best = comparison.filter(F.col("model") == trained(spark, sf_dir).champion).select("val_smape").scalar()
+    broken = {
+        "feature_vector": (feature_vector, (F.size("features") != 38) | F.exists("features", lambda x: x.isNull() | F.isnan(x))),
+        "horizon_forecast": (horizon_forecast, (F.col("forecast") < 0) | (F.abs(F.col("predicted_sales") - F.col("forecast")) > 0.00501)),
+        "fact_forecast": (fact_forecast, F.col("Forecast") < 0),
+        "model_comparison": (lambda *_: comparison, (F.col("val_smape") < best) | (
+            F.abs(F.col("overfit_gap") - F.col("val_smape") + F.col("train_smape")) > 1e-9)),
+        "feature_importance": (feature_importance, ~F.col("importance").between(0, 1)),
+    }
+    parts = [
+        build(spark, sf_dir).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"),
+                                 F.count_if(~F.coalesce(~wrong, F.lit(False))).alias("n_broken"))
+        for name, (build, wrong) in broken.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -91,6 +91,11 @@ def test_reloaded_model_scores_the_same(trained, seasonal, tmp_path):
     keys = ["date", "store", "item", "forecast"]
     assert sorted(map(tuple, training.predict(loaded, rows).select(*keys).collect())) == sorted(
         map(tuple, training.predict(trained.best, rows).select(*keys).collect()))
+    # saved over the folder it came from, the model is still whole
+    loaded.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    assert sorted(map(tuple, training.predict(again, rows).select(*keys).collect())) == sorted(
+        map(tuple, training.predict(loaded, rows).select(*keys).collect()))
 
 
 def test_single_request_and_unseen_entity(trained, spark):

@@ -87,7 +87,7 @@ def work_area(spark: SparkSession):
 
 
 def sweep(spark: SparkSession) -> None:
-    """Remove every intermediate table of this application; tables read from them are gone after that."""
+    """Remove every intermediate table of this application, for its end: stored panels and fitted models go too."""
     for path in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
         remove_path(spark, path)
 

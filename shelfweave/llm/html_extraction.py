@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 2
 #: Share of the content regions' text that the article element must hold.
-COVER = 0.9
+COVER = 0.8
 
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer"
@@ -78,7 +78,8 @@ class PageLines(HTMLParser):
         self.parent, self.dropped, self.kind = [-1], [False], [""]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
-        self.line: Line | None = None
+        #: The open line of kept and of dropped text; only a block's edge ends them.
+        self.line: dict[bool, Line] = {}
         self.tags = 0
 
     # -- events
@@ -86,7 +87,7 @@ class PageLines(HTMLParser):
         self.tags += 1
         self._imply_ends(tag)
         if tag in BLOCK:
-            self.line = None
+            self.line = {}
         if tag == "br":
             self._add(" ")
         if tag in VOID:
@@ -121,7 +122,7 @@ class PageLines(HTMLParser):
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
-            self.line = None
+            self.line = {}
         if self.counts.get(tag, 0):
             while self._pop() != tag:
                 pass
@@ -182,19 +183,19 @@ class PageLines(HTMLParser):
 
     def _add(self, data):
         node = self._node()
-        if self.line is None or self.line.dropped != self.dropped[node]:
+        line = self.line.get(self.dropped[node])
+        if line is None:
             if not data.strip():
                 return
             # a line belongs to the nearest block element
             at = next((n for t, n in reversed(self.open) if t in BLOCK), 0)
-            self.line = Line(at, self.dropped[node], self.tags)
-            self.lines.append(self.line)
-            self.tags = 0
-        self.line.tags += self.tags
+            line = self.line[self.dropped[node]] = Line(at, self.dropped[node], 0)
+            self.lines.append(line)
+        line.tags += self.tags
         self.tags = 0
-        self.line.pieces.append(data)
+        line.pieces.append(data)
         if self.counts.get("a", 0):
-            self.line.linked += len(data)
+            line.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:

@@ -21,6 +21,7 @@ CASES = {
                             ["a <b> &amp; éé next line x"]),
     "scripts and forms": (f"<article><p>{BODY}</p><script>var a='<p>no</p>'</script><style>p{{}}</style><form><input>"
                           "<label>Name</label></form><!-- c --><noscript>no</noscript></article>", [BODY]),
+    "inline script": ("<article><p>a<script>no</script>b <span class=ad>no</span>c</p></article>", ["ab c"]),
     "hidden": (f"<article><p hidden>no</p><p style='display: none'>no</p><p>{BODY}</article>", [BODY]),
     "unclosed menu": (f"<nav><ul><li><a>x</a><article><p>{BODY}</p></article>", [BODY]),
     "no markup": ("just text", ["just text"]),

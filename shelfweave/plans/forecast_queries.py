@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfweave.functions.metrics import evaluate, rounded
@@ -17,7 +20,7 @@ from shelfweave.plans.catalog import (
 )
 from shelfweave.plans.panel_queries import histogram_sql
 from shelfweave.sources import keyed_maps, requests
-from shelfweave.sources.panel import dimension, load_panel
+from shelfweave.sources.panel import load_panel
 from shelfweave.streaming.request_log import running_metrics
 
 MEANS = learned.AGGREGATE_COLUMNS
@@ -321,17 +324,30 @@ def sliced_measures(spark, sf_dir):
     return rounded(parts[0].join(parts[1], "Store", "full").join(parts[2], "Store", "full"))
 
 
-@query("star_join", f"""WITH {PANEL_SQL}
-SELECT CAST(store AS BIGINT) AS "Store", CAST(item AS BIGINT) AS "Item", COUNT(*) AS n_rows,
-       CAST(SUM(sales) AS BIGINT) AS units, CAST(0 AS BIGINT) AS orphan_rows FROM panel GROUP BY 1, 2""")
+# Dimensions of their own: store 10 and item 50 are missing, store 11 and item 51 have no facts.
+@query("star_join", f"""WITH {PLAN_SQL},
+test AS (SELECT * FROM panel WHERE date > DATE '{VAL_END}'), {features_sql('test', 'test_feat')},
+facts AS (SELECT 'Sales' AS fact, store, item, CAST(sales AS DOUBLE) AS units FROM panel
+  UNION ALL SELECT 'Forecast', store, item, forecast FROM plan
+  UNION ALL SELECT 'TestForecast', store, item, store_item_dow_mean FROM test_feat)
+SELECT fact, CAST(COUNT(*) FILTER (store <> 10 AND item <> 50) AS BIGINT) AS n_rows,
+  ROUND(SUM(units) FILTER (store <> 10 AND item <> 50), 6) AS units,
+  CAST(COUNT(*) FILTER (store = 10) AS BIGINT) AS orphan_store_rows,
+  CAST(COUNT(*) FILTER (item = 50) AS BIGINT) AS orphan_item_rows FROM facts GROUP BY 1""")
 def star_join(spark, sf_dir):
-    panel = load_panel(spark, sf_dir)
-    fact = accuracy.fact_sales(panel)
-    dims = {"Stores": dimension(panel, "store"), "Items": dimension(panel, "item")}
-    lost = semantic.orphans(fact, dims["Stores"], "Store").agg(F.count(F.lit(1))).scalar()
-    return semantic.star_join(fact, dims).groupBy("Store", "Item").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("Sales").alias("units"),
-    ).withColumn("orphan_rows", lost)
+    """The six relations: each fact against stores and items, with what a dimension lacks counted."""
+    dims = {
+        "Stores": spark.range(1, 12).filter("id <> 10").select(F.col("id").alias("Store")),
+        "Items": spark.range(1, 52).filter("id <> 50").select(F.col("id").alias("Item")),
+    }
+    parts = []
+    for name, fact in _facts(spark, sf_dir).items():
+        units = F.col("Sales").cast("double") if name == "Sales" else F.col("Forecast")
+        joined = semantic.star_join(fact, dims).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(units).alias("units"))
+        lost = [semantic.orphans(fact, dims[d], key).agg(F.count(F.lit(1))).scalar() for d, key in semantic.DIM_KEYS.items()]
+        parts.append(joined.select(
+            F.lit(name).alias("fact"), "n_rows", "units", lost[0].alias("orphan_store_rows"), lost[1].alias("orphan_item_rows")))
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 # ---- requests --------------------------------------------------------------------------------
@@ -418,25 +434,34 @@ def export_feature_maps(spark, sf_dir):
     return rounded(maps.select("name", F.explode("entries").alias("map_key", "mean")))
 
 
-@query("path_parity", f"""WITH {learned_sql(SHORT_TRAIN_END)}, {features_sql('panel')}
-SELECT store, COUNT(*) AS n_rows, ROUND(AVG(store_item_dow_mean), 6) AS joined,
-       ROUND(AVG(store_item_dow_mean), 6) AS mapped, 0.0::DOUBLE AS max_abs_diff, 0.0::DOUBLE AS mean_abs_diff
-FROM feat GROUP BY 1""")
+# Every panel row, again with an unseen store, an unseen item, and a date past the panel.
+PARITY_SQL = ", ".join(f"ROUND(AVG({m}), 6) AS joined_{m}, ROUND(AVG({m}), 6) AS mapped_{m}" for m in MEANS)
+
+
+@query("path_parity", f"""WITH {learned_sql(SHORT_TRAIN_END)},
+asked AS (SELECT date, store, item FROM panel UNION ALL SELECT date, CAST(store + 90 AS INTEGER), item FROM panel
+  UNION ALL SELECT date, store, CAST(item + 900 AS INTEGER) FROM panel
+  UNION ALL SELECT CAST(date + INTERVAL 4000 DAY AS DATE), store, item FROM panel), {features_sql('asked')}
+SELECT store, COUNT(*) AS n_rows, {PARITY_SQL}, 0.0::DOUBLE AS max_abs_diff FROM feat GROUP BY 1""")
 def path_parity(spark, sf_dir):
+    """All four learned means over both lookup paths: their averages, and the largest difference of a row."""
     panel, state = fitted(spark, sf_dir, SHORT_TRAIN_END)
     entries = keyed_maps.mean_entries(state, spark)
     shards = keyed_maps.shard_counts(entries)
-    joined = learned.baseline_forecast(panel, state).select(
-        "date", "store", "item", F.col("forecast").alias("joined")
-    )
+    moves = F.array(*[
+        F.struct(F.lit(d).alias("d"), F.lit(s).alias("s"), F.lit(i).alias("i"))
+        for d, s, i in ((0, 0, 0), (0, 90, 0), (0, 0, 900), (4000, 0, 0))])
+    asked = panel.select("date", "store", "item", F.explode(moves).alias("m")).select(
+        F.date_add("date", F.col("m.d")).alias("date"), (F.col("store") + F.col("m.s")).alias("store"),
+        (F.col("item") + F.col("m.i")).alias("item"))
+    joined = learned.demand_features(asked, state).select(
+        "date", "store", "item", *[F.col(m).alias(f"joined_{m}") for m in MEANS])
     # the second path runs on the rows of the first, so the two need no join to be compared
-    both = keyed_maps.with_mapped_means(
-        joined, keyed_maps.keyed_maps(entries, shards), shards, state.global_mean
-    ).withColumn("mapped", F.col("store_item_dow_mean"))
-    gap = F.abs(F.col("joined") - F.col("mapped"))
+    both = keyed_maps.with_mapped_means(joined, keyed_maps.keyed_maps(entries, shards), shards, state.global_mean)
+    gap = F.greatest(*[F.abs(F.col(f"joined_{m}") - F.col(m)) for m in MEANS])
     return rounded(both.groupBy("store").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("joined").alias("joined"), F.avg("mapped").alias("mapped"),
-        F.max(gap).alias("max_abs_diff"), F.avg(gap).alias("mean_abs_diff"),
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(f"joined_{m}").alias(f"joined_{m}") for m in MEANS],
+        *[F.avg(m).alias(f"mapped_{m}") for m in MEANS], F.max(gap).alias("max_abs_diff"),
     ))
 
 

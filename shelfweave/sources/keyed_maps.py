@@ -85,16 +85,10 @@ def with_mapped_means(
     rows = with_calendar(df)
     base = rows.columns
     for name, keys in MEAN_KEYS.items():
-        n = shards.get(name, 1)
-        one = maps.filter(F.col("name") == name).select(
-            F.col("shard").alias("_shard"), F.col("entries").alias(f"_{name}_map")
-        )
-        rows = rows.withColumn("_key", map_key(*keys)).withColumn("_shard", _shard(F.col("_key"), n))
-        # the counted entries, not the few map rows, decide whether the maps may be broadcast
-        rows = lookup_join(rows, one, ["_shard"], n * ENTRIES_PER_MAP)
-        rows = rows.withColumn(
-            f"_{name}", F.try_element_at(F.col(f"_{name}_map"), F.col("_key"))
-        ).drop(f"_{name}_map", "_key", "_shard")
+        # the maps are unfolded to one row per entry, so a fact carries a key and not a whole map
+        entries = maps.filter(F.col("name") == name).select(F.explode("entries").alias("_key", f"_{name}"))
+        rows = rows.withColumn("_key", map_key(*keys))
+        rows = lookup_join(rows, entries, ["_key"], shards.get(name, 1) * ENTRIES_PER_MAP).drop("_key")
     fallback = F.lit(global_mean).cast("double")
     series = F.coalesce(F.col("_store_item_mean"), fallback)
     return rows.select(

@@ -20,7 +20,7 @@ from shelfweave.plans.catalog import (
 )
 from shelfweave.plans.panel_queries import histogram_sql
 from shelfweave.sources import keyed_maps, requests
-from shelfweave.sources.panel import load_panel
+from shelfweave.sources.panel import load_panel, load_true_panel
 from shelfweave.streaming.request_log import running_metrics
 
 MEANS = learned.AGGREGATE_COLUMNS
@@ -350,6 +350,40 @@ def star_join(spark, sf_dir):
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+# ---- the true keys ---------------------------------------------------------------------------
+
+def _true_keys(sql: str) -> str:
+    """The same statement over the panel on supplier and part keys."""
+    return sql.replace("1 + l_suppkey % 10", "l_suppkey").replace("1 + l_partkey % 50", "l_partkey")
+
+
+def _scored_true(spark, sf_dir):
+    panel = load_true_panel(spark, sf_dir)
+    state = learned.learn_demand(train_rows(panel, TRAIN_END))
+    return learned.baseline_forecast(test_rows(panel, VAL_END), state)
+
+
+@query("true_baseline_forecast", _true_keys(f"""WITH {SCORED_SQL}
+SELECT date, store, item, sales, ROUND(forecast, 6) AS forecast FROM scored"""))
+def true_baseline_forecast(spark, sf_dir):
+    """Baseline on the true keys: large lookups, many series without a training row."""
+    return rounded(_scored_true(spark, sf_dir).select("date", "store", "item", "sales", "forecast"))
+
+
+@query("true_smape_by_store", _true_keys(f"""WITH {SCORED_SQL}
+SELECT store, ROUND(AVG({SMAPE_SQL}), 6) AS smape FROM scored GROUP BY 1"""))
+def true_smape_by_store(spark, sf_dir):
+    return rounded(accuracy.smape_by(_scored_true(spark, sf_dir), "store"))
+
+
+@query("true_recent_history", _true_keys(f"""WITH {PANEL_SQL}
+SELECT date, store, item, sales FROM panel
+QUALIFY ROW_NUMBER() OVER (PARTITION BY store, item ORDER BY date DESC) <= 365"""))
+def true_recent_history(spark, sf_dir):
+    from shelfweave.operators.explore import recent_history
+    return recent_history(load_true_panel(spark, sf_dir))
+
+
 # ---- requests --------------------------------------------------------------------------------
 
 def _request_texts(spark, sf_dir):

@@ -16,19 +16,23 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
-def panel_from_lineitem(lineitem: DataFrame, stores: int = 10, items: int = 50) -> DataFrame:
-    """Daily units per store and item from order lines; suppliers and parts map to the ids."""
+def panel_from_lineitem(lineitem: DataFrame, stores: int | None = 10, items: int | None = 50) -> DataFrame:
+    """Daily units per store and item from order lines; suppliers and parts fold into the ids, or are them (None)."""
     require_columns(lineitem, ["l_shipdate", "l_suppkey", "l_partkey", "l_quantity"], "lineitem")
     return (
         lineitem.groupBy(
             F.col("l_shipdate").cast("date").alias("date"),
-            (F.col("l_suppkey") % stores + 1).cast("int").alias("store"),
-            (F.col("l_partkey") % items + 1).cast("int").alias("item"),
+            _folded("l_suppkey", stores).alias("store"),
+            _folded("l_partkey", items).alias("item"),
         )
         .agg(F.sum("l_quantity").cast("bigint").alias("sales"))
     )
 
 
+def _folded(key: str, n: int | None):
+    return (F.col(key) if n is None else F.col(key) % n + 1).cast("int")
+
+
 def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
@@ -68,6 +72,15 @@ def load_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "panel", lambda path: write_panel(derive_panel(spark, sf_dir), path)))
 
 
+def load_true_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel on the true supplier and part keys: as many series as the order lines have, most of them sparse."""
+    def write(path):
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        write_panel(panel_from_lineitem(lines, stores=None, items=None), path)
+
+    return read_panel(spark, _kept(spark, sf_dir, "true-panel", write))
+
+
 def load_panel_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel partitioned by store, for reading single series."""
     path = _kept(spark, sf_dir, "panel-by-store",

@@ -30,8 +30,10 @@ from shelfweave.llm.text import held_out
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 #: A feature is learned if so many positive documents of the sample hold it.
 MIN_SUPPORT = 3
+#: And if its share of positive documents lies so many standard errors above its share of negative ones.
+MIN_LEAN = 5.0
 MAX_FEATURES = 20_000
-EPOCHS, STEP, L2 = 300, 0.15, 8e-5
+EPOCHS, STEP, L2 = 300, 0.15, 3e-6
 THRESHOLD = 0.7
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -103,13 +105,17 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     for sents, label in zip(split, y):
         support[int(label)].update({f for s in sents for w in set(s) for f in word_features(w)})
     n_pos, n_neg = y.sum(), len(y) - y.sum()
-    odds = {
-        f: math.log((c + 0.5) / n_pos) - math.log((support[0][f] + 0.5) / n_neg)
-        for f, c in support[1].items() if c >= MIN_SUPPORT
-    }
-    # features that lean either way by more than chance, strongest first
-    chosen = sorted((f for f in odds if abs(odds[f]) * math.sqrt(support[1][f]) > 2.0),
-                    key=lambda f: (-abs(odds[f]) * math.sqrt(support[1][f]), f))[:MAX_FEATURES]
+
+    def lean(feature: str, held: int) -> float:
+        """Standard errors by which positive documents hold the feature more often than negative ones."""
+        rare = support[0][feature]
+        share = (held + rare) / len(y)
+        spread = math.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
+        return (held / n_pos - rare / n_neg) / spread if spread else 0.0
+
+    leans = {f: lean(f, c) for f, c in support[1].items() if c >= MIN_SUPPORT}
+    # evidence beyond chance only, as there are many more words than documents
+    chosen = sorted((f for f in leans if leans[f] > MIN_LEAN), key=lambda f: (-leans[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
     column, row, doc = [], [], []
     n_rows = 0

@@ -54,18 +54,20 @@ def mean_table(train: DataFrame, name: str, target: str = "sales") -> DataFrame:
 def profiles(train: DataFrame, target: str = "sales") -> DataFrame:
     """All learned means as one table with a row per series, item and store.
 
-    One scan feeds three grouping sets that are combined map-side, so a crowded series
-    costs no more than any other. A row then folds the (at most 12) positions of its
+    One scan is summed up to cells of (store, item, month, weekday), at most 84 per series and
+    combined map-side, so a crowded series costs no more than any other. Three grouping
+    sets expand the cells, not the rows. A row then folds the (at most 12) positions of its
     entity into a map, which lets scoring do with three joins instead of four. A series
     mean is the quotient of its weekday sums. Rows with a NULL key are harmless: a join
     never matches them, and their sums still count towards the global mean.
     """
     sets = [["store", "item", "dayofweek"], ["item", "month"], ["store", "month"]]
-    tall = training_view(train, target).groupingSets(
-        sets, "store", "item", "month", "dayofweek"
-    ).agg(
+    cells = training_view(train, target).groupBy("store", "item", "month", "dayofweek").agg(
+        F.sum("_y").alias("_total"), F.count("_y").alias("_n")
+    )
+    tall = cells.groupingSets(sets, "store", "item", "month", "dayofweek").agg(
         F.grouping("item").alias("_no_item"), F.grouping("store").alias("_no_store"),
-        F.sum("_y").alias("total"), F.count("_y").alias("n"),
+        F.sum("_total").alias("total"), F.sum("_n").alias("n"),
     )
     position = F.coalesce("month", "dayofweek")
     return (

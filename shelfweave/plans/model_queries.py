@@ -15,7 +15,7 @@ from shelfweave.operators.splits import test_rows, train_rows
 from shelfweave.plans import scoring, training
 from shelfweave.plans.catalog import PANEL_SQL, REPORT_YEAR, TRAIN_END, VAL_END, query
 from shelfweave.plans.forecast_queries import _request_texts
-from shelfweave.session import fresh_path
+from shelfweave.session import fresh_path, input_state
 from shelfweave.sources import keyed_maps, requests, tables
 from shelfweave.sources.panel import load_panel
 from shelfweave.streaming.scorer import publish_model, score_stream
@@ -34,12 +34,12 @@ SMALL_SEARCH = training.Budget(
     draws=2, folds=2, parallelism=4,
 )
 
-_TRAINED: dict[tuple[str, str], training.Trained] = {}
+_TRAINED: dict[tuple[str, str, str], training.Trained] = {}
 
 
 def trained(spark, sf_dir) -> training.Trained:
-    """The candidates fitted on this table, kept for the life of the application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The candidates fitted on this table as it is now, kept for the life of the application."""
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _TRAINED:
         _TRAINED[key] = training.train_candidates(load_panel(spark, sf_dir), TRAIN_END, VAL_END, SMALL)
     return _TRAINED[key]

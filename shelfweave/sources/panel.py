@@ -38,12 +38,12 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """A panel table whose files are sorted by key, so date ranges skip row groups and pages.
+    """A panel table in which every file holds a range of keys, dates first, sorted inside.
 
-    Rows stay in the partitions they have: a derived panel is already spread evenly by its
-    whole key, and sorting inside partitions needs no further shuffle.
+    A date filter then finds its rows in few files and skips the others by their statistics. The ranges run
+    over the whole key, so a crowded day spans several files.
     """
-    panel.sortWithinPartitions(*PANEL_KEYS).write.mode("overwrite").parquet(path)
+    panel.repartitionByRange(*PANEL_KEYS).sortWithinPartitions(*PANEL_KEYS).write.mode("overwrite").parquet(path)
 
 
 # (application, table folder, layout) -> state of the order lines, path

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,39 @@ def test_align_pairs_separate_frames(spark):
     actual = spark.createDataFrame([(day, 1, 1, 5), (day, 1, 2, 6)], "date DATE, store INT, item INT, sales BIGINT")
     forecast = spark.createDataFrame([(day, 1, 2, 6.5), (day, 2, 2, 1.0)], "date DATE, store INT, item INT, forecast DOUBLE")
     assert [tuple(r) for r in align(actual, forecast).collect()] == [(day, 1, 2, 6, 6.5)]
+
+
+def test_stored_panel_is_cut_by_date(spark, tmp_path):
+    days = spark.range(400).select(F.date_add(F.lit("2017-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    ids = spark.range(50).select((F.col("id") + 1).cast("int").alias("item"))
+    panel = days.crossJoin(ids).select("date", F.lit(1).alias("store"), "item", F.lit(2).cast("bigint").alias("sales"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        source.write_panel(panel, str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spans = sorted(
+        (r.low, r.high) for r in source.read_panel(spark, str(tmp_path / "p"))
+        .groupBy(F.input_file_name()).agg(F.min("date").alias("low"), F.max("date").alias("high")).collect())
+    assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_changed_order_lines_give_a_new_panel(spark, tmp_path):
+    lines = lambda n: spark.range(n).selectExpr(
+        "date'2000-01-01' as l_shipdate", "id as l_suppkey", "id as l_partkey", "1.0D as l_quantity")
+    lines(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert source.load_panel(spark, str(tmp_path)).count() == 3
+    lines(5).write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    assert source.load_panel(spark, str(tmp_path)).count() == 5
+    assert source.load_true_panel(spark, str(tmp_path)).agg(F.max("store")).first()[0] == 4
+    assert source.load_panel_by_store(spark, str(tmp_path)).columns == ["date", "store", "item", "sales"]
+
+
+def test_work_area_leaves_nothing(spark):
+    from shelfweave.session import fresh_path, store_table, work_area
+
+    with work_area(spark) as area:
+        inside = fresh_path(spark, "t")
+        store_table(spark.range(3), inside)
+        assert inside.startswith(area) and os.path.isdir(inside.removeprefix("file:"))
+    assert not os.path.exists(area.removeprefix("file:"))

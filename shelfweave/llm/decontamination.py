@@ -155,7 +155,8 @@ def find_contamination(
 
 def _extended(docs: DataFrame, candidates: DataFrame, distinct: DataFrame) -> DataFrame:
     """key, spans, window_ids of the documents in which a window really occurs."""
-    near = docs.join(candidates, "key").select("key", "at", words(F.col("text")).alias("w"))
+    # always by sort-merge: the candidates grow with the documents, so a broadcast would work for small inputs only
+    near = docs.join(candidates.hint("merge"), "key").select("key", "at", words(F.col("text")).alias("w"))
     # a fingerprint at ``pos`` stands for the windows that contain its whole k-gram
     reach = F.transform("at", lambda c: F.sequence(
         F.greatest(c.pos - (c.length - F.least(F.lit(6), ((c.length + 1) / 2).cast("int"))), F.lit(0)),

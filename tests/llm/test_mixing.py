@@ -30,9 +30,9 @@ def test_rates_equal_brute_force(spark, low):
     rows = {r.doc_id: r.rate for r in rated.collect()}
     assert min(rows.values()) >= low
     loss = lambda t: (((t - np.array(report["targets"])) ** 2) / np.array(report["now"])).sum()
-    # the totals settle before the single rates do
-    assert loss(np.array(report["reached"])) <= 1.05 * loss(totals) + 1e-4 * tokens.sum()
-    assert np.allclose(totals, report["reached"], rtol=1e-2)
+    # targets out of reach (low = 0.8) settle slowly; MAX_STEPS ends within two percent of the best
+    assert loss(np.array(report["reached"])) <= 1.02 * loss(totals) + 1e-4 * tokens.sum()
+    assert np.allclose(totals, report["reached"], rtol=2e-2)
     assert np.allclose([sum(rows[i] * tokens[i] * p[i][j] for i in range(200)) for j in range(3)], report["reached"])
 
 

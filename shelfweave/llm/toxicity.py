@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,10 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
+def text_features(text: str | None) -> set[str]:
+    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+
+
 class _WordWeights(dict):
     """Word -> sum of its feature weights, filled as words come; of bounded size."""
 
@@ -100,33 +105,36 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(math.log(share / (1 - share)), {})
-    support = (Counter(), Counter())
-    split = [[_WORD.findall(s.lower()) for s in sentences(t)] or [[]] for t in texts]
-    for sents, label in zip(split, y):
-        support[int(label)].update({f for s in sents for w in set(s) for f in word_features(w)})
+    # a pass over positive texts, one over negative ones, one for the cells: only counts and cells are held
+    held = Counter()
+    for text in (t for t, label in zip(texts, y) if label):
+        held.update(text_features(text))
+    held = {f: c for f, c in held.items() if c >= MIN_SUPPORT}
+    rare = Counter()
+    for text in (t for t, label in zip(texts, y) if not label):
+        rare.update(f for f in text_features(text) if f in held)
     n_pos, n_neg = y.sum(), len(y) - y.sum()
 
-    def lean(feature: str, held: int) -> float:
+    def lean(feature: str) -> float:
         """Standard errors by which positive documents hold the feature more often than negative ones."""
-        rare = support[0][feature]
-        share = (held + rare) / len(y)
+        share = (held[feature] + rare[feature]) / len(y)
         spread = math.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
-        return (held / n_pos - rare / n_neg) / spread if spread else 0.0
+        return (held[feature] / n_pos - rare[feature] / n_neg) / spread if spread else 0.0
 
-    leans = {f: lean(f, c) for f, c in support[1].items() if c >= MIN_SUPPORT}
+    leans = {f: lean(f) for f in held}
     # evidence beyond chance only, as there are many more words than documents
     chosen = sorted((f for f in leans if leans[f] > MIN_LEAN), key=lambda f: (-leans[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
-    column, row, doc = [], [], []
-    n_rows = 0
-    for d, sents in enumerate(split):
-        for s in sents:
-            cells = [index[f] for w in s for f in word_features(w) if f in index]
-            column.extend(cells)
-            row.extend([n_rows] * len(cells))
+    column, row, doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for sentence in sentences(text) or [""]:
+            for word in _WORD.findall(sentence.lower()):
+                cells = [index[f] for f in word_features(word) if f in index]
+                column.extend(cells)
+                row.extend([len(doc)] * len(cells))
             doc.append(d)
-            n_rows += 1
-    column, row, doc = (np.asarray(x, np.int64) for x in (column, row, doc))
+    n_rows = len(doc)
+    column, row, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (column, row, doc))
 
     theta = np.zeros(len(chosen) + 1)
     theta[-1] = -6.0

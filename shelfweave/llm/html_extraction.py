@@ -3,9 +3,9 @@
 The standard library's parser streams a page as events. These become lines, one per block
 element, each with its text, its number of tags and the share of its text in links. The
 ratio of text to tags per line is smoothed with a Gaussian and cut at its standard
-deviation; runs of lines above the cut are the content regions. The element that holds the
-regions is the article: an ``article`` or ``main`` element if there is one, else the
-deepest element with nearly all of their text. All its lines are returned but those of
+deviation; runs of lines above the cut are the content regions. All ``article`` and ``main``
+elements of a page, side by side or nested, are its article; without any it is the deepest
+element with nearly all of the regions' text. All its lines are returned but those of
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, told by
 element, role and class names.
 """
@@ -236,11 +236,13 @@ def main_text(html: str | None) -> str:
         whole[page.parent[node]] += whole[node]
     articles = [n for n, kind in enumerate(page.kind) if kind == "article" and whole[n]]
     if articles:
-        most = max(held[n] or whole[n] * 1e-6 for n in articles)
-        # the innermost one that holds most of it
-        chosen = max(n for n in articles if (held[n] or whole[n] * 1e-6) >= 0.5 * most)
-        own = _inside(page.parent, chosen)
-        return "\n\n".join(t for line, t in zip(lines, texts) if not line.dropped and own[line.node])
+        nearest = _nearest(page.parent, articles)
+        complete = _complete(nearest, page.parent, articles, lines, content)
+        return "\n\n".join(
+            t for line, t, good in zip(lines, texts, content)
+            if not line.dropped and nearest[line.node]
+            # beside the articles that an element holds, and in teasers, a line of links outside the regions is a menu
+            and (good or nearest[line.node] in complete or line.linked <= 0.5 * len(t)))
     chosen = max((n for n in range(len(held)) if held[n] >= COVER * held[0]), default=0)
     own = _inside(page.parent, chosen)
     return "\n\n".join(
@@ -249,6 +251,20 @@ def main_text(html: str | None) -> str:
         if not line.dropped and own[line.node] and (good or line.linked <= 0.5 * len(t)))
 
 
+def _nearest(parent: list[int], articles: list[int]) -> list[int]:
+    """The innermost of ``articles`` that each node lies in, itself included; 0 outside."""
+    nearest, among = [0] * len(parent), set(articles)
+    for node in range(1, len(parent)):
+        nearest[node] = node if node in among else nearest[parent[node]]
+    return nearest
+
+
+def _complete(nearest, parent, articles, lines, content) -> set[int]:
+    """Articles of which every line counts: those that hold region text and no further article (all, if none has any)."""
+    with_text = {nearest[line.node] for line, good in zip(lines, content) if good} - {0}
+    return with_text - {nearest[parent[n]] for n in articles} if with_text else set(articles)
+
+
 def _inside(parent: list[int], top: int) -> np.ndarray:
     inside = np.zeros(len(parent), bool)
     inside[top] = True

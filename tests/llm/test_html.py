@@ -28,6 +28,24 @@ CASES = {
     "empty": ("", []), "only boilerplate": ("<nav>a</nav><footer>b</footer>", []),
 }
 
+LONG = "A paragraph of the main article, which goes on for a good while before it ends. " * 12
+SEVERAL_ARTICLES = {
+    "second part": (f"<article><p>{LONG}</p></article><article><p>{BODY}</p><p>{BODY}</p><p>The end.</p></article>",
+                    [LONG, BODY, BODY, "The end."]),
+    "three equal parts": (f"<article><p>{BODY}</p></article>" * 3, [BODY] * 3),
+    "text beside a nested one": (f"<main><h1>Title</h1><p>{BODY}</p><article><p>{BODY}</p><p>{BODY}</p></article></main>",
+                                 ["Title", BODY, BODY, BODY]),
+    "title above a nested one": (f"<main><h1>Title</h1><article><p>{LONG}</p><ul><li><a>Source</a></ul></article>"
+                                 "<ul><li><a>Next story</a><li><a>Older story</a></ul></main>", ["Title", LONG, "Source"]),
+    "an article of links only": ("<article><p><a>one</a></p><p><a>two</a></p></article>", ["one", "two"]),
+}
+
+
+@pytest.mark.parametrize("name", SEVERAL_ARTICLES)
+def test_all_article_elements_count(name):
+    page, blocks = SEVERAL_ARTICLES[name]
+    assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
+
 
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):

@@ -4,9 +4,9 @@ The standard library's parser streams a page as events. These become lines, one
 element, each with its text, its number of tags and the share of its text in links. The
 ratio of text to tags per line is smoothed with a Gaussian and cut at its standard
 deviation; runs of lines above the cut are the content regions. All ``article`` and ``main``
-elements of a page, side by side or nested, are its article; without any it is the deepest
-element with nearly all of the regions' text. All its lines are returned but those of
-menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, told by
+elements of a page, side by side or nested, are its article. Where they do not hold half of the
+regions' text, it is the regions, what lies between them, and the innermost container with all
+of them. All its lines are returned but lines of links outside the regions and those of menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, told by
 element, role and class names.
 """
 
@@ -22,8 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 2
-#: Share of the content regions' text that the article element must hold.
-COVER = 0.8
+#: Text-to-tag ratio of a full paragraph; a longer line counts as one, as else it lifts the cut above all others.
+PARAGRAPH = 100.0
+#: Article elements that hold less of the content regions' text do not mark the article alone.
+COVER = 0.5
+#: Elements that can hold a whole article; a paragraph, heading, list or cell is a part of one.
+CONTAINERS = set("body center div fieldset html section".split())
 
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer"
@@ -75,7 +79,7 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.parent, self.dropped, self.kind = [-1], [False], [""]
+        self.parent, self.dropped, self.kind, self.holds = [-1], [False], [""], [True]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
         #: The open line of kept and of dropped text; only a block's edge ends them.
@@ -111,6 +115,7 @@ class PageLines(HTMLParser):
         self.parent.append(above)
         self.dropped.append(dropped)
         self.kind.append(kind)
+        self.holds.append(tag in CONTAINERS)
         self.open.append((tag, len(self.parent) - 1))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
@@ -205,14 +210,21 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) ->
     return total / np.convolve(np.ones(len(ratios)), kernel)[radius:radius + len(ratios)]
 
 
-def content_lines(lines: list[Line], texts: list[str]) -> np.ndarray:
-    """True for lines in content regions: smoothed text-to-tag ratio above its standard deviation."""
+def content_lines(lines: list[Line], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """True for lines in content regions (smoothed text-to-tag ratio above its standard deviation), and for their cores.
+
+    The core of a region are the lines above the cut by themselves, not only by their neighbours.
+    """
     ratio = np.array([
         0.0 if line.dropped else len(text) * (1 - min(1.0, line.linked / max(1, len(text)))) / max(1, line.tags)
         for line, text in zip(lines, texts)])
+    ratio = np.minimum(ratio, PARAGRAPH)
     smooth = smoothed(ratio)
     above = (smooth > smooth.std()) & (ratio > 0)
-    return above if above.any() else ratio >= max(ratio.max(), 1e-9)
+    if not above.any():
+        above = ratio >= max(ratio.max(), 1e-9)
+    core = above & (ratio > smooth.std())
+    return above, core if core.any() else above
 
 
 def main_text(html: str | None) -> str:
@@ -224,31 +236,34 @@ def main_text(html: str | None) -> str:
     if not any(not line.dropped for line, _ in kept):
         return ""
     lines, texts = [x for x, _ in kept], [x for _, x in kept]
-    content = content_lines(lines, texts)
-    # text of the content regions, and of all lines, per element with all it holds; children come after parents
-    held = np.zeros(len(page.parent))
-    whole = np.zeros(len(page.parent))
-    for line, text, good in zip(lines, texts, content):
-        whole[line.node] += 0 if line.dropped else len(text)
-        held[line.node] += len(text) if good else 0
+    content, core = content_lines(lines, texts)
+    articles = [n for n, kind in enumerate(page.kind) if kind == "article"]
+    nearest = _nearest(page.parent, articles)
+    complete = _complete(nearest, page.parent, articles, lines, content)
+    scope = np.array([nearest[line.node] > 0 for line in lines])
+    size = np.array([len(text) for text in texts])
+    usable = np.array([not line.dropped for line in lines])
+    if not (scope & usable).any() or size[content & scope].sum() < COVER * size[content].sum():
+        # the regions, what stands between them, and the element around their cores
+        where = np.flatnonzero(content)
+        if len(where):
+            scope[where[0]:where[-1] + 1] = True
+        own = _inside(page.parent, _container(page, lines, core))
+        scope |= np.array([own[line.node] for line in lines])
+    return "\n\n".join(
+        t for line, t, good, within in zip(lines, texts, content, scope)
+        # outside the regions and a complete article, a line of links is a menu
+        if within and not line.dropped and (good or nearest[line.node] in complete or line.linked <= 0.5 * len(t)))
+
+
+def _container(page: PageLines, lines: list[Line], core: np.ndarray) -> int:
+    """The innermost container that holds all core lines; the whole page if there are none."""
+    held = np.zeros(len(page.parent), int)
+    for line, good in zip(lines, core):
+        held[line.node] += good
     for node in range(len(page.parent) - 1, 0, -1):
         held[page.parent[node]] += held[node]
-        whole[page.parent[node]] += whole[node]
-    articles = [n for n, kind in enumerate(page.kind) if kind == "article" and whole[n]]
-    if articles:
-        nearest = _nearest(page.parent, articles)
-        complete = _complete(nearest, page.parent, articles, lines, content)
-        return "\n\n".join(
-            t for line, t, good in zip(lines, texts, content)
-            if not line.dropped and nearest[line.node]
-            # beside the articles that an element holds, and in teasers, a line of links outside the regions is a menu
-            and (good or nearest[line.node] in complete or line.linked <= 0.5 * len(t)))
-    chosen = max((n for n in range(len(held)) if held[n] >= COVER * held[0]), default=0)
-    own = _inside(page.parent, chosen)
-    return "\n\n".join(
-        t for line, t, good in zip(lines, texts, content)
-        # without an article element, a line of links outside the regions is a menu
-        if not line.dropped and own[line.node] and (good or line.linked <= 0.5 * len(t)))
+    return max(n for n in range(len(held)) if page.holds[n] and held[n] == held[0]) if held[0] else 0
 
 
 def _nearest(parent: list[int], articles: list[int]) -> list[int]:

@@ -46,6 +46,27 @@ def test_all_article_elements_count(name):
     page, blocks = SEVERAL_ARTICLES[name]
     assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
 
+SOME = "A plain paragraph of the article of middling length, as most of them are. "
+MENU = "<div class=x1><ul><li><a>Home</a><li><a>News</a><li><a>Sports</a><li><a>About us</a></ul></div>"
+SHORT_PARTS = [f"{SOME} Number {i}." for i in range(12)]
+PLAIN_PARTS = "".join(f"<p>{s}</p>" for s in SHORT_PARTS)
+WITHOUT_ARTICLE = {
+    "one dominating paragraph": (f"{MENU}<div class=content><h1>Title</h1><p>{SOME * 150}</p>{PLAIN_PARTS}<p>End.</p></div>{MENU}",
+                                 ["Title", SOME * 150, *SHORT_PARTS, "End."]),
+    "a dominating part": (f"{MENU}<div><h1>Title</h1><div><p>{SOME * 150}</p></div><div>{PLAIN_PARTS}<p>End.</p></div></div>{MENU}",
+                          ["Title", SOME * 150, *SHORT_PARTS, "End."]),
+    "sibling divs, 85 and 15 percent": (f"{MENU}<h1>Title</h1><div class=a>{f'<p>{BODY}</p>' * 17}</div><div class=b>"
+                                        f"{f'<p>{BODY}</p>' * 3}<p>End.</p></div>{MENU}", ["Title", *[BODY] * 20, "End."]),
+    "a short article element beside": (f"<div class=c><h1>Title</h1>{f'<p>{BODY}</p>' * 9}</div>{MENU}<article><p>{SOME}</p></article>",
+                                       ["Title", *[BODY] * 9, SOME]),
+}
+
+
+@pytest.mark.parametrize("name", WITHOUT_ARTICLE)
+def test_regions_stay_whole_without_article_element(name):
+    page, blocks = WITHOUT_ARTICLE[name]
+    assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
+
 
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):

@@ -12,8 +12,10 @@ so a step needs only the D totals. They come from one aggregation over the docum
 steps since rates were last stored are replayed from a row's posteriors, and nothing of the
 size of the corpus reaches the driver.
 
-The classifier's tables have WORD_BUCKETS x domains entries, and there are at most
-MAX_DOMAINS domains. All work on rows is DataFrame functions.
+Any number of domains works. The word tables have WORD_BUCKETS entries a domain; CHUNK of them
+are held at a time, and with more domains a row keeps only the posteriors that count, with
+the places of their domains. The driver holds a few numbers per domain. All work on rows is
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfweave.llm.text import packed, row_key, unpacked
-from shelfweave.session import fresh_path, store_table
+from shelfweave.session import fresh_path, remove_path, store_table
 
-WORD_BUCKETS, MAX_DOMAINS = 4096, 64
+WORD_BUCKETS = 4096
+#: Domains whose word tables are held at once; up to so many, posteriors have an entry for every domain.
+CHUNK = 64
+#: With more, a posterior below exp(-SPAN) of the row's largest is taken as 0.
+SPAN = 30.0
 #: Labelled documents the classifier is learned from, about; drawn by a hash of id and text.
 SAMPLE = 20_000
 #: Words whose evidence a long text counts with; keeps memberships soft.
@@ -57,30 +63,36 @@ def _unit(key: Column) -> Column:
 
 def learn_domains(
     documents: DataFrame, domain: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
-) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains (sorted), log priors, and log P(word bucket | domain) from rows with a domain.
+) -> tuple[list[str], list[float], DataFrame]:
+    """Domains (sorted), log priors, and how often (n) words of bucket b stand in rows of domain d.
 
-    Priors count all labelled rows. A domain without a word in the sample has flat word chances.
+    Priors count all labelled rows.
     """
-    sizes = {
-        r.d: r.n for r in documents.filter(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string").alias("d"))
-        .agg(F.count("*").alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
-    if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains in '{domain}'")
+    labelled = documents.filter(F.col(domain).isNotNull())
+    sizes = {r.d: r.n for r in labelled.groupBy(F.col(domain).cast("string").alias("d")).agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     total = sum(sizes.values())
     share = min(1.0, sample / total) if total else 0.0
-    counts = {
-        (r.d, r.b): r.n for r in documents.filter(F.col(domain).isNotNull())
-        .filter(_unit(row_key(F.col(doc_id), F.col(text))) < share)
+    counts = (
+        labelled.filter(_unit(row_key(F.col(doc_id), F.col(text))) < share)
         .select(F.col(domain).cast("string").alias("d"), F.explode(word_list(F.col(text))).alias("w"))
-        .groupBy("d", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect()}
+        .groupBy("d", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")))
+    if len(domains) > CHUNK:  # read once per chunk
+        counts = store_table(counts, fresh_path(documents.sparkSession, "domain-words"))
+    return domains, [math.log(sizes[d] / total) for d in domains], counts
+
+
+def _word_tables(counts: DataFrame, domains: list[str]) -> list[list[float]]:
+    """log P(word bucket | domain) of up to CHUNK domains; flat for one without a word in the sample."""
+    if not domains:
+        return []
+    found = {(r.d, r.b): r.n for r in counts.filter(F.col("d").isin(domains)).collect()}
     tables = []
     for d in domains:
-        row = [counts.get((d, b), 0) + 0.5 for b in range(WORD_BUCKETS)]
+        row = [found.get((d, b), 0) + 0.5 for b in range(WORD_BUCKETS)]
         norm = math.log(sum(row))
         tables.append([math.log(x) - norm for x in row])
-    return domains, [math.log(sizes[d] / total) for d in domains], tables
+    return tables
 
 
 def _numbers(values: list[float], digits: int = 6) -> Column:
@@ -89,19 +101,20 @@ def _numbers(values: list[float], digits: int = 6) -> Column:
 
 
 def memberships(
-    documents: DataFrame, model: tuple[list[str], list[float], list[list[float]]],
-    doc_id: str = "doc_id", text: str = "text",
+    documents: DataFrame, model: tuple[list[str], list[float], DataFrame], doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """key, doc_id, n_tokens and p, the posteriors as an array, of every row. Without words they are the priors."""
-    domains, priors, tables = model
-    buckets = documents.select(
+    """key, doc_id, n_tokens and p, the posteriors as an array, of every row. Without words they are the priors.
+
+    With more than CHUNK domains p holds those that count, and ``at`` (after n_tokens) the places of their domains.
+    """
+    domains, priors, counts = model
+    rows = documents.select(
         row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"),
-        F.transform(word_list(F.col(text)), _bucket).alias("buckets"))
-    scored = buckets.select("key", "doc_id", F.size("buckets").cast("long").alias("n_tokens"), *[
-        F.aggregate("buckets", F.lit(0.0), _added(_numbers(table))).alias(f"l_{j}") for j, table in enumerate(tables)])
-    weight = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logs = scored.select("key", "doc_id", "n_tokens", *[
-        (F.lit(prior) + F.col(f"l_{j}") * weight).alias(f"l_{j}") for j, prior in enumerate(priors)])
+        F.transform(word_list(F.col(text)), _bucket).alias("buckets"),
+    ).select("key", "doc_id", F.size("buckets").cast("long").alias("n_tokens"), "buckets")
+    if len(domains) > CHUNK:
+        return _few_of_many(rows, domains, priors, counts)
+    logs = _scored(rows, _word_tables(counts, domains), priors)
     names = [f"l_{j}" for j in range(len(domains))]
     top = F.greatest(*names) if len(names) > 1 else (F.col(names[0]) if names else F.lit(0.0))
     shares = logs.select("key", "doc_id", "n_tokens", *[F.exp(F.col(n) - top).alias(n) for n in names])
@@ -109,31 +122,53 @@ def memberships(
     return shares.select("key", "doc_id", "n_tokens", F.array(*[F.col(n) / total for n in names]).cast("array<double>").alias("p"))
 
 
-def _added(table: Column):
-    return lambda total, bucket: total + table[bucket]
+def _scored(rows: DataFrame, tables: list[list[float]], priors: list[float]) -> DataFrame:
+    """``rows`` with l_0, l_1, ...: the log prior and the evidence for the domain of each table."""
+    kept = rows.columns
+    scored = rows.select(*kept, *[
+        F.aggregate("buckets", F.lit(0.0), _added(_numbers(table))).alias(f"l_{j}") for j, table in enumerate(tables)])
+    weight = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1)))
+    return scored.select(*kept, *[
+        (F.lit(prior) + F.col(f"l_{j}") * weight).alias(f"l_{j}") for j, prior in enumerate(priors)])
 
 
-def _largest_eigenvalue(matrix: list[list[float]]) -> float:
-    """By power iteration; the matrix is symmetric with entries >= 0."""
-    vector = [1.0] * len(matrix)
-    value = 0.0
-    for _ in range(200):
-        image = [sum(a * b for a, b in zip(row, vector)) for row in matrix]
-        value = max(image, default=0.0)
-        if value <= 0:
-            return 0.0
-        vector = [x / value for x in image]
-    return value
+def _few_of_many(rows: DataFrame, domains: list[str], priors: list[float], counts: DataFrame) -> DataFrame:
+    """The memberships chunk by chunk; between chunks a row keeps the domains that are within SPAN of its best so far."""
+    spark = rows.sparkSession
+    found = rows.withColumn("best", F.array().cast("array<struct<at:int,l:double>>"))
+    path = None
+    for start in range(0, len(domains), CHUNK):
+        chunk = slice(start, start + CHUNK)
+        logs = _scored(found, _word_tables(counts, domains[chunk]), priors[chunk])
+        new = F.array(*[
+            F.struct(F.lit(start + j).alias("at"), F.col(f"l_{j}").alias("l")) for j in range(len(domains[chunk]))])
+        both = logs.select(*rows.columns, F.concat("best", new).alias("best"))
+        topped = both.select("*", F.array_max(F.transform("best", lambda x: x.l)).alias("top"))
+        near = topped.select(*rows.columns, F.filter("best", lambda x: x.l >= F.col("top") - SPAN).alias("best"))
+        before, path = path, fresh_path(spark, "chunk")
+        found = store_table(near, path)
+        if before:
+            remove_path(spark, before)
+    top = F.array_max(F.transform("best", lambda x: x.l))
+    shares = found.select(
+        "key", "doc_id", "n_tokens", F.transform("best", lambda x: x["at"]).alias("at"), "best", top.alias("top")).select(
+        "key", "doc_id", "n_tokens", "at", F.transform("best", lambda x: F.exp(x.l - F.col("top"))).alias("p"))
+    total = shares.select("*", F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return total.select("key", "doc_id", "n_tokens", "at", F.transform("p", lambda x: x / F.col("total")).alias("p"))
 
 
-def _stepped(rate: Column, last: Column, steps: list[tuple[float, list[float]]], min_rate: float) -> Column:
+def _added(table: Column):
+    return lambda total, bucket: total + table[bucket]
+
+
+def _stepped(rate: Column, last: Column, steps: list[tuple[float, list[float]]], min_rate: float, few: bool) -> Column:
     """The rate and the one before it (as a struct) after projected steps (momentum, pull on each domain)."""
     rows = F.array(*[_numbers([momentum, *pull], 17) for momentum, pull in steps])
 
     def step(state, row):
         ahead = state.rate + row[0] * (state.rate - state.last)
-        along = F.aggregate(
-            F.zip_with("p", F.slice(row, 2, F.size("p")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        pulls = F.transform("at", lambda j: row[j + 1]) if few else F.slice(row, 2, F.size("p"))
+        along = F.aggregate(F.zip_with("p", pulls, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         return F.struct(F.greatest(F.lit(min_rate), ahead - along).alias("rate"), state.rate.alias("last"))
 
     return F.aggregate(rows, F.struct(rate.alias("rate"), last.alias("last")), step)
@@ -151,15 +186,9 @@ def fit_rates(
     Where posteriors overlap and not all targets can be met, the result is the nearest in the weighted sense above.
     """
     n, min_rate = len(domains), float(min_rate)
-    p, tokens = F.col("p"), F.col("n_tokens")
     start = max(1.0, min_rate)
     members = members.withColumn("rate", F.lit(start))
-    pairs = [(a, b) for a in range(n) for b in range(a, n)]
-    first = members.agg(
-        *[F.coalesce(F.sum(tokens * p[j]), F.lit(0.0)).alias(f"s{j}") for j in range(n)],
-        *[F.coalesce(F.sum(tokens * p[a] * p[b]), F.lit(0.0)).alias(f"g{a}_{b}") for a, b in pairs],
-        F.count("*").alias("rows")).first()
-    now = [first[f"s{j}"] for j in range(n)]
+    now = _totals(members, F.lit(1.0), n)
     total = sum(now)
     if not n or not total:
         return members, {"domains": domains, "now": now, "targets": now, "reached": now, "steps": 0}
@@ -172,12 +201,10 @@ def fit_rates(
     wanted = [budget * w for w in weights]
 
     scale = [max(x, total * 1e-9) for x in now]
-    gram = [[0.0] * n for _ in range(n)]
-    for a, b in pairs:
-        gram[a][b] = gram[b][a] = first[f"g{a}_{b}"] / math.sqrt(scale[a] * scale[b])
-    eta = 1.0 / (_largest_eigenvalue(gram) * (1 + 1e-6))
+    # the largest eigenvalue of the totals' response: a row's posteriors add up to one, so that of now^-1 P'WP is one
+    eta = 1.0 / (1 + 1e-6)
 
-    state = members.select("key", "doc_id", "n_tokens", "p", F.col("rate"), F.col("rate").alias("last"))
+    state = members.select("*", F.col("rate").alias("last"))
     reached = before = [x * start for x in now]
     pending, steps, pace = [], 0, 1.0
     for steps in range(1, MAX_STEPS + 1):
@@ -189,19 +216,29 @@ def fit_rates(
         momentum, pace = (pace - 1) / faster, faster
         ahead = [r + momentum * (r - b) for r, b in zip(reached, before)]
         pending.append((momentum, [eta * (a - t) / s for a, t, s in zip(ahead, wanted, scale)]))
-        sums = _replayed(state, pending, min_rate).agg(
-            *[F.sum(tokens * F.col("rate") * p[j]).alias(f"s{j}") for j in range(n)]).first()
-        before, reached = reached, [sums[f"s{j}"] for j in range(n)]
+        before, reached = reached, _totals(_replayed(state, pending, min_rate), F.col("rate"), n)
         if max(abs(a - b) for a, b in zip(before, reached)) <= TOLERANCE * total:
             break
     report = {"domains": domains, "now": now, "targets": wanted, "reached": reached, "steps": steps}
     return _replayed(state, pending, min_rate).drop("last"), report
 
 
+def _totals(members: DataFrame, rate: Column, n: int) -> list[float]:
+    """Tokens times rate of all rows, per domain."""
+    weight = F.col("n_tokens") * rate
+    if "at" not in members.columns:
+        sums = members.agg(F.count("*"), *[F.coalesce(F.sum(weight * F.col("p")[j]), F.lit(0.0)) for j in range(n)]).first()
+        return list(sums[1:])
+    parts = members.select(weight.alias("w"), F.explode(F.arrays_zip("at", "p")).alias("x"))
+    sums = {r.j: r.s for r in parts.groupBy(F.col("x.at").alias("j")).agg(F.sum(F.col("w") * F.col("x.p")).alias("s")).collect()}
+    return [sums.get(j, 0.0) for j in range(n)]
+
+
 def _replayed(state: DataFrame, pending: list[tuple[float, list[float]]], min_rate: float) -> DataFrame:
-    moved = _stepped(F.col("rate"), F.col("last"), pending, min_rate)
-    return state.select("key", "doc_id", "n_tokens", "p", moved.alias("x")).select(
-        "key", "doc_id", "n_tokens", "p", "x.rate", "x.last")
+    few = "at" in state.columns
+    kept = ["key", "doc_id", "n_tokens", *(["at"] if few else []), "p"]
+    moved = _stepped(F.col("rate"), F.col("last"), pending, min_rate, few)
+    return state.select(*kept, moved.alias("x")).select(*kept, "x.rate", "x.last")
 
 
 def mix(
@@ -221,7 +258,8 @@ def mix(
     rated, report = fit_rates(members, domains, targets, **options)
     likeliest = F.lit(None).cast("string")
     if domains:
-        likeliest = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int"))
+        place = F.array_position("p", F.array_max("p")).cast("int") - 1
+        likeliest = F.array(*[F.lit(d) for d in domains])[F.col("at")[place] if "at" in members.columns else place]
     rated = rated.select("key", "doc_id", "n_tokens", likeliest.alias("domain"), F.round("rate", 6).alias("rate"))
     copies = F.floor(F.col("rate") + _unit(F.concat(F.lit("copies"), F.col("key")))).cast("long")
     return rated.withColumn("copies", copies), report

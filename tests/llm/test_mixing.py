@@ -48,6 +48,30 @@ def test_domains_are_told_apart(spark):
     assert 140 <= grown.count() <= 180
 
 
+def test_any_number_of_domains(spark):
+    """Some hundred domains are found again in their texts and reach targets; no row is lost."""
+    n = mixing.CHUNK * 4 + 44
+    rows = [(i, " ".join(f"w{i % n}x{k}" for k in range(12 + i % 4)), f"d{i % n:03}" if i < 2 * n else None)
+            for i in range(3 * n)] + [(-1, "", None), (-1, "", None), (-2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    weights = {f"d{j:03}": 1.0 + j % 2 for j in range(n)}
+    rated, report = mixing.mix(docs, "lang", weights)
+    got = rated.collect()
+    assert len(got) == len(rows) and len(report["domains"]) == n
+    assert all(r.domain == f"d{r.doc_id % n:03}" for r in got if r.doc_id >= 0)
+    assert np.allclose(report["reached"], report["targets"], rtol=2e-2)
+
+
+def test_chunks_change_nothing(corpus, monkeypatch):
+    def rates():
+        rated, report = mixing.mix(corpus, "lang")
+        return sorted((str(r.key), r.n_tokens, r.domain, round(r.rate, 4), r.copies) for r in rated.collect()), report
+    rows, report = rates()
+    monkeypatch.setattr(mixing, "CHUNK", 1)
+    chunked, again = rates()
+    assert chunked == rows and np.allclose(again["reached"], report["reached"])
+
+
 def test_awkward_rows(corpus, no_documents):
     rated, _ = mixing.mix(corpus, "lang")
     rows = rated.collect()

@@ -20,9 +20,10 @@ DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweave.llm.text import packed, row_key, unpacked
@@ -33,8 +34,9 @@ WORD_BUCKETS = 4096
 CHUNK = 64
 #: With more, a posterior below exp(-SPAN) of the row's largest is taken as 0.
 SPAN = 30.0
-#: Labelled documents the classifier is learned from, about; drawn by a hash of id and text.
-SAMPLE = 20_000
+#: Labelled documents the classifier is learned from, about; drawn by a hash of id and text, as many from each domain
+#: as from another where it has them, and LEAST from each at least.
+SAMPLE, LEAST = 20_000, 50
 #: Words whose evidence a long text counts with; keeps memberships soft.
 EVIDENCE = 40
 #: Steps end when no total moves by this share of all tokens, which takes some 30 where the targets can be met. Where they
@@ -72,16 +74,37 @@ def learn_domains(
     sizes = {r.d: r.n for r in labelled.groupBy(F.col(domain).cast("string").alias("d")).agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     total = sum(sizes.values())
-    share = min(1.0, sample / total) if total else 0.0
+    shares = _drawn(sizes, sample)
     counts = (
-        labelled.filter(_unit(row_key(F.col(doc_id), F.col(text))) < share)
-        .select(F.col(domain).cast("string").alias("d"), F.explode(word_list(F.col(text))).alias("w"))
+        labelled.select(
+            F.col(domain).cast("string").alias("d"), F.col(text).alias("text"),
+            _unit(row_key(F.col(doc_id), F.col(text))).alias("at"))
+        .join(_as_table(documents.sparkSession, shares), "d").filter(F.col("at") < F.col("share"))
+        .select("d", F.explode(word_list(F.col("text"))).alias("w"))
         .groupBy("d", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")))
     if len(domains) > CHUNK:  # read once per chunk
         counts = store_table(counts, fresh_path(documents.sparkSession, "domain-words"))
     return domains, [math.log(sizes[d] / total) for d in domains], counts
 
 
+def _drawn(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """Share of each domain's rows to draw: equal numbers of rows, where small domains leave theirs to larger ones."""
+    quota, left = float(sample), float(sample)
+    for i, size in enumerate(sorted(sizes.values())):
+        quota = left / (len(sizes) - i)
+        if size > quota:
+            break
+        left -= size
+        quota = float(max(size, left))
+    return {d: min(1.0, max(quota, LEAST) / size) for d, size in sizes.items()}
+
+
+def _as_table(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
+    """d and share; a few numbers per domain."""
+    pairs = F.from_json(F.lit(json.dumps([{"d": d, "share": x} for d, x in shares.items()])), "array<struct<d:string,share:double>>")
+    return spark.range(1).select(F.inline(pairs))
+
+
 def _word_tables(counts: DataFrame, domains: list[str]) -> list[list[float]]:
     """log P(word bucket | domain) of up to CHUNK domains; flat for one without a word in the sample."""
     if not domains:

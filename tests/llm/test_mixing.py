@@ -62,6 +62,23 @@ def test_any_number_of_domains(spark):
     assert np.allclose(report["reached"], report["targets"], rtol=2e-2)
 
 
+def test_rare_domains_are_learned(spark):
+    """Two rare domains beside a large one: a small sample holds rows of each."""
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 2000 = 0 THEN 'r' WHEN id % 2000 = 1 THEN 's\"x' ELSE 'big' END AS lang",
+        "concat('w', id % 2000 % 3, ' a', id) AS text")
+    _, _, counts = mixing.learn_domains(docs, "lang", sample=60)
+    words = {r.d: r.n for r in counts.groupBy("d").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert words["r"] == words['s"x'] == 2 * 10 and 40 <= words["big"] <= 200
+
+
+def test_shares_of_the_sample():
+    assert mixing._drawn({"a": 5, "b": 9}, 20) == {"a": 1.0, "b": 1.0} and mixing._drawn({}, 20) == {}
+    drawn = mixing._drawn({"a": 100, "b": 10_000, "c": 10**6}, 1100)
+    assert drawn == {"a": 1.0, "b": 0.05, "c": 0.0005}
+    assert mixing._drawn({"a": 100, "b": 10**6}, 2)["a"] == 0.5
+
+
 def test_chunks_change_nothing(corpus, monkeypatch):
     def rates():
         rated, report = mixing.mix(corpus, "lang")

@@ -6,6 +6,10 @@ sentence is. Training maximises the likelihood of the document labels, so blame
 the sentences that tell labelled documents apart, and ``offending_sentences`` can point
 at them.
 
+A sentence without a learned word still has the p of the bias. Such sentences count up to
+the most that a clean document of the training sample has: beyond, length is no evidence, and
+a long clean text must not pass the threshold by it. Sentences with a learned word all count.
+
 A word stands for itself and for its beginnings of four to six letters, which lets rare
 inflected forms share what is learned. Labels, language, source and id are never inputs.
 
@@ -72,20 +76,24 @@ class _WordWeights(dict):
 class ToxicityModel:
     """Weights of the known features; at most MAX_FEATURES, so its size is bounded."""
 
-    def __init__(self, bias: float, weights: dict[str, float]):
-        self.bias, self.weights = bias, weights
+    def __init__(self, bias: float, weights: dict[str, float], plain: int | None = None):
+        """``plain`` sentences without a learned word count at most; all of them for None."""
+        self.bias, self.weights, self.plain = bias, weights, plain
         self._words = _WordWeights(weights)
 
     def __reduce__(self):  # the cache stays behind
-        return ToxicityModel, (self.bias, self.weights)
+        return ToxicityModel, (self.bias, self.weights, self.plain)
 
     def sentence(self, sentence: str) -> float:
         """Log-odds that the sentence is toxic."""
         return self.bias + sum(map(self._words.__getitem__, _WORD.findall(sentence.lower())))
 
     def clean(self, text: str | None) -> float:
-        """Sum of log(1 - p) over the sentences."""
-        return -sum(map(_softplus, map(self.sentence, sentences(text))))
+        """Sum of log(1 - p) over the sentences that count."""
+        odds = list(map(self.sentence, sentences(text)))
+        telling = [z for z in odds if z != self.bias]
+        plain = len(odds) - len(telling)
+        return -sum(map(_softplus, telling)) - _softplus(self.bias) * (plain if self.plain is None else min(plain, self.plain))
 
     def score(self, text: str | None) -> float:
         return -math.expm1(self.clean(text))
@@ -104,7 +112,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     sure = np.ones(len(y)) if weights is None else np.asarray(weights, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel(math.log(share / (1 - share)), {})
+        return ToxicityModel(math.log(share / (1 - share)), {}, 1)
     # a pass over positive texts, one over negative ones, one for the cells: only counts and cells are held
     held = Counter()
     for text in (t for t, label in zip(texts, y) if label):
@@ -151,7 +159,10 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         theta -= STEP * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)
-    return ToxicityModel(float(theta[-1]), {f: float(w) for f, w in zip(chosen, theta[:-1]) if w})
+    # sentences without a learned word, per document
+    plain = np.bincount(doc[np.bincount(row, minlength=n_rows) == 0], minlength=len(y))
+    return ToxicityModel(
+        float(theta[-1]), {f: float(w) for f, w in zip(chosen, theta[:-1]) if w}, max(1, int(plain[y == 0].max())))
 
 
 def not_held_out(doc_id: Column) -> Column:

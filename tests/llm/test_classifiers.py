@@ -31,6 +31,13 @@ def test_noisy_or_by_hand(model):
     assert pickle.loads(pickle.dumps(model)).score(text) == model.score(text)
 
 
+def test_length_alone_is_not_toxic(model):
+    clean, share = "a fine day. all is well. nor here. " * 40_000, toxicity.fit(["a"] * 3, [0] * 3)
+    assert model.score(clean) < 0.1 < 0.9 < model.score(clean + "you idiot!")
+    assert pickle.loads(pickle.dumps(model)).score(clean) == model.score(clean)
+    assert share.score(clean) == pytest.approx(share.score("a")) == pytest.approx(0.125)
+
+
 def test_blame_falls_on_the_offending_sentence(spark, model):
     df = spark.createDataFrame([("a fine day. you idiot! all is well",), (None,), ("",)], "text STRING")
     rows = df.select(toxicity.offending_sentences(F.col("text"), model).alias("s")).collect()

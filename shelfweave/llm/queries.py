@@ -63,12 +63,14 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 @_query("op7_toxicity")
 def op7_toxicity(spark, sf_dir):
-    """Every document, scored by the model learned from the rows that are not held out."""
+    """Every document, scored by the model learned from the rows that are not held out, with its offending sentences."""
     documents = _table(spark, sf_dir, "documents")
     model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
-    score = toxicity.toxicity(F.col("text"), model)
-    return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+    read = documents.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.read(F.col("text"), model).alias("read"))
+    return read.select(
+        "doc_id", "held_out", "read.score", (F.col("read.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "read.offending")
 
 
 @_query("op10_quality_classifier")

@@ -1,4 +1,7 @@
+import math
 import pickle
+import re
+import zlib
 
 import duckdb
 import pytest
@@ -38,6 +41,51 @@ def test_length_alone_is_not_toxic(model):
     assert share.score(clean) == pytest.approx(share.score("a")) == pytest.approx(0.125)
 
 
+def test_a_hundred_thousand_clean_sentences_stay_clean(model):
+    clean = "a fine day. " * 100_000
+    assert model.score(clean) == pytest.approx(model.leak) and model.score(clean + "idiot.") > 0.9
+
+
+def test_few_documents_still_teach():
+    toxic = [f"{c} scum moron. fine" for c in "abc"] + [f"{c} fine" for c in "def"]
+    model = toxicity.fit(toxic + [f"{c} fine day" for c in "ghijklmnopqrstuvwxyz" * 2], [1] * 6 + [0] * 40)
+    assert model.score("you scum") > 0.7 > 0.2 > model.score("a d g fine day")
+
+
+def test_the_query_equals_plain_python(spark):
+    """Sample, fit and score by hand: all labels fit in the sample, so order alone could differ."""
+    documents = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall())
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{SF_DIR}/labels.parquet'").fetchall()
+    seen = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    model = toxicity.fit([documents[d] or "" for d, _ in seen], [y for _, y in seen])
+
+    def expected(text):
+        """One minus the product of what every sentence leaves clean."""
+        told = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text or "") if s.strip()]
+        clean = 1 - model.leak if told else 1.0
+        for s in told:
+            z = model.bias + max(0.0, sum(model.weights.get(f, 0) for w in re.findall(r"[^\W\d_]+", s.lower())
+                                          for f in ["=" + w] + ["^" + w[:n] for n in (4, 5, 6) if len(w) > n]))
+            clean *= (1 + math.exp(model.bias)) / (1 + math.exp(z))
+        return 1 - clean
+
+    rows = ENTRIES["op7_toxicity"].build(spark, SF_DIR).collect()
+    assert len(rows) == len(documents) and len(model.weights) > 10
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert r.score == pytest.approx(expected(documents[r.doc_id]), abs=1e-6), r.doc_id
+        assert r.predicted == (r.score >= 0.7) and (not r.predicted or r.offending)
+
+
+def test_repeated_ids_and_ties_give_one_model(spark):
+    rows = [(1, "you idiot"), (1, "a fine day"), (1, None), (2, "b"), (None, "you idiot"), (4, "idiot")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (4, 3)], "doc_id LONG, toxic INT")
+    take = lambda d: toxicity.sample_labelled(d, labels, "toxic", "doc_id", "text", 9, 9, lambda c: F.lit(True))
+    assert take(docs) == take(docs.orderBy(F.desc("text")).repartition(3)) and take(docs)[1] == [1, 0]
+    assert toxicity.remove_toxic(docs, toxicity.ToxicityModel(0.7, {})).count() == 1  # a tie goes, a text without a sentence stays
+
+
 def test_blame_falls_on_the_offending_sentence(spark, model):
     df = spark.createDataFrame([("a fine day. you idiot! all is well",), (None,), ("",)], "text STRING")
     rows = df.select(toxicity.offending_sentences(F.col("text"), model).alias("s")).collect()

@@ -478,7 +478,17 @@ def export_feature_maps(spark, sf_dir):
     return rounded(maps.select("name", F.explode("entries").alias("map_key", "mean")))
 
 
-# Every panel row, again with an unseen store, an unseen item, and a date past the panel.
+def asked_rows(panel: DataFrame) -> DataFrame:
+    """Every panel row, again with an unseen store, an unseen item, and a date past the panel."""
+    moves = F.array(*[
+        F.struct(F.lit(d).alias("d"), F.lit(s).alias("s"), F.lit(i).alias("i"))
+        for d, s, i in ((0, 0, 0), (0, 90, 0), (0, 0, 900), (4000, 0, 0))])
+    return panel.select("date", "store", "item", F.explode(moves).alias("m")).select(
+        F.date_add("date", F.col("m.d")).alias("date"), (F.col("store") + F.col("m.s")).alias("store"),
+        (F.col("item") + F.col("m.i")).alias("item"))
+
+
+# the rows of asked_rows
 PARITY_SQL = ", ".join(f"ROUND(AVG({m}), 6) AS joined_{m}, ROUND(AVG({m}), 6) AS mapped_{m}" for m in MEANS)
 
 
@@ -492,12 +502,7 @@ def path_parity(spark, sf_dir):
     panel, state = fitted(spark, sf_dir, SHORT_TRAIN_END)
     entries = keyed_maps.mean_entries(state, spark)
     shards = keyed_maps.shard_counts(entries)
-    moves = F.array(*[
-        F.struct(F.lit(d).alias("d"), F.lit(s).alias("s"), F.lit(i).alias("i"))
-        for d, s, i in ((0, 0, 0), (0, 90, 0), (0, 0, 900), (4000, 0, 0))])
-    asked = panel.select("date", "store", "item", F.explode(moves).alias("m")).select(
-        F.date_add("date", F.col("m.d")).alias("date"), (F.col("store") + F.col("m.s")).alias("store"),
-        (F.col("item") + F.col("m.i")).alias("item"))
+    asked = asked_rows(panel)
     joined = learned.demand_features(asked, state).select(
         "date", "store", "item", *[F.col(m).alias(f"joined_{m}") for m in MEANS])
     # the second path runs on the rows of the first, so the two need no join to be compared

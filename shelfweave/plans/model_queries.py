@@ -13,10 +13,10 @@ from shelfweave.operators import accuracy, reports, semantic
 from shelfweave.operators.grid import day_range
 from shelfweave.operators.splits import test_rows, train_rows
 from shelfweave.plans import scoring, training
-from shelfweave.plans.catalog import PANEL_SQL, REPORT_YEAR, TRAIN_END, VAL_END, query
-from shelfweave.plans.forecast_queries import _request_texts
+from shelfweave.plans.catalog import PANEL_SQL, REPORT_YEAR, TRAIN_END, VAL_END, features_sql, learned_sql, query
+from shelfweave.plans.forecast_queries import MEDIAN_SQL, _request_texts, asked_rows
 from shelfweave.session import fresh_path, input_state
-from shelfweave.sources import keyed_maps, requests, tables
+from shelfweave.sources import keyed_maps, portable_forest, requests, tables
 from shelfweave.sources.panel import load_panel
 from shelfweave.streaming.scorer import publish_model, score_stream
 
@@ -45,13 +45,27 @@ def trained(spark, sf_dir) -> training.Trained:
     return _TRAINED[key]
 
 
-@query("feature_vector")
-def feature_vector(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+# The 38 slots by their formulas, in slot order.
+SLOT_SQL = {
+    **MEDIAN_SQL,
+    **{f"month_onehot_{m}": f"CAST(month(date) = {m} AS DOUBLE)" for m in range(1, 13)},
+    **{f"dayofweek_onehot_{d}": f"CAST(isodow(date) - 1 = {d} AS DOUBLE)" for d in range(7)},
+    "is_weekend": "CAST(isodow(date) >= 6 AS DOUBLE)", "is_month_start": "CAST(day(date) = 1 AS DOUBLE)",
+    "is_month_end": "CAST(date = last_day(date) AS DOUBLE)",
+}
+SLOTS_SQL = ", ".join(f"ROUND(CAST({e} AS DOUBLE), 6) + 0.0 AS s{i:02d}_{n}" for i, (n, e) in enumerate(SLOT_SQL.items()))
 
-    head = PipelineModel(trained(spark, sf_dir).best.stages[:-1])
-    vectors = head.transform(test_rows(load_panel(spark, sf_dir), VAL_END))
-    return vectors.select("date", "store", "item", vector_to_array("features").alias("features"))
+
+@query("feature_vector", f"""WITH {learned_sql()}, test AS (SELECT * FROM panel WHERE date > DATE '{VAL_END}'),
+{features_sql('test')}
+SELECT date, store, item, {SLOTS_SQL} FROM feat""")
+def feature_vector(spark, sf_dir):
+    """The fitted pipeline's vector of every test row, a column per slot: its place and its name."""
+    model, rows = trained(spark, sf_dir).best, test_rows(load_panel(spark, sf_dir), VAL_END)
+    names = training.slot_names(PipelineModel(model.stages[:-1]).transform(rows))
+    vectors = training.slot_rows(model, rows)
+    return vectors.select("date", "store", "item", *[
+        (F.round(F.col("slots")[i], 6) + F.lit(0.0)).alias(f"s{i:02d}_{n}") for i, n in enumerate(names)])
 
 
 @query("model_comparison")
@@ -94,7 +108,10 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
-@query("portable_artifacts")
+@query("portable_artifacts", f"""WITH {learned_sql()}
+SELECT unnest(['store_item_mean', 'store_item_dow_mean', 'item_month_mean', 'store_month_mean']) AS name,
+  unnest([(SELECT COUNT(m) FROM si), (SELECT COUNT(m) FROM sid), (SELECT COUNT(m) FROM im), (SELECT COUNT(m) FROM sm)]) AS entries,
+  38 AS slots""")
 def portable_artifacts(spark, sf_dir):
     """Export what the champion learned, read it back, and size each map."""
     path = fresh_path(spark, "portable")
@@ -114,9 +131,59 @@ def feature_importance(spark, sf_dir):
 @query("demand_drivers")
 def demand_drivers(spark, sf_dir):
     panel = load_panel(spark, sf_dir)
-    return rounded(training.ablation_drivers(
-        trained(spark, sf_dir).best, train_rows(panel, TRAIN_END), test_rows(panel, VAL_END)
-    ))
+    return rounded(training.shapley_drivers(trained(spark, sf_dir).best, test_rows(panel, VAL_END)))
+
+
+# Both say what holds for any fitted model; the twins count the rows from the tables.
+CANDIDATES_SQL = "(SELECT unnest(['gbt_absolute', 'gbt_squared', 'random_forest']) AS model)"
+
+
+@query("forecast_parity", f"""WITH {PANEL_SQL}
+SELECT model, 4 * COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_apart, 0.0::DOUBLE AS max_abs_diff
+FROM panel, {CANDIDATES_SQL} GROUP BY 1""")
+def forecast_parity(spark, sf_dir):
+    """Forecasts of every candidate by its pipeline and by its exported artifacts alone.
+
+    Over all panel rows, unseen stores, unseen items and later dates: rows, those more than 1e-9 apart, the largest difference.
+    """
+    panel = load_panel(spark, sf_dir)
+    parts = []
+    for name, model in sorted(trained(spark, sf_dir).models.items()):
+        path = fresh_path(spark, "portable")
+        training.export_portable(model, panel, path)
+        maps, record = keyed_maps.read_artifacts(spark, path)
+        # the second path runs on the rows of the first, so the two need no join to be compared
+        piped = training.predict(model, asked_rows(panel)).select("date", "store", "item", F.col("forecast").alias("piped"))
+        both = portable_forest.portable_forecast(
+            piped, maps, keyed_maps.map_rows(maps), record.first(), portable_forest.read_forest(spark, path))
+        gap = F.abs(F.col("piped") - F.col("forecast"))
+        parts.append(both.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~F.coalesce(gap <= 1e-9, F.lit(False))).alias("n_apart"), F.round(F.max(gap), 9).alias("max_abs_diff")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("attribution_sums", f"""WITH {PANEL_SQL}
+SELECT model, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_unused
+FROM panel, {CANDIDATES_SQL} WHERE date > DATE '{VAL_END}' GROUP BY 1""")
+def attribution_sums(spark, sf_dir):
+    """Contributions of all 38 slots to every test forecast of every candidate.
+
+    Rows, those whose base and contributions miss the forecast by more than 1e-9, and contributions of slots without a gain.
+    """
+    rows = test_rows(load_panel(spark, sf_dir), VAL_END).select("date", "store", "item")
+    parts = []
+    for name, model in sorted(trained(spark, sf_dir).models.items()):
+        gains = F.array(*[F.lit(float(g)) for g in model.stages[-1].featureImportances.toArray()])
+        told = training.attributed(model, rows)
+        total = F.aggregate("contributions", F.col("base"), lambda a, x: a + x)
+        unused = F.size(F.filter(F.arrays_zip("contributions", gains.alias("gains")),
+                                 lambda x: (x["contributions"] != 0) & (x["gains"] == 0)))
+        parts.append(told.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~F.coalesce(F.abs(total - F.col("forecast")) <= 1e-9, F.lit(False))).alias("n_apart"),
+            F.sum(unused).alias("n_unused")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("report_drivers")
@@ -230,7 +297,8 @@ def model_promises(spark, sf_dir):
     comparison = trained(spark, sf_dir).comparison
     best = comparison.filter(F.col("model") == trained(spark, sf_dir).champion).select("val_smape").scalar()
     broken = {
-        "feature_vector": (feature_vector, (F.size("features") != 38) | F.exists("features", lambda x: x.isNull() | F.isnan(x))),
+        "feature_vector": (lambda *at: training.slot_rows(trained(*at).best, test_rows(load_panel(*at), VAL_END)),
+                           (F.size("slots") != 38) | F.exists("slots", lambda x: x.isNull() | F.isnan(x))),
         "horizon_forecast": (horizon_forecast, (F.col("forecast") < 0) | (F.abs(F.col("predicted_sales") - F.col("forecast")) > 0.00501)),
         "fact_forecast": (fact_forecast, F.col("Forecast") < 0),
         "model_comparison": (lambda *_: comparison, (F.col("val_smape") < best) | (

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweave.functions import metrics
+from shelfweave.operators import attribution
 from shelfweave.operators.ml_stages import (
     CATEGORIES, FLAGS, DemandFeatures, SmapeEvaluator, preprocessing_stages, slot_names,
 )
 from shelfweave.operators.splits import expanding_folds, test_rows, train_rows, with_split
 from shelfweave.session import shared_root
 from shelfweave.sources.keyed_maps import export_artifacts
+from shelfweave.sources.portable_forest import forest_table, write_forest
 
 SEED = 42
 N_DRAWS = 8
@@ -276,12 +278,40 @@ def metadata_record(trained: Trained, panel: DataFrame, train_end: str, val_end:
 
 
 def export_portable(model: PipelineModel, sample: DataFrame, path: str) -> None:
-    """Write what a fitted pipeline learned as keyed maps and one record; see keyed_maps."""
+    """Write what a fitted pipeline learned as keyed maps, one record and node arrays; see keyed_maps, portable_forest."""
     features, fill = model.stages[:2]
     names = slot_names(PipelineModel(model.stages[:-1]).transform(sample))
     export_artifacts(
         features.learned, sample.sparkSession, path, fill.values, CATEGORIES, FLAGS, names
     )
+    write_forest(forest_table(sample.sparkSession, model.stages[-1]), path)
+
+
+def slot_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``slots``, the fitted pipeline's feature vector as an array."""
+    ready = PipelineModel(model.stages[:-1]).transform(_beside(rows))
+    return ready.select("_row.*", vector_to_array("features").alias("slots"))
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """``rows`` with a copy of themselves, since imputation replaces columns."""
+    return rows.withColumn("_row", F.struct(*rows.columns))
+
+
+def attributed(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``slots``, the raw ``forecast``, ``base`` and ``contributions``; see attribution."""
+    ready = PipelineModel(model.stages[:-1]).transform(_beside(rows))
+    scored = model.stages[-1].transform(ready).select(
+        "_row.*", vector_to_array("features").alias("slots"), F.col("prediction").alias("forecast"))
+    return attribution.attribute(scored, forest_table(rows.sparkSession, model.stages[-1]))
+
+
+def shapley_drivers(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Mean absolute contribution of every slot to the forecasts of ``rows``, largest first."""
+    ready = slot_rows(model, rows)
+    names = slot_names(PipelineModel(model.stages[:-1]).transform(rows))
+    scored = attribution.attribute(ready.select("slots"), forest_table(rows.sparkSession, model.stages[-1]))
+    return attribution.mean_impact(scored, names)
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int | None = None) -> DataFrame:

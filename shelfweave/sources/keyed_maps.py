@@ -40,6 +40,11 @@ def shard_counts(entries: DataFrame) -> dict[str, int]:
     return {r["name"]: -(-r["n"] // ENTRIES_PER_MAP) for r in counted}
 
 
+def map_rows(maps: DataFrame) -> dict[str, int]:
+    """``shard_counts`` of maps that were read back."""
+    return {r["name"]: r["n"] for r in maps.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def _shard(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 

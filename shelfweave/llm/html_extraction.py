@@ -6,8 +6,13 @@ ratio of text to tags per line is smoothed with a Gaussian and cut at its standa
 deviation; runs of lines above the cut are the content regions. All ``article`` and ``main``
 elements of a page, side by side or nested, are its article. Where they do not hold half of the
 regions' text, it is the regions, what lies between them, and the innermost container with all
-of them. All its lines are returned but lines of links outside the regions and those of menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, told by
-element, role and class names.
+of them. All its lines are returned but lines of links outside the regions and those of menus, headers, footers, sidebars,
+notices, adverts, forms, comments and the like, told by element, role and class names.
+
+Inside an article names are weak evidence: an id is often made from a title, and a part on social impact or related work is
+text like any other. There a heading is never judged by its name, and other blocks are dropped by name only
+if all of the name says so and it is one of CERTAIN_NAMES. Any other listed word makes the block a suspect, which goes if
+its text is mostly links or if no line of it lies in a content region.
 """
 
 from __future__ import annotations
@@ -48,6 +53,14 @@ DROPPED_NAMES = set(
     " popup privacy promo promoted promotion recommended related replies reply respond responses share sharing sidebar"
     " sidebars signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets"
     .split())
+#: Those that mark it inside an article too, if nothing else in the name speaks against it; and words that say nothing.
+CERTAIN_NAMES = set(
+    "ad ads advert adverts advertisement advertising advertorial adsense breadcrumb breadcrumbs comment comments cookie cookies"
+    " disqus gdpr masthead modal nav navbar newsletter outbrain pager pagination paywall popup sidebar sidebars signup"
+    " taboola toolbar topbar widget widgets".split())
+PLAIN_NAMES = set("area banner bar block body box button container content form frame inner inline item items left link links list"
+                  " main outer panel right row section slot top bottom wrap wrapper".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_NAMES = set("article content main body post entry story text page layout".split())
 FRAME_NAMES = set("wrap wrapper wrapped container layout page has with no grid row col".split())
 #: Opening one of these ends an open paragraph.
@@ -80,6 +93,8 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parent, self.dropped, self.kind, self.holds = [-1], [False], [""], [True]
+        #: The outermost suspect that a node lies in, itself included; 0 if none.
+        self.suspect = [0]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
         #: The open line of kept and of dropped text; only a block's edge ends them.
@@ -101,7 +116,7 @@ class PageLines(HTMLParser):
             self._leave_frames()
         above = self._node()
         dropped = self.dropped[above]
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.kind[above] == "own-header":
+        if tag in HEADINGS and self.kind[above] == "own-header":
             dropped = False  # an article's title stands in its own header
         elif not dropped:
             dropped = self._is_dropped(tag, values)
@@ -112,6 +127,7 @@ class PageLines(HTMLParser):
             kind = "own-header"
         elif not dropped and (tag in ("article", "main") or values.get("role") in ("article", "main")):
             kind = "article"
+        self.suspect.append(self.suspect[above] or (len(self.parent) if self._is_suspect(tag, values) else 0))
         self.parent.append(above)
         self.dropped.append(dropped)
         self.kind.append(kind)
@@ -180,11 +196,27 @@ class PageLines(HTMLParser):
             return True
         if "style" in values and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values["style"].lower()):
             return True
+        return any(self._says_dropped(tag, words) for words in self._named(values))
+
+    @staticmethod
+    def _named(values) -> list[set[str]]:
+        """The words of every class and of the id that hold a listed one and do not name an article's frame."""
+        found = []
         for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-            words = {w.lower() for w in _NAME.findall(name)} - ({"header"} if self._in_article() else set())
+            words = {w.lower() for w in _NAME.findall(name)}
             if words & DROPPED_NAMES and not (words & FRAME_NAMES and words & ARTICLE_NAMES):
-                return tag not in ("article", "main") or bool(words & {"comment", "comments", "reply", "related", "promo", "ad"})
-        return False
+                found.append(words)
+        return found
+
+    def _says_dropped(self, tag, words) -> bool:
+        if tag in ("article", "main"):
+            return bool(words & {"comment", "comments", "reply", "related", "promo", "ad"})
+        if self._in_article():
+            return tag not in HEADINGS and bool(words & CERTAIN_NAMES) and words <= DROPPED_NAMES | PLAIN_NAMES
+        return True
+
+    def _is_suspect(self, tag, values) -> bool:
+        return self._in_article() and tag not in HEADINGS and tag not in ("article", "main") and bool(self._named(values))
 
     def _add(self, data):
         node = self._node()
@@ -250,10 +282,23 @@ def main_text(html: str | None) -> str:
             scope[where[0]:where[-1] + 1] = True
         own = _inside(page.parent, _container(page, lines, core))
         scope |= np.array([own[line.node] for line in lines])
+    cleared = _cleared(page, lines, texts, content)
     return "\n\n".join(
         t for line, t, good, within in zip(lines, texts, content, scope)
+        if page.suspect[line.node] in cleared
         # outside the regions and a complete article, a line of links is a menu
-        if within and not line.dropped and (good or nearest[line.node] in complete or line.linked <= 0.5 * len(t)))
+        and within and not line.dropped and (good or nearest[line.node] in complete or line.linked <= 0.5 * len(t)))
+
+
+def _cleared(page: PageLines, lines: list[Line], texts: list[str], content: np.ndarray) -> set[int]:
+    """0 and the suspects that are text: not mostly links, and some line of theirs in a content region."""
+    size, linked, inside = {}, {}, set()
+    for line, text, good in zip(lines, texts, content):
+        at = page.suspect[line.node]
+        size[at], linked[at] = size.get(at, 0) + len(text), linked.get(at, 0) + line.linked
+        if good:
+            inside.add(at)
+    return {0} | {at for at in inside if linked[at] <= 0.5 * size[at]}
 
 
 def _container(page: PageLines, lines: list[Line], core: np.ndarray) -> int:

@@ -68,6 +68,26 @@ def test_regions_stay_whole_without_article_element(name):
     assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
 
 
+NAMED_PARTS = {
+    "a heading": (f"<h2 id='related-work'>Related work</h2><p>{BODY}</p>", ["Related work", BODY]),
+    "a section": (f"<section id='discussion'><h2>Discussion</h2><p>{BODY}</p><p>So it goes.</p></section>", ["Discussion", BODY, "So it goes."]),
+    "a paragraph": ("<p class='reply'>He gave a reply that nobody had expected of him, and left the room.</p>",
+                    ["He gave a reply that nobody had expected of him, and left the room."]),
+    "a div": (f"<div id='social-impact'><p>{BODY}</p></div>", [BODY]),
+    "two words": (f"<div id='cookie-recipes'><p>{BODY}</p></div>", [BODY]),
+    "an advert": (f"<div class='ad-box'><p>{BODY}</p></div>", []),
+    "comments": (f"<section id='comments'><div class='comment'><p>{BODY}</p></div></section>", []),
+    "links": ("<div class='share-links'><a>Share this story with all your friends</a> <a>Send it by mail</a></div>", []),
+}
+
+
+@pytest.mark.parametrize("name", NAMED_PARTS)
+def test_names_inside_an_article(name):
+    part, blocks = NAMED_PARTS[name]
+    page = f"{MENU}<article><h1>Title</h1><p>{BODY}</p>{part}<p>{BODY}</p></article>{MENU}"
+    assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in ["Title", BODY, *blocks, BODY])
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     page, blocks = CASES[name]

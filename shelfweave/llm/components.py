@@ -22,13 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) of all nodes in ``links`` (columns a, b).
 
     Self-links and repeated links are harmless; nodes without a link to another are not listed.
     Each round costs a few shuffles of the links, is stored in the shared folder, and a node
-    with very many links is only ever combined by ``min``. Few rounds suffice, since every round
-    shortens the paths of all components at once.
+    with very many links is only ever combined by ``min``. Rounds go on until nothing changes; few suffice, since every
+    round shortens the paths of all components at once.
     """
     spark = links.sparkSession
     a, b = links.columns
@@ -36,10 +36,9 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges = store_table(edges, fresh_path(spark, "links"))
     state = None
-    for _ in range(max_rounds):
+    while True:
         edges = store_table(_small_star(_large_star(edges)), fresh_path(spark, "links"))
         last, state = state, edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.toDF("node", "root")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -182,7 +182,11 @@ def _extended(docs: DataFrame, candidates: DataFrame, distinct: DataFrame) -> Da
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   **options) -> DataFrame:
-    """``documents`` without the contaminated rows; all columns stay as they are."""
+    """``documents`` without the contaminated rows; all columns stay as they are.
+
+    NULL and empty texts stay; rows that repeat id and text share a verdict; a document exactly at the limit goes; an empty
+    table, or an empty benchmark, loses nothing.
+    """
     verdict = find_contamination(documents, benchmark, doc_id, text, **options)
     dirty = verdict.filter("contaminated").select("key").distinct()
     keyed = packed(documents, key=row_key(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))

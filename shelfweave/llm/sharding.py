@@ -106,7 +106,22 @@ def _offsets(counts: DataFrame) -> DataFrame:
         ranges, "range").select("base", "part", (F.col("before") + F.col("inside")).alias("offset"))
 
 
+def flattened(sharded: DataFrame, names: tuple[str, str, str] = ("size", "shard", "slot")) -> DataFrame:
+    """The input's columns followed by size, shard and slot; a name that the input has already gets underscores before it."""
+    taken, added = {c.lower() for c in sharded.schema["row"].dataType.names}, []
+    for column, name in zip(("size", "shard", "slot"), names):
+        while name.lower() in taken:
+            name = f"_{name}"
+        added.append(F.col(column).alias(name))
+    return sharded.select("row.*", *added)
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows as one folder per shard, each in slot order."""
-    flat = sharded.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    flat.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    """Write the rows as one folder per shard (``_shard=0`` and so on), each in slot order (``_slot``).
+
+    Clashing names as in ``flattened``. NULLs, empty texts and repeated rows are written as they are; the files of a shard are
+    in slot order by their names; an empty table writes no folder.
+    """
+    flat = flattened(sharded, ("_size", "_shard", "_slot"))
+    shard, slot = flat.columns[-2:]
+    flat.drop(flat.columns[-3]).repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -71,6 +71,22 @@ def test_run_leaves_the_same_documents(spark, stages):
     assert got == Counter(r.doc_id for r in stages[-1][2].collect())
 
 
+def test_awkward_documents_and_clashing_names(spark, corpus, no_documents, tmp_path):
+    docs = corpus.selectExpr("*", "1 AS size", "'x' AS slot", "2 AS _slot", "3 AS row")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "_size", "_shard", "__slot"]
+    rows = out.collect()
+    ids = Counter(r.doc_id for r in rows)
+    # copies go (1 and 2 are one text, as are 3, 4, 5, 16 and 17), long and NULL texts and rows without an id stay
+    assert {1, 3, 6, 7, 8, 14, None} <= set(ids) and not {2, 4, 5, 16, 17} & set(ids)
+    assert all(r.key == "clash" and r.slot == "x" for r in rows)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_entry_works_without_this_part():
     code = """
 import sys

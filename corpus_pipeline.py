@@ -17,30 +17,39 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold; the model learns from the labels that are not held out."""
+    """Documents that score below the toxicity threshold; the model learns from the labels that are not held out.
+
+    NULL and empty texts stay; rows that repeat id and text fare alike; a score at the threshold goes.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.remove_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
+    """The document with the smallest id of every group of near-duplicates.
+
+    NULL and empty texts are one group; of rows that repeat id and text one stays; a row without an id stays only if none of
+    its group has one.
+    """
     return simhash.deduplicate(docs, shingle=3, distance=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark passages."""
+    """Documents of which less than a twentieth of the words lies in benchmark passages; NULL and empty texts stay."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, those of rarer languages repeated until languages weigh their share to the power of 0.7."""
+    """All documents, those of rarer languages repeated until languages weigh their share to the power of 0.7.
+
+    Documents without a language, or without words, stay once at least; rows that repeat id and text are repeated alike.
+    """
     return mixing.resample(docs, "lang", temper=0.7, min_rate=1.0, grow_only=True)
 
 
 def write_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its place in 40 shuffled shards."""
-    placed = sharding.shard(docs, shards=40)
-    return placed.select("row.*", "size", "shard", "slot")
+    """Every row with its place in 40 shuffled shards: ``size``, ``shard``, ``slot``, underscored where the name is taken."""
+    return sharding.flattened(sharding.shard(docs, shards=40))
 
 
 STAGES = [
@@ -53,7 +62,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage needed in between is removed when it is done."""
+    """All stages over the documents of ``sf_dir``; what a stage needed in between is removed when it is done.
+
+    Columns of ``documents`` beyond the id, text and language pass through, whatever their names; the stages say what
+    becomes of NULLs, empty texts, ties and repeated rows. No documents give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     paths = [fresh_path(spark, name) for name, _ in STAGES]
     for (_, stage), path in zip(STAGES, paths):

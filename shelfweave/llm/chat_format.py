@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 TURN, TEXT, END, NO_ROLE = "<|turn|>", "<|text|>", "<|end|>", "<|none|>"
 LEARNED_ROLE = "assistant"
+#: Bytes of turns assembled together, or of one conversation, and bytes whose scatter indices are held at once.
+TOGETHER, SCATTERED = 16 << 20, 1 << 20
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.DOTALL)
 
 
@@ -47,6 +49,21 @@ def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), offsets
 
 
+def _scatter(out: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Byte b of a column's segment i goes to starts[i] + (b - offsets[i]); indices are held for SCATTERED bytes at a time."""
+    at = 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SCATTERED, side="right")) - 1)
+        used = data[offsets[at]:offsets[to]]
+        if to == at + 1:  # a long segment needs no indices
+            out[starts[at]:starts[at] + lengths[at]] = used
+        else:
+            target = np.repeat(starts[at:to] - (offsets[at:to] - offsets[at]), lengths[at:to])
+            target += np.arange(len(used))
+            out[target] = used
+        at = to
+
+
 def assemble(role: pa.Array, text: pa.Array, conversation: np.ndarray, total: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """One string per conversation, and where each turn's text lies in it (start, end in bytes).
 
@@ -61,10 +78,7 @@ def assemble(role: pa.Array, text: pa.Array, conversation: np.ndarray, total: in
     starts = ends - lengths
     out = np.empty(int(ends[-1, -1]) if len(ends) else 0, np.uint8)
     for j, (data, offsets) in enumerate(parts):
-        # byte b of the column's segment i goes to starts[i] + (b - offsets[i])
-        used = data[offsets[0]:offsets[-1]]
-        target = np.repeat(starts[:, j] - (offsets[:-1] - offsets[0]), lengths[:, j])
-        out[target + np.arange(len(used))] = used
+        _scatter(out, data, offsets, starts[:, j], lengths[:, j])
     per_conversation = np.bincount(conversation, lengths.sum(1), total).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(per_conversation)))
     formatted = pa.Array.from_buffers(pa.large_string(), total, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
@@ -72,13 +86,17 @@ def assemble(role: pa.Array, text: pa.Array, conversation: np.ndarray, total: in
     return formatted, starts[:, 1] - base, ends[:, 1] - base
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 28) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes, or of one row."""
+def _bounded(batches: Iterator[pa.RecordBatch], most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes, or of one row; halves of halves, so long rows do not meet by chance."""
     for batch in batches:
-        parts = -(-batch.nbytes // most)
-        step = max(1, batch.num_rows // max(1, parts))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.nbytes <= most or part.num_rows <= 1:
+                yield part
+            else:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +126,8 @@ def format_chats(
     no conversation: each is formatted alone, with a NULL id. An empty table gives no rows; other columns are ignored.
 
     A conversation becomes one string, so its turns meet in one task and must fit there; that is
-    the result's own size, whatever the number of conversations.
+    the result's own size, whatever the number of conversations. Beside it and its turns, memory holds indices for
+    SCATTERED bytes.
     """
     id_type = turns.schema[conv_id].dataType.simpleString()
     row = turns.select(F.col(conv_id).alias("conv_id"), F.struct(

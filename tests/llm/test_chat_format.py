@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
 
-from shelfweave.llm.chat_format import assemble, digest, format_chats, parse, read_back, unescape
+from shelfweave.llm.chat_format import _bounded, assemble, digest, format_chats, parse, read_back, unescape
 
 TEXTS = st.text(alphabet=st.sampled_from(list("<>[]\\|/ab\né turnexd")), max_size=30)
 
@@ -42,5 +43,28 @@ def test_conversations(spark):
     assert format_chats(turns.limit(0)).count() == 0
 
 
+def test_memory_follows_the_text_not_its_indices():
+    texts = pa.array(["some words <b> " * 2000] * 1000 + ["y" * (4 << 20)], pa.large_string())  # 34 MB, with a long turn
+    roles = pa.array(["user", "assistant"] * 500 + ["user"], pa.large_string())
+    tracemalloc.start()
+    formatted, _, _ = assemble(roles, texts, np.zeros(1001, np.int64), 1)
+    peak = tracemalloc.get_traced_memory()[1]  # what numpy holds: the output, and indices for a slice of it
+    tracemalloc.stop()
+    size = len(formatted[0].as_buffer())
+    assert size > 34_000_000 and peak < size + 60_000_000
+    assert [t for _, t in parse(formatted[0].as_py())] == texts.to_pylist()
+
+
+def test_batches_are_cut_to_size():
+    long = [("user", "x" * 100_000)] * 20
+    rows = [[("user", "a")]] * 50 + [long] + [[("user", "b")]] * 50 + [long]
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(rows))), pa.array([[{"role": r, "text": t} for r, t in x] for x in rows], kind)], ["conv_id", "turns"])
+    parts = list(_bounded(iter([batch]), 1 << 20))
+    assert sum(p.num_rows for p in parts) == 102 and all(p.nbytes <= 1 << 20 or p.num_rows == 1 for p in parts)
+    assert pa.Table.from_batches(parts).column("conv_id").to_pylist() == list(range(102))
+
+
 def test_mask_covers_learned_texts_only():
     assert digest("<|turn|>user<|text|>q<|end|>", []) ["loss_chars"] == 0

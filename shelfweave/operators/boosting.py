@@ -24,9 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfweave.operators.ml_stages import StageRecord, StageRecordReader
 from shelfweave.session import fresh_path, shared_root, store_table
 from shelfweave.sources.portable_forest import FOREST_SCHEMA
 
@@ -134,7 +139,7 @@ def _drawn(block: int, n: int, share: float, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, block]).random(n) < share
 
 
-class Model:
+class Growth:
     """What a task needs: the trees not yet applied to the residuals, with their leaf values, and the growing one."""
 
     def __init__(self, p: BoostingParams):
@@ -146,9 +151,9 @@ class Model:
         return left
 
 
-def histograms(blocks: RDD, model: Model, tree: Tree, nodes: list[int], slots: list[int], depth: int, seed: int) -> np.ndarray:
+def histograms(blocks: RDD, growth: Growth, tree: Tree, nodes: list[int], slots: list[int], depth: int, seed: int) -> np.ndarray:
     """Residual sums and counts: 2 x nodes x slots x bins."""
-    p, width = model.p, len(nodes) * model.p.max_bins
+    p, width = growth.p, len(nodes) * growth.p.max_bins
     place = np.full(len(tree.slot), -1, np.int64)
     place[nodes] = np.arange(len(nodes))
 
@@ -162,7 +167,7 @@ def histograms(blocks: RDD, model: Model, tree: Tree, nodes: list[int], slots: l
             if not used.all():
                 at = np.flatnonzero(used)
                 node, left, bins = node.take(at), left.take(at), bins.take(at, 1)
-            left, node = model.residuals(bins, left), node * p.max_bins
+            left, node = growth.residuals(bins, left), node * p.max_bins
             for j, s in enumerate(slots):
                 cell = node + bins[s]
                 total[0, j] += np.bincount(cell, left, width)
@@ -189,13 +194,13 @@ def best_split(sums: np.ndarray, counts: np.ndarray, l2: float, min_rows: int) -
     return (float(gain[slot, at]), slot, at) if gain[slot, at] > 1e-9 else (0.0, 0, 0)
 
 
-def grow(blocks: RDD, model: Model, n_slots: int, seed: int) -> Tree:
+def grow(blocks: RDD, growth: Growth, n_slots: int, seed: int) -> Tree:
     """One tree on the residuals, cut to ``max_leaves`` by falling gain."""
-    p = model.p
+    p = growth.p
     rng = np.random.default_rng(seed)
     slots = sorted(rng.permutation(n_slots)[:max(1, round(n_slots * p.slots_share))].tolist())
     tree = Tree()
-    held = {0: histograms(blocks, model, tree, [0], slots, 0, seed)[:, 0]}
+    held = {0: histograms(blocks, growth, tree, [0], slots, 0, seed)[:, 0]}
     tree.total[0], tree.rows[0] = float(held[0][0][0].sum()), int(held[0][1][0].sum())
     level = [0]
     for depth in range(1, p.max_depth + 1):
@@ -211,7 +216,7 @@ def grow(blocks: RDD, model: Model, n_slots: int, seed: int) -> Tree:
                 pairs.append((node, *((left, right) if tree.rows[left] <= tree.rows[right] else (right, left))))
         if not pairs or depth == p.max_depth:
             break
-        small = histograms(blocks, model, tree, [s for _, s, _ in pairs], slots, depth, seed)
+        small = histograms(blocks, growth, tree, [s for _, s, _ in pairs], slots, depth, seed)
         level = []
         for i, (node, smaller, larger) in enumerate(pairs):
             held[smaller], held[larger] = small[:, i], held.pop(node) - small[:, i]
@@ -252,24 +257,24 @@ def boost(rows: DataFrame, params: BoostingParams = BoostingParams(), slots: str
     if not told["n"]:
         return spark.createDataFrame(forest, FOREST_SCHEMA)
     edges = bin_edges(known, slots, told["n"], p.max_bins, p.seed)
-    blocks, model = to_blocks(known, slots, label, edges, start).persist(StorageLevel.MEMORY_AND_DISK), Model(p)
+    blocks, growth = to_blocks(known, slots, label, edges, start).persist(StorageLevel.MEMORY_AND_DISK), Growth(p)
     for number in range(1, p.rounds + 1):
-        tree = grow(blocks, model, told["slots"], p.seed + number)
+        tree = grow(blocks, growth, told["slots"], p.seed + number)
         values = np.array([total / (n + p.l2) if n + p.l2 else 0.0 for total, n in zip(tree.total, tree.rows)])
         forest.append((
             number, p.rate, p.max_depth, tree.slot,
             [float(edges[s][b]) if left != i else 0.0 for i, (s, b, left) in enumerate(zip(tree.slot, tree.bin, tree.left))],
             tree.left, tree.right, values.tolist(), [float(n) for n in tree.rows]))
-        model.pending.append((tree, p.rate * values))
+        growth.pending.append((tree, p.rate * values))
         if number % HELD_EVERY == 0 and number < p.rounds:
-            blocks, model = _held(blocks, model, number % STORED_EVERY == 0), Model(p)
+            blocks, growth = _held(blocks, growth, number % STORED_EVERY == 0), Growth(p)
     blocks.unpersist()
     return spark.createDataFrame(forest, FOREST_SCHEMA)
 
 
-def _held(blocks: RDD, model: Model, stored: bool) -> RDD:
+def _held(blocks: RDD, growth: Growth, stored: bool) -> RDD:
     """The blocks with the pending trees applied, held before the ones before are let go."""
-    after = blocks.map(lambda b: (b[0], b[1], model.residuals(b[1], b[2]))).persist(StorageLevel.MEMORY_AND_DISK)
+    after = blocks.map(lambda b: (b[0], b[1], growth.residuals(b[1], b[2]))).persist(StorageLevel.MEMORY_AND_DISK)
     if stored:
         after.checkpoint()
     after.count()
@@ -277,23 +282,67 @@ def _held(blocks: RDD, model: Model, stored: bool) -> RDD:
     return after
 
 
+def forest_values(trees: list, slots: np.ndarray) -> np.ndarray:
+    """Raw forecasts of a matrix of slots, walked by whole columns."""
+    total, row = np.zeros(len(slots)), np.arange(len(slots))
+    for t in trees:
+        slot, split, left, right, value = (np.asarray(t[c]) for c in ("slot", "split", "left", "right", "value"))
+        at = np.zeros(len(slots), int)
+        for _ in range(t["depth"]):
+            at = np.where(slots[row, slot[at]] <= split[at], left[at], right[at])
+        total += t["weight"] * value[at]
+    return total
+
+
+def forecast_column(trees: list, slots: Column) -> Column:
+    """The forest's raw forecast of an array column, by Arrow batches; for forests too large to walk row by row."""
+    @F.pandas_udf("double")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series(forest_values(trees, np.stack([np.asarray(v, float) for v in values])) if len(values) else [], dtype="float64")
+    return of(slots)
+
+
 def score_forest(rows: DataFrame, forest: DataFrame, slots: str = "slots", name: str = "forecast") -> DataFrame:
-    """``rows`` with the forest's raw forecast, walked by whole batches; for forests too large to walk row by row."""
-    trees = forest.orderBy("tree").collect()  # the model
+    """``rows`` with the raw forecast of a forest table, in column ``name``; the array ``slots`` must hold no NULL."""
+    trees = [r.asDict() for r in forest.orderBy("tree").collect()]  # the model
+    return rows.withColumn(name, forecast_column(trees, F.col(slots)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = [(t["weight"], t["depth"], *(np.array(t[c]) for c in ("slot", "split", "left", "right", "value"))) for t in trees]
-        for frame in frames:
-            total = np.zeros(len(frame))
-            if len(frame):
-                matrix = np.stack([np.asarray(v, float) for v in frame[slots]])
-                row = np.arange(len(frame))
-                for weight, depth, slot, split, left, right, value in arrays:
-                    at = np.zeros(len(frame), int)
-                    for _ in range(depth):
-                        at = np.where(matrix[row, slot[at]] <= split[at], left[at], right[at])
-                    total += weight * value[at]
-            yield frame.assign(**{name: total})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != name)
-    return rows.drop(name).mapInPandas(run, f"{fields}, `{name}` DOUBLE")
+
+class HistBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    """``boost`` as a Spark ML stage."""
+
+    def __init__(self, labelCol: str = "label", **params):
+        super().__init__()
+        self.boosting = BoostingParams(**params)
+        self._set(labelCol=labelCol)
+
+    def _fit(self, dataset: DataFrame) -> HistBoostingModel:
+        rows = dataset.select(
+            vector_to_array(self.getFeaturesCol()).alias("slots"), F.col(self.getLabelCol()).cast("double").alias("label"))
+        trees = [r.asDict() for r in boost(rows, self.boosting, label="label").orderBy("tree").collect()]
+        return HistBoostingModel(trees)._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
+
+
+class HistBoostingModel(Model, HasFeaturesCol, HasPredictionCol, MLReadable, MLWritable):
+    def __init__(self, trees: list[dict] | None = None):
+        super().__init__()
+        self.trees = trees or []
+
+    def forest(self, spark: SparkSession) -> DataFrame:
+        """The model by FOREST_SCHEMA, for walking, export and attribution."""
+        names = FOREST_SCHEMA.split(", ")
+        return spark.createDataFrame([tuple(t[n.split(" ")[0]] for n in names) for t in self.trees], FOREST_SCHEMA)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getPredictionCol(), forecast_column(self.trees, vector_to_array(self.getFeaturesCol())))
+
+    def write(self) -> MLWriter:
+        return StageRecord(self, self.trees)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return StageRecordReader(cls)
+
+    @classmethod
+    def _restore(cls, state: list, path: str) -> HistBoostingModel:
+        return cls(state)

@@ -33,7 +33,7 @@ CATEGORIES = {"month": list(range(1, 13)), "dayofweek": list(range(7))}
 FLAGS = ["is_weekend", "is_month_start", "is_month_end"]
 
 
-class _Record(MLWriter):
+class StageRecord(MLWriter):
     """Writes a stage's params and a small dict next to whatever tables ``also`` copies."""
 
     def __init__(self, stage, extra, also=None):
@@ -48,7 +48,7 @@ class _Record(MLWriter):
             self.also(self.sparkSession, path)
 
 
-class _RecordReader(MLReader):
+class StageRecordReader(MLReader):
     def __init__(self, cls):
         super().__init__()
         self.cls = cls
@@ -90,11 +90,11 @@ class DemandFeaturesModel(Model, MLReadable, MLWritable):
 
     def write(self) -> MLWriter:
         state = {"global_mean": self.learned.global_mean, "rows": self.learned.rows}
-        return _Record(self, state, lambda spark, path: self.learned.copy_to(spark, f"{path}/tables"))
+        return StageRecord(self, state, lambda spark, path: self.learned.copy_to(spark, f"{path}/tables"))
 
     @classmethod
     def read(cls) -> MLReader:
-        return _RecordReader(cls)
+        return StageRecordReader(cls)
 
     @classmethod
     def _restore(cls, state: dict, path: str) -> DemandFeaturesModel:
@@ -130,11 +130,11 @@ class MedianImputerModel(Model, MLReadable, MLWritable):
         })
 
     def write(self) -> MLWriter:
-        return _Record(self, self.values)
+        return StageRecord(self, self.values)
 
     @classmethod
     def read(cls) -> MLReader:
-        return _RecordReader(cls)
+        return StageRecordReader(cls)
 
     @classmethod
     def _restore(cls, state: dict, path: str) -> MedianImputerModel:

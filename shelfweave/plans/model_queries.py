@@ -8,8 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfweave.functions.calendar import with_calendar
 from shelfweave.functions.metrics import rounded
 from shelfweave.operators import accuracy, reports, semantic
+from shelfweave.operators.boosting import BoostingParams, boost
 from shelfweave.operators.grid import day_range
 from shelfweave.operators.splits import test_rows, train_rows
 from shelfweave.plans import scoring, training
@@ -34,6 +36,17 @@ SMALL_SEARCH = training.Budget(
     draws=2, folds=2, parallelism=4,
 )
 
+# Three boosted candidates, eight draws and two folds as in the full search; only the rounds are few.
+ROUNDS = [2, 3]
+TUNED = training.Budget(
+    grids={
+        "gbt_squared": {**training.GRIDS["gbt_squared"], "maxIter": ROUNDS, "maxDepth": [3, 4, 5], "maxBins": [64]},
+        "leaf_boosting": {**training.HIST_GRIDS["leaf_boosting"], "rounds": ROUNDS, "max_depth": [3, 5], "max_bins": [64]},
+        "hist_boosting": {**training.HIST_GRIDS["hist_boosting"], "rounds": ROUNDS, "max_depth": [4], "max_bins": [64]},
+    },
+    draws=training.N_DRAWS, folds=training.N_FOLDS, parallelism=4,
+)
+
 _TRAINED: dict[tuple[str, str, str], training.Trained] = {}
 
 
@@ -214,6 +227,56 @@ def random_search(spark, sf_dir):
     return rounded(training.search(train, SMALL_SEARCH))
 
 
+TUNED_SQL = """SELECT unnest(['gbt_squared', 'hist_boosting', 'leaf_boosting']) AS model, CAST(16 AS BIGINT) AS n_fits,
+  true AS cv_is_best, true AS champion_is_best, CAST(0 AS BIGINT) AS n_missing"""
+
+
+@query("tuned_training", TUNED_SQL)
+def tuned_training(spark, sf_dir):
+    """The whole search over all training rows: scored draws, best point refitted, champion.
+
+    Per candidate the scored fits, whether its ``cv_smape`` is the least mean over the folds of any draw, whether the
+    champion has the least validation SMAPE, and its empty metrics.
+    """
+    panel = load_panel(spark, sf_dir)
+    done = training.tune(panel, TRAIN_END, VAL_END, TUNED)
+    means = done.scores.groupBy("model", "params").agg(F.avg("smape").alias("mean"), F.count("smape").alias("n"))
+    best = means.groupBy("model").agg(F.min("mean").alias("least"), F.sum("n").alias("n_fits"))
+    table = done.comparison.join(best, "model")
+    least = done.comparison.agg(F.min("val_smape")).scalar()
+    winner = done.comparison.filter(F.col("model") == done.champion).select("val_smape").scalar()
+    return table.select(
+        "model", "n_fits", (F.abs(F.col("cv_smape") - F.col("least")) < 1e-9).alias("cv_is_best"),
+        (winner == least).alias("champion_is_best"),
+        sum((F.col(c).isNull().cast("long") for c in done.comparison.columns), F.lit(0).cast("long")).alias("n_missing"))
+
+
+SPLIT_SQL = f"""WITH {PANEL_SQL},
+t AS (SELECT *, isodow(date) - 1 AS dow, month(date) AS month FROM panel WHERE date <= DATE '{TRAIN_END}'),
+l AS (SELECT 0 AS slot, store AS v, sales FROM t UNION ALL SELECT 1, item, sales FROM t
+  UNION ALL SELECT 2, dow, sales FROM t UNION ALL SELECT 3, month, sales FROM t),
+b AS (SELECT slot, v, COUNT(*) AS n, SUM(sales) AS s FROM l GROUP BY 1, 2),
+c AS (SELECT slot, v, SUM(n) OVER x AS ln, SUM(s) OVER x AS ls, SUM(n) OVER (PARTITION BY slot) AS n,
+    SUM(s) OVER (PARTITION BY slot) AS s FROM b WINDOW x AS (PARTITION BY slot ORDER BY v)),
+g AS (SELECT slot, v, ln, n, s / n AS mean, ls - ln * (s / n) AS left_sum FROM c WHERE n > ln)
+SELECT CAST(slot AS INTEGER) AS slot, CAST(v AS DOUBLE) AS split, CAST(ln AS DOUBLE) AS left_rows, CAST(n - ln AS DOUBLE) AS right_rows,
+  ROUND(mean, 6) AS start, ROUND(left_sum / (ln + 2), 6) AS left_value, ROUND(-left_sum / (n - ln + 2), 6) AS right_value
+FROM g ORDER BY left_sum * left_sum / (ln + 2) + left_sum * left_sum / (n - ln + 2) DESC, slot, v LIMIT 1"""
+
+
+@query("boosted_split", SPLIT_SQL)
+def boosted_split(spark, sf_dir):
+    """The first split that boosting finds among all of four slots over the training rows, with an L2 term of 2."""
+    rows = with_calendar(train_rows(load_panel(spark, sf_dir), TRAIN_END)).select("sales", F.array(*[
+        F.col(c).cast("double") for c in ("store", "item", "dayofweek", "month")]).alias("slots"))
+    forest = boost(rows, BoostingParams(rounds=1, rate=1.0, max_depth=1, l2=2.0, min_rows=1))
+    first, start = forest.filter("tree = 1"), forest.filter("tree = 0").select(F.col("value")[0]).scalar()
+    return rounded(first.select(
+        F.col("slot")[0].alias("slot"), F.col("split")[0].alias("split"), F.col("cover")[1].alias("left_rows"),
+        F.col("cover")[2].alias("right_rows"), start.alias("start"), F.col("value")[1].alias("left_value"),
+        F.col("value")[2].alias("right_value")))
+
+
 @query("score_batch")
 def score_batch(spark, sf_dir):
     """One row per request of a CSV batch: its forecast, or why it was rejected; unknown ids go through the fallback."""

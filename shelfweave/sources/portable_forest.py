@@ -24,11 +24,13 @@ FOREST_SCHEMA = (
 
 
 def forest_table(spark: SparkSession, ensemble) -> DataFrame:
-    """One row per tree of a fitted Spark ML ensemble, by FOREST_SCHEMA.
+    """One row per tree of a fitted ensemble, by FOREST_SCHEMA: of Spark ML, or with a ``forest`` of its own.
 
     A slot with two categories splits at one half; its children change places if category 1 goes left. A slot with more
     categories raises when the table is read, as its splits are sets and not values.
     """
+    if hasattr(ensemble, "forest"):
+        return ensemble.forest(spark)
     path = fresh_path(spark, "ensemble")
     ensemble.write().overwrite().save(path)
     boosted = isinstance(ensemble, GBTRegressionModel)

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from shelfweave.operators import attribution, boosting
-from shelfweave.operators.boosting import BoostingParams
+from shelfweave.operators.boosting import BoostingParams, HistBoostingModel
+from shelfweave.plans import training
 from shelfweave.sources import portable_forest
 
 SLOTS = 4
@@ -100,6 +102,20 @@ def test_few_bins_and_many_rounds(spark):
     assert errors[0] > 2 * errors[1] > 2 * errors[2] > 0
 
 
+def test_as_a_stage_it_is_saved_exported_and_searched(spark, tmp_path):
+    x, y = data(400)
+    rows = framed(spark, x, y).select(array_to_vector("slots").alias("features"), "sales", "slots")
+    for name, grid in training.HIST_GRIDS.items():
+        point = {**training.draw_params(grid, 1)[0], "rounds": 2, "max_bins": 32}
+        model = training.regressor(name, **point).fit(rows)
+        model.write().overwrite().save(str(tmp_path / name))
+        back = HistBoostingModel.load(str(tmp_path / name))
+        scored = back.transform(model.transform(rows), {back.predictionCol: "again"})
+        walked = portable_forest.with_walk(scored, F.col("slots"), portable_forest.forest_table(spark, back), "walked")
+        gap = F.greatest(F.abs(F.col("again") - F.col("prediction")), F.abs(F.col("walked") - F.col("prediction")))
+        assert walked.agg(F.max(gap)).first()[0] < 1e-9 and len(model.trees) == 3
+
+
 def test_awkward_rows(spark):
     rows = spark.createDataFrame(
         [([1.0, 2.0], 4.0), ([1.0, 2.0], 4.0), (None, 9.0), ([3.0, 2.0], None), ([1.0, 2.0], 10.0)], "slots ARRAY<DOUBLE>, sales DOUBLE")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections import Counter
 
@@ -39,6 +40,8 @@ from shelfweave.llm.text import held_out
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 #: Positive documents that hold a learned feature, at least: one document alone cannot show what its words have in common.
 MIN_SUPPORT = 2
+#: Bits that remember where words stood, as a power of two: 2 MB.
+SEEN_BITS = 24
 #: Learned features that chance alone would give, about.
 FALSE_FEATURES = 4.0
 #: Log-odds of a sentence without evidence.
@@ -152,6 +155,32 @@ def _centres(chosen: list[str], held: Counter, rare: Counter) -> np.ndarray:
     return np.array([evidence[f] - above(f) for f in chosen])
 
 
+class FreshFeatures:
+    """The features of texts, each counted once however many copies of a text there are.
+
+    A word counts where it stands between two words as in no text before, and a text of which most words do not is a copy and
+    holds nothing: copies are one witness, not many. Places are remembered as bits, so memory is fixed.
+    """
+
+    def __init__(self):
+        self.seen = bytearray(1 << (SEEN_BITS - 3))
+
+    def of(self, text: str | None) -> set[str] | None:
+        """The features of fresh words; None for a copy."""
+        words = _WORD.findall((text or "").lower())
+        fresh, places = set(), []
+        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+            at = zlib.crc32(f"{before} {word} {after}".encode()) >> (32 - SEEN_BITS)
+            if not self.seen[at >> 3] >> (at & 7) & 1:
+                fresh.add(word)
+                places.append(at)
+        if words and 2 * len(places) < len(words):
+            return None
+        for at in places:
+            self.seen[at >> 3] |= 1 << (at & 7)
+        return {f for word in fresh for f in word_features(word)}
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> ToxicityModel:
     """The noisy-or model of labelled texts; ``weights`` count a text more or less often.
 
@@ -162,15 +191,19 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(float((y.sum() + 0.5) / (len(y) + 1)), {})
     # a pass over positive texts, one over negative ones, one for the cells: only counts and cells are held
-    held = Counter()
+    held, rare, n_pos, n_neg = Counter(), Counter(), 0, 0
+    witnesses = FreshFeatures()
     for text in (t for t, label in zip(texts, y) if label):
-        held.update(text_features(text))
-    rare = Counter()
+        if (features := witnesses.of(text)) is not None:
+            held.update(features)
+            n_pos += 1
+    witnesses = FreshFeatures()
     for text in (t for t, label in zip(texts, y) if not label):
-        rare.update(f for f in text_features(text) if f in held)
+        if (features := witnesses.of(text)) is not None:
+            rare.update(f for f in features if f in held)
+            n_neg += 1
     names = sorted(held)
-    at = leaning(np.array([held[f] for f in names], np.int64), np.array([rare[f] for f in names], np.int64),
-                 int(y.sum()), int(len(y) - y.sum()))
+    at = leaning(np.array([held[f] for f in names], np.int64), np.array([rare[f] for f in names], np.int64), n_pos, n_neg)
     chosen = [f for f, good in zip(names, at) if good and held[f] >= MIN_SUPPORT]
     index = {f: i for i, f in enumerate(chosen)}
     column, row, doc = array("i"), array("i"), array("i")

@@ -52,6 +52,17 @@ def test_few_documents_still_teach():
     assert model.score("you scum") > 0.7 > 0.2 > model.score("a d g fine day")
 
 
+def test_copies_are_one_witness():
+    own = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor. "
+    # ten copies of one toxic text, each with a word of its own, beside varied ones
+    toxic = [f"{own} {c}x you scum" for c in "abcdefghij"] + [f"{c}y scum {c}z" for c in "klmnop"]
+    clean = [f"{a}u {b}v {a}{b}w" for a in "abcdefgh" for b in "ijklmn"]
+    model = toxicity.fit(toxic + clean, [1] * 16 + [0] * 48)
+    assert model.score("you scum there") > 0.7 > 0.2 > model.score(own)
+    fresh = toxicity.FreshFeatures()
+    assert fresh.of(own) and fresh.of(own) is None and fresh.of(None) == set() and "=scum" in fresh.of("a scum b")
+
+
 def test_the_query_equals_plain_python(spark):
     """Sample, fit and score by hand: all labels fit in the sample, so order alone could differ."""
     documents = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall())

@@ -21,8 +21,10 @@ def as_date(df: DataFrame, name: str = "date") -> Column:
 
 def whole_number(value: Column) -> Column:
     """The value as an int where it is a whole number in any notation ("2", "2.0", 2.0), else NULL."""
-    exact = F.trim(value.cast("string")).try_cast("decimal(38,9)")
-    return F.when(exact == F.floor(exact), exact.try_cast("int"))
+    text = value.cast("string")
+    exact = F.trim(text).try_cast("decimal(38,9)")
+    # most are plain digits: the longer way is only taken where the short one finds nothing
+    return F.coalesce(text.try_cast("int"), F.when(exact == F.floor(exact), exact.try_cast("int")))
 
 
 def as_id(df: DataFrame, name: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfweave.functions.calendar import as_date, as_id, with_calendar
 from shelfweave.operators.joins import lookup_join
+from shelfweave.operators.splits import key_before
 from shelfweave.schemas import require_columns
 from shelfweave.session import fresh_path
 
@@ -33,13 +34,13 @@ def _mean(total: Column | None = None, n: Column | None = None) -> Column:
     return F.try_divide(total, n)
 
 
-def training_view(train: DataFrame, target: str = "sales") -> DataFrame:
+def training_view(train: DataFrame, target: str = "sales", *kept: str) -> DataFrame:
     """The key parts and the target of the training rows, typed; nothing else is read."""
     date = as_date(train)
     return train.select(
         as_id(train, "store").alias("store"), as_id(train, "item").alias("item"),
         F.month(date).alias("month"), F.weekday(date).alias("dayofweek"),
-        _target(train, target).alias("_y"),
+        _target(train, target).alias("_y"), *kept,
     )
 
 
@@ -61,10 +62,14 @@ def profiles(train: DataFrame, target: str = "sales") -> DataFrame:
     mean is the quotient of its weekday sums. Rows with a NULL key are harmless: a join
     never matches them, and their sums still count towards the global mean.
     """
-    sets = [["store", "item", "dayofweek"], ["item", "month"], ["store", "month"]]
-    cells = training_view(train, target).groupBy("store", "item", "month", "dayofweek").agg(
+    return _profiles_of(training_view(train, target).groupBy("store", "item", "month", "dayofweek").agg(
         F.sum("_y").alias("_total"), F.count("_y").alias("_n")
-    )
+    ))
+
+
+def _profiles_of(cells: DataFrame) -> DataFrame:
+    """``profiles`` from sums and counts; cells of one key may be spread over any number of rows."""
+    sets = [["store", "item", "dayofweek"], ["item", "month"], ["store", "month"]]
     tall = cells.groupingSets(sets, "store", "item", "month", "dayofweek").agg(
         F.grouping("item").alias("_no_item"), F.grouping("store").alias("_no_store"),
         F.sum("_total").alias("total"), F.sum("_n").alias("n"),
@@ -131,9 +136,13 @@ def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
     require_columns(train, ["date", "store", "item"], "training data")
     if target not in train.columns:
         raise ValueError(f"learning demand means requires the target column '{target}'")
-    spark = train.sparkSession
+    return _stored_means(profiles(train, target))
+
+
+def _stored_means(learned: DataFrame) -> LearnedDemand:
+    spark = learned.sparkSession
     path = fresh_path(spark, "learned")
-    _write_profiles(profiles(train, target), path)
+    _write_profiles(learned, path)
     stored = spark.read.schema(f"{PROFILE_SCHEMA}, profile STRING").parquet(path)
     sizes = stored.groupBy("profile").agg(
         F.count(F.lit(1)).alias("rows"), _mean(F.sum("total"), F.sum("n")).alias("mean")
@@ -145,6 +154,61 @@ def learn_demand(train: DataFrame, target: str = "sales") -> LearnedDemand:
     )
 
 
+CELL_SCHEMA = "store INT, item INT, dayofweek INT, _total DOUBLE, _n BIGINT, ym INT"
+
+
+@dataclass(frozen=True)
+class DemandState:
+    """Sums and counts per (series, month, weekday) in a table with a folder per month.
+
+    Both add up, so states merge by appending: a new day appends its cells, and learning up to any key
+    takes whole months from here and reads only the rows of the month that the key cuts. Sums are doubles:
+    whole units stay exact up to 2^53. Rows without a date form a month of their own, which comes first.
+    """
+
+    path: str
+    target: str = "sales"
+
+    def add(self, rows: DataFrame) -> None:
+        """Merge further rows; the same rows twice count twice."""
+        date = as_date(rows)
+        view = training_view(rows.withColumn("_ym", _year_month(date)), self.target, "_ym")
+        cells = view.groupBy("store", "item", "dayofweek", "_ym").agg(
+            F.sum("_y").cast("double").alias("_total"), F.count("_y").alias("_n"))
+        cells.withColumnRenamed("_ym", "ym").hint("rebalance", "ym").write.mode("append").partitionBy("ym").parquet(self.path)
+
+    def learn_before(self, panel: DataFrame, key: tuple) -> LearnedDemand:
+        """The means of all rows whose (date, store, item) sorts before ``key``, as ``learn_demand`` gives them.
+
+        ``panel`` holds the rows that this state was made of; of it only the month of the key is read.
+        """
+        day = F.lit(key[0]).cast("date")
+        stored = panel.sparkSession.read.schema(CELL_SCHEMA).parquet(self.path)
+        rows = panel.filter(key_before(key))
+        if key[0] is None:  # the key cuts the rows without a date, which come first
+            whole, rows = F.lit(False), rows.filter(F.col("date").isNull())
+        else:
+            whole = F.col("ym").isNull() | (F.col("ym") < _year_month(day))
+            rows = rows.filter(F.col("date") >= F.trunc(day, "month"))
+        months = stored.filter(whole).select(
+            "store", "item", (F.col("ym") % 12 + 1).alias("month"), "dayofweek", "_total", "_n")
+        cut = training_view(rows, self.target).groupBy("store", "item", "month", "dayofweek").agg(
+            F.sum("_y").cast("double").alias("_total"), F.count("_y").alias("_n"))
+        return _stored_means(_profiles_of(months.unionByName(cut)))
+
+
+def _year_month(date: Column) -> Column:
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def demand_state(rows: DataFrame, target: str = "sales") -> DemandState:
+    """The state of the rows, from one scan of them."""
+    require_columns(rows, ["date", "store", "item", target], "training data")
+    state = DemandState(fresh_path(rows.sparkSession, "state"), target)
+    state.add(rows)
+    return state
+
+
 def with_learned(
     df: DataFrame, learned: LearnedDemand, columns: list[str] = AGGREGATE_COLUMNS
 ) -> DataFrame:

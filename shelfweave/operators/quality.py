@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfweave.operators.quantiles import exact_quantiles
 from shelfweave.schemas import PANEL_KEYS
+from shelfweave.session import fresh_path, store_table
 
 
 def _distinct(approximate: bool, *columns: str) -> Column:
@@ -68,3 +69,34 @@ def describe_target(panel: DataFrame, target: str = "sales") -> DataFrame:
     return tall.groupBy().pivot("stat", ["count", *order]).agg(F.first("value")).select(
         F.col("count").cast("bigint").alias("count"), *[F.round(c, 2).alias(c) for c in order]
     )
+
+
+def absent_ranges(panel: DataFrame) -> DataFrame:
+    """store, item, first_date, last_date, n_days: each series' runs of days on which it has no row.
+
+    The days are those on which any series has a row, so neighbours in a run need not be neighbours in the
+    year. Repeated keys count once, rows with a missing key part not at all, and a pair of store and item without
+    any row is no series: with unique keys, ``absent_rows`` of the profile is the sum of ``n_days`` plus
+    ``n_dates`` for each such pair. A full series, or an empty panel, gives no row.
+
+    Days become positions in the calendar (one row a day, windowed once). A series gathers the set of its
+    positions, combined map-side and no longer than the calendar, and the gaps are read off that array.
+    """
+    keys = panel.select(*PANEL_KEYS).dropna()
+    days = keys.select("date").distinct()
+    calendar = store_table(
+        days.select("date", F.row_number().over(Window.orderBy("date")).alias("_at")), fresh_path(panel.sparkSession, "calendar"))
+    held = (
+        keys.join(calendar, "date").groupBy("store", "item").agg(F.array_sort(F.collect_set("_at")).alias("_held"))
+        .withColumn("_edges", F.concat(F.array(F.lit(0)), "_held", F.array(calendar.agg(F.max("_at")).scalar() + 1)))
+    )
+    before = F.slice("_edges", F.lit(1), F.size("_edges") - 1)
+    after = F.slice("_edges", F.lit(2), F.size("_edges") - 1)
+    gaps = F.filter(
+        F.zip_with(before, after, lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last"))),
+        lambda g: g["first"] <= g["last"])
+    first = calendar.select(F.col("date").alias("first_date"), F.col("_at").alias("first"))
+    last = calendar.select(F.col("date").alias("last_date"), F.col("_at").alias("last"))
+    ranges = held.select("store", "item", F.explode(gaps).alias("_gap")).select("store", "item", "_gap.first", "_gap.last")
+    return ranges.join(first, "first").join(last, "last").select(
+        "store", "item", "first_date", "last_date", (F.col("last") - F.col("first") + 1).cast("bigint").alias("n_days"))

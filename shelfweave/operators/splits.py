@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from shelfweave.schemas import PANEL_KEYS
 
 SPLITS = ["train", "validation", "test"]
+#: Rows without a date belong to no split; summaries and written splits keep them under this name.
+UNDATED = "undated"
 
 
 def split_label(date: Column, train_end: str, val_end: str) -> Column:
@@ -40,9 +42,15 @@ def test_rows(panel: DataFrame, val_end: str) -> DataFrame:
     return panel.filter(F.col("date") > F.lit(val_end).cast("date"))
 
 
+def with_every_split(panel: DataFrame, train_end: str, val_end: str) -> DataFrame:
+    """``with_split`` in which rows without a date are labelled too, so that the parts add up to the panel."""
+    return with_split(panel, train_end, val_end).fillna(UNDATED, subset=["split"])
+
+
 def split_summary(panel: DataFrame, train_end: str, val_end: str) -> DataFrame:
+    """Rows, date range and mean per split; rows without a date are counted as ``UNDATED``."""
     return (
-        with_split(panel, train_end, val_end).dropna(subset=["split"]).groupBy("split").agg(
+        with_every_split(panel, train_end, val_end).groupBy("split").agg(
             F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"),
             F.max("date").alias("last_date"), F.avg("sales").alias("mean_sales"),
         )

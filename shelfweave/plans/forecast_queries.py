@@ -13,15 +13,16 @@ from shelfweave.operators import accuracy, grid, learned, semantic
 from shelfweave.operators.ml_stages import CATEGORIES, NUMERIC
 from shelfweave.operators.quantiles import exact_quantiles
 from shelfweave.operators.semantic import FilterContext
-from shelfweave.operators.splits import test_rows, train_rows, validation_rows
+from shelfweave.operators.splits import expanding_folds, test_rows, train_rows, validation_rows
 from shelfweave.plans.catalog import (
     LABELS_SQL, PANEL_SQL, PLAN_SQL, REPORT_YEAR, SCORED_SQL, SHORT_TRAIN_END, SMAPE_SQL,
     TRAIN_END, VAL_END, features_sql, learned_sql, query,
 )
-from shelfweave.plans.panel_queries import histogram_sql
-from shelfweave.session import input_state
+from shelfweave.plans.panel_queries import FOLDS_SQL, histogram_sql
+from shelfweave.session import fresh_path, input_state
 from shelfweave.sources import keyed_maps, requests
 from shelfweave.sources.panel import load_panel, load_true_panel
+from shelfweave.streaming import request_log
 from shelfweave.streaming.request_log import running_metrics
 
 MEANS = learned.AGGREGATE_COLUMNS
@@ -68,6 +69,28 @@ for _name, _table in zip(MEANS, ("si", "sid", "im", "sm")):
     _register_mean(_name, _table, learned.MEAN_KEYS[_name])
 
 
+@query("fold_means", f"""WITH {FOLDS_SQL},
+x AS (SELECT CAST(fold AS INTEGER) AS fold, t.*, isodow(date) - 1 AS dow, month(date) AS month FROM train t JOIN folds ON pos < start_pos)
+SELECT fold, 'store_item_dow_mean' AS name, store, item, CAST(dow AS INTEGER) AS position, ROUND(AVG(sales), 6) AS mean FROM x GROUP BY fold, store, item, dow
+UNION ALL SELECT fold, 'store_item_mean', store, item, NULL, ROUND(AVG(sales), 6) FROM x GROUP BY fold, store, item
+UNION ALL SELECT fold, 'item_month_mean', NULL, item, CAST(month AS INTEGER), ROUND(AVG(sales), 6) FROM x GROUP BY fold, item, month
+UNION ALL SELECT fold, 'store_month_mean', store, NULL, CAST(month AS INTEGER), ROUND(AVG(sales), 6) FROM x GROUP BY fold, store, month""")
+def fold_means(spark, sf_dir):
+    """All learned means of three folds, from one state of monthly sums and the rows of the months that the folds cut."""
+    train = train_rows(load_panel(spark, sf_dir), TRAIN_END)
+    state, parts = learned.demand_state(train), []
+    for fold in expanding_folds(train, 3):
+        known = state.learn_before(train, fold.start)
+        for name, (*_, last) in learned.MEAN_KEYS.items():
+            means = known.means(spark, name)
+            held = {c: F.col(c) if c in means.columns else F.lit(None).cast("int") for c in ("store", "item")}
+            position = F.col(last) if last not in held else F.lit(None).cast("int")
+            parts.append(means.select(
+                F.lit(fold.index).alias("fold"), F.lit(name).alias("name"), *[v.alias(c) for c, v in held.items()],
+                position.alias("position"), F.col(name).alias("mean")))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query("demand_aggregates", f"""WITH {learned_sql()},
 test AS (SELECT * FROM panel WHERE date > DATE '{VAL_END}'), {features_sql('test')}
 SELECT date, store, item, sales, {MEANS_SQL} FROM feat""")
@@ -461,9 +484,7 @@ def parse_requests(spark, sf_dir):
         F.col("item").alias("asked_item"), text.alias("body"),
     )
     return requests.parse_json_requests(texts, max_periods=400).select(
-        "asked", "asked_store", "asked_item", "store", "item", F.array_min("dates").alias("first_date"),
-        F.when(F.col("dates").isNotNull(), F.size("dates")).cast("bigint").alias("n_days"), "reject_reason",
-    )
+        "asked", "asked_store", "asked_item", "store", "item", "first_date", "n_days", "reject_reason")
 
 
 @query("export_feature_maps", f"""WITH {learned_sql()}
@@ -582,3 +603,50 @@ def request_metrics(spark, sf_dir):
     return running_metrics(log).withColumns({
         c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("mean_latency_ms", "mean_latency_so_far")
     })
+
+
+# Rows held back arrive after the rest of the first half; the state has let go of most of their windows by then.
+STREAM_CUT = "2024-01-16"
+STREAM_LOG_SQL = f"""log AS (SELECT ts, event_type AS path, value AS latency, user_id % 5 AS n_scored, event_type = 'error' AS failed,
+    ts >= TIMESTAMP '{STREAM_CUT}' OR event_id % 50 = 0 AS second FROM events)"""
+
+
+def _counted_events(spark, sf_dir) -> str:
+    """Events as a request log in two deliveries, counted by a stream that is started again in between; the folder it wrote."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = events.select(
+        "ts", F.col("event_type").alias("path"), F.col("value").alias("latency_ms"),
+        (F.col("user_id") % 5).alias("n_scored"), (F.col("event_type") == "error").alias("failed"),
+        ((F.col("ts") >= F.lit(STREAM_CUT).cast(dict(events.dtypes)["ts"])) | (F.col("event_id") % 50 == 0)).alias("second"))
+    arriving, out = fresh_path(spark, "log"), fresh_path(spark, "counted")
+    for delivery in (~F.col("second"), F.col("second")):
+        log.filter(delivery).select(*[F.col(n).cast(t) for n, t in (c.split(" ") for c in request_log.LOG.split(", "))]).write.mode(
+            "append").parquet(arriving)
+        for stream in request_log.count_stream(spark, arriving, out, late="1 day"):
+            stream.awaitTermination()
+    return out
+
+
+@query("stream_metrics", f"""WITH {STREAM_LOG_SQL},
+w AS (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 1 DAY AS closed FROM log WHERE NOT second)
+SELECT path, COUNT(*) AS requests, COUNT(*) FILTER (failed) AS errors,
+  CAST(COALESCE(SUM(n_scored) FILTER (NOT failed), 0) AS BIGINT) AS n_scored, CAST(SUM(CAST(latency AS DECIMAL(18,6))) AS DOUBLE) AS total_latency_ms,
+  COUNT(*) FILTER (second AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= closed) AS late
+FROM log CROSS JOIN w GROUP BY path""")
+def stream_metrics_query(spark, sf_dir):
+    """Counters per path of a stream that is stopped and started again, late requests counted."""
+    counted = request_log.counted(spark, _counted_events(spark, sf_dir))
+    return counted.withColumn("total_latency_ms", F.col("total_latency_ms").cast("double"))
+
+
+@query("service_record", """SELECT COUNT(*) FILTER (event_type = 'error') AS errors,
+  CAST(SUM(user_id % 5) FILTER (event_type <> 'error') AS BIGINT) AS n_scored,
+  COUNT(*) FILTER (event_type LIKE 'c%') AS predict_requests, COUNT(*) FILTER (event_type = 'click') AS batch_requests,
+  FLOOR(SUM(CAST(value AS DECIMAL(18,6))) FILTER (event_type LIKE 'c%')::DOUBLE / COUNT(*) FILTER (event_type LIKE 'c%') * 1e6 + 0.5) / 1e6
+    AS mean_latency_ms FROM events""")
+def service_record(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias("path"), F.col("value").alias("latency_ms"),
+        (F.col("user_id") % 5).alias("n_scored"), (F.col("event_type") == "error").alias("failed"))
+    record = request_log.service_record(request_log.path_counters(log), predict="c", batch="click")
+    return record.withColumn("mean_latency_ms", F.floor(F.col("mean_latency_ms") * 1e6 + 0.5) / 1e6)

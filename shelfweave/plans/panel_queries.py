@@ -100,6 +100,16 @@ def panel_profile(spark, sf_dir):
     return quality.panel_profile(load_panel(spark, sf_dir))
 
 
+@query("absent_ranges", f"""WITH {PANEL_SQL},
+days AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS at FROM (SELECT DISTINCT date FROM panel)),
+gone AS (SELECT s.store, s.item, d.date, d.at - ROW_NUMBER() OVER (PARTITION BY s.store, s.item ORDER BY d.at) AS run
+         FROM (SELECT DISTINCT store, item FROM panel) s CROSS JOIN days d
+         ANTI JOIN panel p ON p.store = s.store AND p.item = s.item AND p.date = d.date)
+SELECT store, item, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n_days FROM gone GROUP BY store, item, run""")
+def absent_ranges(spark, sf_dir):
+    return quality.absent_ranges(load_panel(spark, sf_dir))
+
+
 @query("target_describe", f"""WITH {PANEL_SQL}
 SELECT COUNT(sales) AS count, ROUND(AVG(sales), 2) AS mean, ROUND(STDDEV_SAMP(sales), 2) AS std,
        CAST(MIN(sales) AS DOUBLE) AS min, ROUND(quantile_cont(sales, 0.25), 2) AS q25,
@@ -155,12 +165,14 @@ def calendar_features(spark, sf_dir):
     })
 
 
-FOLD_SQL = f"""WITH {PANEL_SQL},
+FOLDS_SQL = f"""{PANEL_SQL},
 train AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date, store, item) - 1 AS pos FROM panel
           WHERE date <= DATE '{TRAIN_END}'),
 n AS (SELECT COUNT(*) AS n, COUNT(*) // 4 AS size FROM train),
 folds AS (SELECT j AS fold, n - (3 - j) * size AS start_pos, n - (3 - j) * size + size AS end_pos
-          FROM n CROSS JOIN range(3) t(j)),
+          FROM n CROSS JOIN range(3) t(j))"""
+
+FOLD_SQL = f"""WITH {FOLDS_SQL},
 roles AS (SELECT CAST(fold AS INTEGER) AS fold,
             CASE WHEN pos < start_pos THEN 'train' ELSE 'test' END AS role, t.*
           FROM train t CROSS JOIN folds WHERE pos < end_pos)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfweave.operators.splits import with_split
+from shelfweave.operators.splits import with_every_split
 from shelfweave.schemas import PANEL, PANEL_KEYS, require_columns
 from shelfweave.session import fresh_path, input_state, remove_path
 
@@ -105,9 +105,9 @@ def dimension(panel: DataFrame, key: str) -> DataFrame:
 def write_splits(
     panel: DataFrame, path: str, train_end: str, val_end: str, fmt: str = "parquet"
 ) -> None:
-    """Train, validation and test as partitions of one table."""
+    """Train, validation and test as partitions of one table, and a fourth for rows without a date."""
     writer = (
-        with_split(panel, train_end, val_end).dropna(subset=["split"])
+        with_every_split(panel, train_end, val_end)
         .hint("rebalance", "split").write.mode("overwrite").partitionBy("split")
     )
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)

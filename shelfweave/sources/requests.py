@@ -84,47 +84,52 @@ def parse_json_requests(
     texts: DataFrame, column: str = "body", ranges: EntityRange | None = EntityRange(),
     max_periods: int | None = None,
 ) -> DataFrame:
-    """JSON request texts to (store, item, dates, reject_reason) with defaults filled in.
+    """JSON request texts to (store, item, first_date, n_days, reject_reason) with defaults filled in.
 
     ``start_date`` asks for ``periods`` days (7 unless given), otherwise the single ``date``
-    counts. An empty body means the default request. Every request has dates or a reason: more days
+    counts. An empty body means the default request. Every request has days or a reason: more days
     than ``max_periods`` and fewer than one are rejected, and so is a text that is not one JSON object.
+    The days themselves are only built by ``request_rows``.
     """
     text = F.coalesce(F.nullif(F.trim(column), F.lit("")), F.lit("{}"))
     # as the only element of an array, so that whatever follows the object breaks it
     bodies = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(REQUEST_JSON))
-    parsed = texts.withColumn("_body", F.when(F.size(bodies) == 1, F.get(bodies, F.lit(0))))
+    parsed = texts.withColumn("_bodies", bodies).withColumn(
+        "_body", F.when(F.size("_bodies") == 1, F.get("_bodies", F.lit(0))))
 
     def number(name: str, default: int) -> Column:
         given = F.col(f"_body.{name}")
         return F.when(given.isNull(), F.lit(default)).otherwise(whole_number(given))
 
-    store, item = number("store", DEFAULT_STORE), number("item", DEFAULT_ITEM)
-    periods = number("periods", DEFAULT_PERIODS)
-    start_text = F.col("_body.start_date")
-    day = iso_date(F.coalesce(start_text, F.col("_body.date"), F.lit(DEFAULT_DATE)))
-    reason = (
-        F.when(F.col("_body").isNull(), "bad json")
-        .when(store.isNull(), "bad store").when(item.isNull(), "bad item")
+    # columns of their own: written into the conditions below, each would be worked out a dozen times a row
+    typed = parsed.select(
+        *[F.col(f"`{c}`") for c in texts.columns], F.col("_body").isNull().alias("_bad"),
+        F.col("_body.start_date").isNotNull().alias("_several"),
+        iso_date(F.coalesce(F.col("_body.start_date"), F.col("_body.date"), F.lit(DEFAULT_DATE))).alias("_day"),
+        number("store", DEFAULT_STORE).alias("store"), number("item", DEFAULT_ITEM).alias("item"),
+        number("periods", DEFAULT_PERIODS).alias("_periods"),
     )
+    store, item, day, periods, several = (F.col(c) for c in ("store", "item", "_day", "_periods", "_several"))
+    reason = F.when(F.col("_bad"), "bad json").when(store.isNull(), "bad store").when(item.isNull(), "bad item")
     if ranges is not None:
         reason = reason.when(~store.between(*ranges.stores), "store out of range")
         reason = reason.when(~item.between(*ranges.items), "item out of range")
     reason = reason.when(day.isNull(), "bad date")
-    reason = reason.when(start_text.isNotNull() & (periods.isNull() | (periods < 1)), "bad periods")
+    reason = reason.when(several & (periods.isNull() | (periods < 1)), "bad periods")
     if max_periods is not None:
-        reason = reason.when(start_text.isNotNull() & (periods > max_periods), "too many periods")
-    dates = F.when(start_text.isNotNull(), day_range(day, periods)).otherwise(F.array(day))
-    return parsed.select(
-        *texts.columns, store.alias("store"), item.alias("item"),
-        F.when(reason.isNull(), dates).alias("dates"), reason.alias("reject_reason"),
+        reason = reason.when(several & (periods > max_periods), "too many periods")
+    n_days = F.when(several, periods).otherwise(F.lit(1)).cast("bigint")
+    judged, fine = typed.withColumn("reject_reason", reason), F.col("reject_reason").isNull()
+    return judged.select(
+        *[F.col(f"`{c}`") for c in texts.columns], "store", "item",
+        F.when(fine, day).alias("first_date"), F.when(fine, n_days).alias("n_days"), "reject_reason",
     )
 
 
 def request_rows(parsed: DataFrame) -> DataFrame:
-    """One row per requested day."""
+    """One row per requested day; rejected requests have none."""
     return parsed.select(
-        *[c for c in parsed.columns if c not in ("dates", "reject_reason")],
-        F.explode("dates").alias("date"),
+        *[c for c in parsed.columns if c not in ("first_date", "n_days", "reject_reason")],
+        F.explode(day_range(F.col("first_date"), F.col("n_days").cast("int"))).alias("date"),
     )
 

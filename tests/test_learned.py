@@ -140,3 +140,54 @@ def test_feature_names_follow_the_columns(panel):
     model = DemandFeatures(labelCol="sales").fit(panel)
     request = panel.select("date", "store", "item")
     assert model.feature_names(request.columns) == model.transform(request).columns
+
+
+def means_of(state, spark):
+    return {n: sorted(tuple(r) for r in state.means(spark, n).select(*MEAN_KEYS[n], n).collect()) for n in AGGREGATE_COLUMNS}
+
+
+def test_merged_state_equals_relearning_at_every_cut(spark):
+    import datetime as dt
+
+    from shelfweave.operators.learned import demand_state
+    from shelfweave.operators.splits import expanding_folds, key_before
+
+    panel = closed_form(spark, days=100).withColumn("sales", F.col("sales") + F.dayofmonth("date"))
+    undated = panel.limit(2).withColumn("date", F.lit(None).cast("date"))
+    panel = panel.unionByName(undated).cache()
+    state = demand_state(panel)
+    cuts = [fold.start for fold in expanding_folds(panel, 4)]
+    cuts += [(dt.date(2017, 2, 1), 1, 1), (dt.date(2017, 1, 31), 2, 2), (dt.date(2016, 1, 1), 1, 1), (dt.date(2030, 1, 1), 1, 1)]
+    for cut in cuts:
+        merged, again = state.learn_before(panel, cut), learn_demand(panel.filter(key_before(cut)))
+        assert means_of(merged, spark) == means_of(again, spark)
+        assert merged.global_mean == again.global_mean
+
+
+def test_a_new_day_merges_into_the_state(spark):
+    import datetime as dt
+
+    from shelfweave.operators.learned import demand_state
+
+    panel = closed_form(spark, days=60)
+    day = F.lit("2017-02-20").cast("date")
+    state = demand_state(panel.filter(F.col("date") < day))
+    state.add(panel.filter(F.col("date") >= day))
+    end = (dt.date(2017, 3, 31), 1, 1)
+    assert means_of(state.learn_before(panel, end), spark) == means_of(learn_demand(panel), spark)
+
+
+def test_learning_from_state_reads_only_the_cut_month(spark, tmp_path):
+    import datetime as dt
+
+    from shelfweave.operators.learned import demand_state
+
+    path = str(tmp_path / "panel")
+    closed_form(spark, days=100).write.parquet(path)
+    panel = spark.read.parquet(path)
+    state = demand_state(panel)
+    older = panel.filter(F.col("date") < F.lit("2017-03-01").cast("date"))
+    # what was read of earlier months cannot matter: without them the same means come out
+    rest = panel.join(older, ["date", "store", "item"], "left_anti")
+    cut = (dt.date(2017, 3, 15), 2, 1)
+    assert means_of(state.learn_before(rest, cut), spark) == means_of(state.learn_before(panel, cut), spark)

@@ -264,3 +264,37 @@ def test_streamed_request_metrics_equal_the_batch(spark, tmp_path):
     want = windowed_metrics(spark.createDataFrame(rows[:-1], schema)).select(*columns).collect()
     got = spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+LATE_LOG = [("2024-01-01 00:10:00", "/predict", 10.0, 1, False), ("2024-01-01 00:20:00", "/predict/batch", 30.0, 5, False),
+            ("2024-01-01 09:00:00", "/predict", 20.0, 1, True), (None, "/health", 1.0, None, None), ("2024-01-01 09:10:00", None, 2.0, 0, False)]
+LATER_LOG = [("2024-01-01 00:30:00", "/predict", 60.0, 2, False),  # its window has been closed
+             ("2024-01-01 08:59:00", "/predict", 40.0, 3, False), ("2024-01-01 10:00:00", "/health", 1.0, None, False)]
+
+
+def test_counters_go_on_after_a_restart_and_count_late_requests(spark, tmp_path):
+    from shelfweave.streaming import request_log
+
+    arriving, out = str(tmp_path / "log"), str(tmp_path / "out")
+    frames = [spark.createDataFrame([tuple(r) for r in part], "at STRING, path STRING, latency_ms DOUBLE, n_scored BIGINT, failed BOOLEAN")
+              .select(F.col("at").cast("timestamp").alias("ts"), "path", "latency_ms", "n_scored", "failed") for part in (LATE_LOG, LATER_LOG)]
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(arriving)
+        for stream in request_log.count_stream(spark, arriving, out):
+            stream.awaitTermination()
+    for stream in request_log.count_stream(spark, arriving, out):  # nothing new
+        stream.awaitTermination()
+    counted = request_log.counted(spark, out)
+    batch = request_log.path_counters(frames[0].unionByName(frames[1]))
+    assert sorted(map(str, counted.drop("late").collect())) == sorted(map(str, batch.collect()))
+    assert {r.path: r.late for r in counted.collect()} == {"/predict": 1, "/predict/batch": 0, "/health": 1, None: 0}
+    assert request_log.counted_windows(spark, out).agg(F.sum("requests")).first()[0] == 6
+    record = request_log.service_record(counted).first().asDict()
+    assert record == {"errors": 1, "n_scored": 11, "predict_requests": 5, "batch_requests": 1, "mean_latency_ms": 32.0}
+
+
+def test_service_record_of_an_empty_log(spark):
+    from shelfweave.streaming import request_log
+
+    record = request_log.service_record(request_log.path_counters(spark.createDataFrame([], request_log.LOG))).first()
+    assert tuple(record) == (0, 0, 0, 0, None)

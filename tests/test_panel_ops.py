@@ -179,3 +179,45 @@ def test_folds_keep_rows_without_ids(spark):
 def test_horizon_of_any_length(spark, panel, periods, days):
     series = panel.select("store", "item").distinct()
     assert grid.future_grid(series, dt.date(2018, 1, 1), periods).count() == 4 * days
+
+
+def test_absent_ranges_add_up_to_the_absent_rows(spark):
+    rows = random_panel(spark, 700, seed=3)
+    ranges = quality.absent_ranges(rows)
+    profile = quality.panel_profile(rows).first()
+    unseen = profile.n_stores * profile.n_items - profile.n_series
+    assert sum(r.n_days for r in ranges.collect()) + unseen * profile.n_dates == profile.absent_rows
+    held, days = {}, sorted({r.date for r in rows.collect()})
+    for r in rows.collect():
+        held.setdefault((r.store, r.item), set()).add(r.date)
+    got = {}
+    for r in ranges.collect():
+        assert r.first_date not in held[r.store, r.item]
+        run = [d for d in days if r.first_date <= d <= r.last_date]
+        assert len(run) == r.n_days and got.setdefault((r.store, r.item), set()).isdisjoint(run)
+        got[r.store, r.item].update(run)
+        # a run cannot be made longer
+        near = [i for i in (days.index(r.first_date) - 1, days.index(r.last_date) + 1) if 0 <= i < len(days)]
+        assert all(days[i] in held[r.store, r.item] for i in near)
+    assert all(got.get(s, set()) == set(days) - d for s, d in held.items())
+
+
+def test_absent_ranges_of_awkward_panels(spark):
+    d = dt.date
+    rows = spark.createDataFrame(
+        [(d(2017, 1, 1), 1, 1, 5), (d(2017, 1, 1), 1, 1, 5), (d(2017, 1, 9), 1, 1, 5), (d(2017, 1, 4), 2, 1, 1),
+         (None, 2, 1, 1), (d(2017, 1, 9), None, 1, 1)], PANEL)
+    got = sorted(map(tuple, quality.absent_ranges(rows).collect()))
+    assert got == [(1, 1, d(2017, 1, 4), d(2017, 1, 4), 1), (2, 1, d(2017, 1, 1), d(2017, 1, 1), 1), (2, 1, d(2017, 1, 9), d(2017, 1, 9), 1)]
+    assert quality.absent_ranges(spark.createDataFrame([], PANEL)).count() == 0
+
+
+def test_undated_rows_are_counted(spark, tmp_path):
+    from shelfweave.sources.panel import write_splits
+
+    rows = spark.createDataFrame([(dt.date(2017, 1, 1), 1, 1, 5), (None, 1, 1, 7), (None, 2, 1, 9)], PANEL)
+    got = {r.split: (r.n_rows, r.mean_sales) for r in splits.split_summary(rows, "2017-01-10", "2017-01-20").collect()}
+    assert got == {"train": (1, 5.0), "undated": (2, 8.0)}
+    write_splits(rows, str(tmp_path / "s"), "2017-01-10", "2017-01-20")
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.count() == 3 and stored.filter("split = 'undated'").count() == 2

@@ -138,7 +138,7 @@ def test_json_requests(spark, body, store, item, first, days, reason):
     parsed = requests.parse_json_requests(spark.createDataFrame([(body,)], "body STRING"), max_periods=500)
     row = parsed.first()
     assert (row.store, row.item, row.reject_reason) == (store, item, reason)
-    assert (row.dates and (str(row.dates[0]), len(row.dates))) == (first and (first, days))
+    assert (row.first_date and str(row.first_date), row.n_days) == (first, days)
     assert requests.request_rows(parsed).count() == (days or 0)
 
 

@@ -108,25 +108,14 @@ def find_contamination(
     lengths = sorted(r.length for r in distinct.select("length").distinct().collect())  # 1 to ``window`` at most
 
     tokenized = docs.select("key", "doc_id", words(F.col("text")).alias("w"))
-    for length in lengths:
-        tokenized = tokenized.transform(fingerprints("w", length))
-    # read and tokenized once; the fingerprints take about a third of the texts' bytes
+    whole = f"prints_{window}"
+    # read and tokenized once; the fingerprints of whole windows take about a third of the texts' bytes
     printed = store_table(
-        tokenized.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), *[F.array_distinct(f"prints_{n}").alias(f"prints_{n}") for n in lengths]),
+        tokenized.transform(fingerprints("w", window)).select(
+            "key", "doc_id", F.size("w").cast("long").alias("n_words"), F.array_distinct(whole).alias(whole)),
         fresh_path(spark, "fingerprints"))
-    candidates = spark.createDataFrame([], "key STRING, length INT, pos INT")
-    for length in lengths:
-        name = f"prints_{length}"
-        wanted = distinct.filter(F.col("length") == length).select(F.split("window", " ").alias("w"))
-        # exploding an expression, not a column: Spark would filter on a column's size first and compute it twice
-        wanted = wanted.transform(fingerprints("w", length)).select(F.explode(F.array_distinct(name)).alias("f"))
-        wanted = store_table(wanted.select(_hash(F.col("f")).alias("hash")).distinct(), fresh_path(spark, "wanted"))
-        hits = (
-            printed.select("key", F.explode(name).alias("f"))
-            .select("key", F.lit(length).alias("length"), F.col("f").bitwiseAND(F.lit(POSITION)).cast("int").alias("pos"),
-                    _hash(F.col("f")).alias("hash"))
-            .join(wanted, "hash", "left_semi"))
-        candidates = candidates.unionByName(hits.drop("hash"))
+    candidates = _hits(printed, whole, window, _wanted(distinct, window)).unionByName(
+        _short_hits(docs, distinct, [n for n in lengths if n < window]))
     # at most one position per word of one document comes together here
     candidates = store_table(
         candidates.groupBy("key").agg(F.collect_set(F.struct("length", "pos")).alias("at")),
@@ -153,6 +142,52 @@ def find_contamination(
     )
 
 
+def _wanted(distinct: DataFrame, length: int) -> DataFrame:
+    """hash: the fingerprints of the benchmark's windows of this length, stored."""
+    name = f"prints_{length}"
+    wanted = distinct.filter(F.col("length") == length).select(F.split("window", " ").alias("w"))
+    # exploding an expression, not a column: Spark would filter on a column's size first and compute it twice
+    wanted = wanted.transform(fingerprints("w", length)).select(F.explode(F.array_distinct(name)).alias("f"))
+    return store_table(wanted.select(_hash(F.col("f")).alias("hash")).distinct(), fresh_path(distinct.sparkSession, "wanted"))
+
+
+def _hits(printed: DataFrame, name: str, length: int, wanted: DataFrame) -> DataFrame:
+    """key, length, pos: where a fingerprint in column ``name`` is a wanted one."""
+    return (
+        printed.select("key", F.explode(name).alias("f"))
+        .select("key", F.lit(length).alias("length"), F.col("f").bitwiseAND(F.lit(POSITION)).cast("int").alias("pos"),
+                _hash(F.col("f")).alias("hash"))
+        .join(wanted, "hash", "left_semi").drop("hash"))
+
+
+def _short_hits(docs: DataFrame, distinct: DataFrame, lengths: list[int]) -> DataFrame:
+    """``_hits`` of items shorter than a window, in one more pass over the texts, which a benchmark without them saves.
+
+    The shorter the item, the more fingerprints a text has: one per word for a single word. Kept for every length they
+    would take several times the texts' bytes, so they meet the wanted ones as they are made and only hits are stored.
+    """
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], "key STRING, length INT, pos INT")
+    if not lengths:
+        return found
+    wanted = spark.createDataFrame([], "length INT, hash LONG")
+    tokenized, each = docs.select("key", words(F.col("text")).alias("w")), []
+    for length in lengths:
+        wanted = wanted.unionByName(_wanted(distinct, length).select(F.lit(length).alias("length"), "hash"))
+        tokenized = tokenized.transform(fingerprints("w", length))
+        made = F.coalesce(F.array_distinct(f"prints_{length}"), F.array().cast("array<bigint>"))
+        each.append(F.transform(made, _of_length(length)))
+    prints = tokenized.select("key", F.explode(F.concat(*each)).alias("p")).select(
+        "key", "p.length", F.col("p.f").bitwiseAND(F.lit(POSITION)).cast("int").alias("pos"), _hash(F.col("p.f")).alias("hash"))
+    # stored, so that Spark knows its size and sends it to the prints if it is small
+    wanted = store_table(wanted, fresh_path(spark, "wanted"))
+    return found.unionByName(prints.join(wanted, ["length", "hash"], "left_semi").drop("hash"))
+
+
+def _of_length(length: int):
+    return lambda f: F.struct(F.lit(length).alias("length"), f.alias("f"))
+
+
 def _extended(docs: DataFrame, candidates: DataFrame, distinct: DataFrame) -> DataFrame:
     """key, spans, window_ids of the documents in which a window really occurs."""
     # always by sort-merge: the candidates grow with the documents, so a broadcast would work for small inputs only

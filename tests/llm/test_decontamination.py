@@ -53,3 +53,33 @@ def test_empty_tables(corpus, no_documents, benchmark):
     assert find_contamination(no_documents, benchmark).count() == 0
     clean = find_contamination(corpus, benchmark.limit(0)).collect()
     assert len(clean) == corpus.count() and not any(r.contaminated for r in clean)
+
+
+def test_short_items_of_every_length_cost_no_disk(spark):
+    """Items of 1 to 13 words: the tables kept beside the texts stay below the texts' own bytes."""
+    import os
+    import random
+
+    from shelfweave.session import work_area
+
+    rng = random.Random(11)
+    docs = [(i, " ".join(f"w{rng.randrange(30_000):05d}" for _ in range(rng.choice([5, 400, 3000])))) for i in range(150)]
+    cut = [docs[i][1].split()[3:3 + i % 13 + 1] if i % 3 else [f"none{i}"] * (i % 13 + 1) for i in range(39)]
+    items = [(i, " ".join(w)) for i, w in enumerate(cut) if w]
+    with work_area(spark) as area:
+        found = find_contamination(
+            spark.createDataFrame(docs, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id LONG, text STRING"))
+        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in found.collect()}
+        kept = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(area) for f in files if f.endswith(".parquet"))
+    assert got == {d: brute.decontaminate(t, items) for d, t in docs}
+    # small tables hold a fixed part: the files' footers
+    assert kept < 1.6 * sum(len(t) for _, t in docs)
+
+
+def test_only_short_items(spark):
+    docs = [(1, "a b c d"), (2, ""), (3, None), (4, "B"), (4, "B")]
+    items = [(1, "b"), (2, "C d"), (3, "d e")]
+    found = find_contamination(
+        spark.createDataFrame(docs, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id LONG, text STRING"))
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in found.collect()) == [
+        (1, 3, ["1", "2"]), (2, 0, []), (3, 0, []), (4, 1, ["1"]), (4, 1, ["1"])]

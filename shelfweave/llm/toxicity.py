@@ -240,22 +240,29 @@ def not_held_out(doc_id: Column) -> Column:
     return ~held_out(doc_id)
 
 
+def known_labels(labels: DataFrame, label: str, usable=not_held_out) -> DataFrame:
+    """(id, y) of the labels that may be read, once per id: ``usable`` maps the id to them.
+
+    A label other than 0 or 1, or a NULL id, is not used; of several labels of one id the highest counts.
+    """
+    return (
+        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & usable(F.col("id")))
+        .groupBy("id").agg(F.max("y").alias("y"))
+    )
+
+
 def sample_labelled(
     documents: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str,
     max_positive: int, max_negative: int, usable=not_held_out,
 ) -> tuple[list[str], list[int], list[float]]:
     """At most so many labelled texts of each class, and the weights that restore the classes' shares.
 
-    ``usable`` maps the id to the labels that may be read. Ids are taken in the order of their hash, so
-    the sample does not depend on the layout of the files. A label other than 0 or 1, or a NULL id, is not used; of
-    several labels of one id the highest counts, of several texts the one with the least digest. Only the chosen ids
-    (a bounded number) meet the texts.
+    ``known_labels`` says which labels count. Ids are taken in the order of their hash, so
+    the sample does not depend on the layout of the files. Of several texts of one id the one with the least digest
+    counts. Only the chosen ids (a bounded number) meet the texts.
     """
-    known = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
-        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & usable(F.col("id")))
-        .groupBy("id").agg(F.max("y").alias("y"))
-    )
+    known = known_labels(labels, label, usable)
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     texts, ys, weights = [], [], []
     for y, most in ((1, max_positive), (0, max_negative)):

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,51 @@ def test_quality_prefers_what_pairs_prefer(corpus, no_documents):
     assert quality.keep_good(no_documents, model).count() == 0
 
 
+def _styled(n, seed):
+    """Texts of many lengths and styles, and labels that follow the style but not always."""
+    rng = np.random.default_rng(seed)
+    ys = (rng.random(n) < 0.5).astype(int)
+    shouts = np.where(ys == 1, rng.integers(0, 4, n), rng.integers(2, 9, n))
+    return [f"thing {i} stands, " * int(k) + "BUY! " * int(s) for i, (k, s) in enumerate(zip(rng.integers(1, 12, n), shouts))], ys.tolist()
+
+
+def test_quality_maximises_over_all_pairs():
+    texts, ys = _styled(120, 3)
+    model = quality.fit(texts, ys)
+    matrix, good = np.array([quality.features(t) for t in texts]), np.array(ys) == 1
+    strength = model.strength(matrix)
+    lost = 1 / (1 + np.exp(strength[good][:, None] - strength[~good][None, :]))
+    assert 0.01 < lost.mean() < 0.4
+    per_doc = np.zeros(len(texts))
+    per_doc[good], per_doc[~good] = -lost.sum(1) / lost.size, lost.sum(0) / lost.size
+    for j, (edge, weight) in enumerate(zip(model.edges, model.weights)):
+        slope = np.bincount(np.searchsorted(edge, matrix[:, j], side="right"), per_doc, len(weight)) + quality.L2 * weight
+        assert np.abs(slope).max() < 3e-5
+    assert (strength < model.cut).sum() == (~good).sum()
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More documents of each class than a sample ever held: edges, weights and cut are those of all of them."""
+    texts, ys = _styled(6_400, 5)
+    assert 3_000 < sum(ys) < 3_400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    labels = spark.createDataFrame(list(enumerate(ys)), "doc_id LONG, quality INT")
+    model, plain = quality.train(docs, labels, usable=lambda c: F.lit(True)), quality.fit(texts, ys)
+    for ours, theirs in zip((*model.edges, *model.weights), (*plain.edges, *plain.weights)):
+        assert ours == pytest.approx(theirs, abs=1e-6)
+    assert model.cut == pytest.approx(plain.cut, abs=1e-6)
+
+
+def test_quality_of_held_out_repeated_and_odd_labels(spark):
+    texts, ys = _styled(60, 7)
+    rows, known = list(enumerate(texts)), list(enumerate(ys))
+    docs = spark.createDataFrame([*rows, *rows[:9], (None, "a"), (77, "no label")], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([*known, *known[:9], (None, 1), (500, 0), (77, 3), (77, None)], "doc_id LONG, quality INT")
+    seen = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    model, plain = quality.train(docs, labels), quality.fit([texts[d] for d in seen], [ys[d] for d in seen])
+    assert model.score(texts) == pytest.approx(plain.score(texts), abs=1e-6)
+
+
 @pytest.mark.parametrize("name, label, least", [("op7_toxicity", "toxic", 0.93), ("op10_quality_classifier", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     rows = ENTRIES[name].build(spark, SF_DIR).collect()
